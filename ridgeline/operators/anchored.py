@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ridgeline.operators.design import Design
-from ridgeline.operators.moments import MAX_PARTIALS, _typed
-from ridgeline.operators.scatter import BLOCK_CELLS, feature_matrix
+from ridgeline.operators.design import MAX_PARTIALS, Design
+from ridgeline.operators.moments import _typed
+from ridgeline.operators.scatter import BLOCK_CELLS, row_blocks
 
 ANCHORED_SCHEMA = (
     "chunk int, start int, n double, anchor_mean array<double>, mean array<double>, "
@@ -101,11 +101,9 @@ def anchored_products(frame: Design, anchors: Sequence[int]) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Anchored | None = None
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = np.column_stack([batch.column("label").to_numpy(), feature_matrix(batch, columns)])
-            part = Anchored.of(rows, chosen)
-            total = part if total is None else total.merge(part)
+            for _, rows in row_blocks(batch, columns):
+                part = Anchored.of(rows, chosen)
+                total = part if total is None else total.merge(part)
         if total is not None:
             for chunk, item in total.chunks():
                 yield _write(chunk, item)

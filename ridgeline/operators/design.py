@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ridgeline.operators.scatter import PACKED, pack_rows
+
+MAX_PARTIALS = 32768  # upper bound on map tasks, hence on partial results in the shuffle
 
 @dataclass(frozen=True)
 class Design:
@@ -16,6 +20,7 @@ class Design:
 
     rows: DataFrame
     names: tuple[str, ...] | None  # None: features is an array whose width the data decides
+    packed: bool = False  # rows are binary blocks, see pack()
 
     @property
     def width(self) -> int | None:
@@ -23,6 +28,8 @@ class Design:
 
     @property
     def columns(self) -> list[str]:
+        if self.packed:
+            return PACKED
         return ["features"] if self.names is None else [f"x{i}" for i in range(len(self.names))]
 
     def feature_array(self) -> Column:
@@ -82,3 +89,24 @@ def design(
     if handle_invalid == "skip":
         rows = rows.where(F.col("label").isNotNull() & ~F.isnan("label"))
     return Design(rows, names)
+
+
+def cache_packed(frame: Design) -> tuple[Design, list[DataFrame]]:
+    """Cache the rows as binary blocks for work that reads them many times.
+
+    Input with fewer partitions than cores is little data and is spread evenly first; larger
+    input keeps the partitions of its scan. Returns the tables to unpersist when done.
+    """
+    columns = frame.columns
+
+    def pack(batches):
+        return pack_rows(batches, columns)
+
+    blocks = frame.rows.coalesce(MAX_PARTIALS).mapInArrow(pack, "width int, packed binary")
+    cached = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    held = [cached]
+    cores = frame.rows.sparkSession.sparkContext.defaultParallelism
+    if cached.rdd.getNumPartitions() < cores:
+        spread = cached.repartition(max(1, min(cores, cached.count())))
+        held.append(spread.persist(StorageLevel.MEMORY_AND_DISK))
+    return Design(held[-1], None, packed=True), held

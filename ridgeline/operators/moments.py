@@ -14,19 +14,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ridgeline.operators.design import Design
+from ridgeline.operators.design import MAX_PARTIALS, Design
 from ridgeline.operators.scatter import (
     SCATTER_FIELDS,
     Scatter,
-    feature_matrix,
     read_scatters,
+    row_blocks,
     write_scatters,
 )
 from ridgeline.session import shared_folder
 
 MOMENT_SCHEMA = "fold int, " + SCATTER_FIELDS
 COLUMN_LIMIT = 8  # beyond this many features the generated aggregate outgrows the JIT compiler
-MAX_PARTIALS = 32768  # upper bound on map tasks, hence on partial matrices in the shuffle
 ILL_CONDITIONED = 1e4  # |mean| / std above this loses more than 8 digits in plain sums
 
 
@@ -93,14 +92,10 @@ def block_moments(frame: Design) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, Scatter] = {}
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            fold = batch.column("fold").to_numpy()
-            label = batch.column("label").to_numpy()
-            rows = np.column_stack([label, feature_matrix(batch, columns)])
-            for key in np.unique(fold):
-                part = Scatter.of(rows[fold == key])
-                totals[int(key)] = totals[int(key)].merge(part) if int(key) in totals else part
+            for fold, rows in row_blocks(batch, columns):
+                for key in np.unique(fold).astype(int).tolist():
+                    part = Scatter.of(rows[fold == key])
+                    totals[key] = totals[key].merge(part) if key in totals else part
         for key, total in totals.items():
             for block, band in total.blocks():
                 yield write_scatters({"fold": [key]}, [(block, band)])

@@ -13,6 +13,8 @@ SCATTER_FIELDS = (
     "mean array<double>, low array<double>, high array<double>, c array<double>"
 )
 BLOCK_CELLS = 32768  # doubles per shuffled row: 256 KB
+PACKED_CELLS = 131072  # doubles per cached block of rows: 1 MB
+PACKED = ["width", "packed"]
 
 
 @dataclass
@@ -116,3 +118,31 @@ def feature_matrix(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     if values.null_count or np.isnan(matrix).any():
         raise ValueError("null or NaN in features")
     return matrix.reshape(batch.num_rows, -1)
+
+
+def row_blocks(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of an Arrow batch as ``(fold, matrix)`` with the label in column 0 of the matrix."""
+    if batch.num_rows == 0:
+        return
+    if columns == PACKED:
+        for width, data in zip(batch.column("width").to_pylist(), batch.column("packed")):
+            block = np.frombuffer(data.as_buffer(), dtype=np.float64).reshape(-1, width)
+            yield block[:, 0], block[:, 1:]
+        return
+    label = batch.column("label").to_numpy()
+    yield batch.column("fold").to_numpy(), np.column_stack([label, feature_matrix(batch, columns)])
+
+
+def pack_rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Turn rows into binary blocks that later passes hand to numpy without decoding."""
+    for batch in batches:
+        for fold, matrix in row_blocks(batch, columns):
+            block = np.column_stack([fold, matrix])
+            step = max(1, PACKED_CELLS // block.shape[1])
+            pieces = [block[i : i + step].tobytes() for i in range(0, len(block), step)]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "width": pa.array([block.shape[1]] * len(pieces), pa.int32()),
+                    "packed": pa.array(pieces, pa.binary()),
+                }
+            )

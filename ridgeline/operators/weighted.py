@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ridgeline.functions import standardize
 from ridgeline.functions.scalar import MARGIN_FLOOR, PROBABILITY_GUARD
 from ridgeline.operators.moments import _typed
-from ridgeline.operators.scatter import BLOCK_CELLS, feature_matrix
+from ridgeline.operators.scatter import BLOCK_CELLS, row_blocks
 
 WEIGHTED_SCHEMA = "cell int, salt int, block int, start int, s array<double>"
 SALTS = 32  # ways in which the partials of one band are pre-added when there are many tasks
@@ -60,21 +60,17 @@ def weighted_partials(
         totals = np.zeros((len(states), width, width + 1))
         seen = False
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            seen = True
-            fold = batch.column("fold").to_numpy()
-            label = batch.column("label").to_numpy()
-            matrix = (feature_matrix(batch, columns) - centre) * inverse
-            ones = np.column_stack([np.ones(len(matrix)), matrix])
-            margins = matrix @ slopes + intercepts
-            for k, state in enumerate(states):
-                weight, response = weights_and_response(label, margins[:, k])
-                if state.held_out >= 0:
-                    kept = fold != state.held_out
-                    weight, response = weight * kept, response * kept
-                totals[k, :, :width] += ones.T @ (ones * weight[:, None])
-                totals[k, :, width] += ones.T @ response
+            for fold, rows in row_blocks(batch, columns):
+                seen = True
+                ones = np.column_stack([np.ones(len(rows)), (rows[:, 1:] - centre) * inverse])
+                margins = ones[:, 1:] @ slopes + intercepts
+                for k, state in enumerate(states):
+                    weight, response = weights_and_response(rows[:, 0], margins[:, k])
+                    if state.held_out >= 0:
+                        kept = fold != state.held_out
+                        weight, response = weight * kept, response * kept
+                    totals[k, :, :width] += ones.T @ (ones * weight[:, None])
+                    totals[k, :, width] += ones.T @ response
         if not seen:
             return
         context = TaskContext.get()

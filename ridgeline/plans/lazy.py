@@ -11,11 +11,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ridgeline.operators.anchored import anchored_products, read_anchored
-from ridgeline.operators.design import design
+from ridgeline.operators.design import cache_packed, design
 from ridgeline.operators.moments import _typed
 from ridgeline.plans.descent import PathConfig, lambda_grid, sweep
 from ridgeline.session import shared_folder
@@ -56,8 +55,7 @@ def lazy_path(
     frame = design(df, label, features, None, handle_invalid)
     spark = df.sparkSession
     shared_folder(spark)
-    rows = frame.rows.persist(StorageLevel.MEMORY_AND_DISK)
-    frame = type(frame)(rows, frame.names)
+    frame, held = cache_packed(frame)
     progress = {i: Progress() for i in range(len(configs))}
     groups: list[list[int]] = [[]]  # features whose products each table holds; the first holds the label
     points = []
@@ -87,7 +85,8 @@ def lazy_path(
                 more = more.withColumn("part", F.lit(len(groups) - 1)).checkpoint()
                 table = table.unionByName(more)
     finally:
-        rows.unpersist()
+        for cached in held:
+            cached.unpersist()
     return spark.createDataFrame(points, SPARSE_PATH_SCHEMA)
 
 

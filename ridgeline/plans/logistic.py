@@ -7,12 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 
-from ridgeline.operators.design import design
+from ridgeline.operators.design import cache_packed, design
 from ridgeline.operators.grid import LOGISTIC_STEP
-from ridgeline.operators.moments import MAX_PARTIALS, _typed, moments
+from ridgeline.operators.moments import _typed, moments
 from ridgeline.operators.scatter import BLOCK_CELLS, Scatter, read_scatters, whole
 from ridgeline.operators.weighted import SALTS, State, add_bands, merge_bands, weighted_partials
 from ridgeline.plans.descent import GRID_ALPHA_FLOOR, sample_std
@@ -126,9 +125,10 @@ def logistic_cells(
     frame = design(df, label, features, fold, handle_invalid)
     num_folds = 0 if fold is None else num_folds
     spark = df.sparkSession
-    rows, held = cache_balanced(frame.rows)
+    frame, held = cache_packed(frame)
+    rows = frame.rows
     try:
-        table = moments(type(frame)(rows, frame.names))
+        table = moments(frame)
         basis = cell_basis(table, num_folds)
         cells = [make_cell(row, number, config) for row in basis for number, config in enumerate(configs)]
         if not cells:
@@ -144,20 +144,6 @@ def logistic_cells(
     return spark.createDataFrame([p for c in cells for p in c.points], LOGISTIC_SCHEMA)
 
 
-def cache_balanced(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Cache the rows for many passes; input with too few partitions is spread first.
-
-    Fewer partitions than cores means little data, so that shuffle is cheap. Larger input
-    keeps the partitions of its scan.
-    """
-    cached = rows.coalesce(MAX_PARTIALS).persist(StorageLevel.MEMORY_AND_DISK)
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if cached.rdd.getNumPartitions() >= cores:
-        return cached, [cached]
-    spread = cached.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-    return spread, [cached, spread]
-
-
 def cell_basis(table: DataFrame, num_folds: int) -> list:
     """Training means, deviations and start products per fold: a few vectors, no matrices."""
 
