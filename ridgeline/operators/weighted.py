@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ridgeline.functions import standardize
+from ridgeline.functions import dot, logistic_probability, working_response, working_weight
 from ridgeline.functions.scalar import MARGIN_FLOOR, PROBABILITY_GUARD
 from ridgeline.operators.moments import _typed
 from ridgeline.operators.scatter import BLOCK_CELLS, row_blocks
+from ridgeline.operators.standardize import standardize_columns
 
 WEIGHTED_SCHEMA = "cell int, salt int, block int, start int, s array<double>"
 SALTS = 32  # ways in which the partials of one band are pre-added when there are many tasks
@@ -125,8 +126,6 @@ def weighted_products(
 
     Slot 0 is the constant, slots 1..p the features and slot p + 1 the response.
     """
-    from ridgeline.functions import dot, logistic_probability, working_response, working_weight
-
     y = F.col(label) if isinstance(label, str) else label
     names = [f"x{i + 1}" for i in range(len(features))]
     rows = df.select(y.alias("y"), *[f.alias(n) for f, n in zip(features, names)])
@@ -145,24 +144,23 @@ def weighted_products(
     return rows.agg(*sums).select(F.inline(F.array(*entries)))
 
 
-def start_sums(
-    df: DataFrame, label: Column | str, columns: Sequence[str], stats: DataFrame
-) -> DataFrame:
-    """Sums at the constant model ``p = mean label``: ``(feature, wxr, wxx, wr, w)``.
+def start_sums(df: DataFrame, label: Column | str, stats: Mapping[str, tuple[float, float]], label_mean: float) -> DataFrame:
+    """Sums over standardized features at the constant model ``p = label_mean``.
 
-    ``stats`` holds one row: ``label_mean`` and, per feature, ``mean_<c>`` and ``std_<c>``.
+    Tidy ``(feature, wxr, wxx, wr, w)``; ``stats`` maps each feature to its mean and deviation.
     """
     y = F.col(label) if isinstance(label, str) else label
-    p = F.col("label_mean")
-    weight = p * (1.0 - p)
-    rows = df.select(y.alias("y"), *columns).join(F.broadcast(stats))  # stats is a single row
-    scaled = [standardize(c, F.col(f"mean_{c}"), F.col(f"std_{c}")).alias(c) for c in columns]
-    rows = rows.select((F.col("y") - p).alias("wr"), weight.alias("w"), *scaled)
-    sums = [F.sum("wr").alias("wr"), F.sum("w").alias("w")]
-    for i, c in enumerate(columns):
-        sums += [F.sum(F.col("wr") * F.col(c)).alias(f"wxr{i}"), F.sum(F.col("w") * F.col(c) * F.col(c)).alias(f"wxx{i}")]
+    weight = label_mean * (1.0 - label_mean)
+    rows = standardize_columns(df.select(y.alias("y"), *stats), stats)
+    residual = F.col("y") - F.lit(label_mean)  # w r
     entries = [
-        F.struct(F.lit(c).alias("feature"), F.col(f"wxr{i}").alias("wxr"), F.col(f"wxx{i}").alias("wxx"), "wr", "w")
-        for i, c in enumerate(columns)
+        F.struct(
+            F.lit(c).alias("feature"),
+            F.sum(residual * F.col(c)).alias("wxr"),
+            F.sum(F.lit(weight) * F.col(c) * F.col(c)).alias("wxx"),
+            F.sum(residual).alias("wr"),
+            (F.count(F.lit(1)) * F.lit(weight)).alias("w"),
+        ).alias(f"s{i}")
+        for i, c in enumerate(stats)
     ]
-    return rows.agg(*sums).select(F.inline(F.array(*entries)))
+    return rows.agg(*entries).select(F.inline(F.array(*[f"s{i}" for i in range(len(entries))])))
