@@ -14,7 +14,7 @@ from ridgeline.operators.moments import _typed
 from ridgeline.operators.scatter import BLOCK_CELLS, row_blocks
 
 ANCHORED_SCHEMA = (
-    "chunk int, start int, n double, anchor_mean array<double>, mean array<double>, "
+    "fold int, chunk int, start int, n double, anchor_mean array<double>, mean array<double>, "
     "low array<double>, high array<double>, square array<double>, c array<double>"
 )
 _LISTS = ("anchor_mean", "mean", "low", "high", "square", "c")
@@ -86,12 +86,12 @@ def read_anchored(batch: pa.RecordBatch) -> Iterator[tuple[int, Anchored]]:
         yield i, Anchored(start[i], n[i], *parts)
 
 
-def _write(chunk: int, item: Anchored) -> pa.RecordBatch:
-    arrays = [pa.array([chunk], pa.int32()), pa.array([item.start], pa.int32()), pa.array([item.n], pa.float64())]
+def _write(fold: int, chunk: int, item: Anchored) -> pa.RecordBatch:
+    arrays = [pa.array([v], pa.int32()) for v in (fold, chunk, item.start)] + [pa.array([item.n], pa.float64())]
     for name in _LISTS:
         values = np.ravel(getattr(item, name))
         arrays.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values)))
-    return pa.RecordBatch.from_arrays(arrays, names=["chunk", "start", "n", *_LISTS])
+    return pa.RecordBatch.from_arrays(arrays, names=["fold", "chunk", "start", "n", *_LISTS])
 
 
 def anchored_products(frame: Design, anchors: Sequence[int]) -> DataFrame:
@@ -99,21 +99,28 @@ def anchored_products(frame: Design, anchors: Sequence[int]) -> DataFrame:
     columns, chosen = frame.columns, np.asarray(list(anchors), dtype=int)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Anchored | None = None
+        totals: dict[int, Anchored] = {}
         for batch in batches:
-            for _, rows in row_blocks(batch, columns):
-                part = Anchored.of(rows, chosen)
-                total = part if total is None else total.merge(part)
-        if total is not None:
+            for fold, rows in row_blocks(batch, columns):
+                for key in np.unique(fold).astype(int).tolist():
+                    part = Anchored.of(rows[fold == key], chosen)
+                    totals[key] = totals[key].merge(part) if key in totals else part
+        for key, total in totals.items():
             for chunk, item in total.chunks():
-                yield _write(chunk, item)
+                yield _write(key, chunk, item)
+
+    partials = frame.rows.coalesce(MAX_PARTIALS).mapInArrow(partial, ANCHORED_SCHEMA)
+    return merge_anchored(partials)
+
+
+def merge_anchored(partials: DataFrame) -> DataFrame:
+    """Add up partials per fold and chunk of slots."""
 
     def merge(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Anchored | None = None
         for batch in batches:
             for _, part in read_anchored(batch):
                 total = part if total is None else total.merge(part)
-        yield _write(keys[0].as_py(), total)
+        yield _write(keys[0].as_py(), keys[1].as_py(), total)
 
-    partials = frame.rows.coalesce(MAX_PARTIALS).mapInArrow(partial, ANCHORED_SCHEMA)
-    return partials.groupBy("chunk").applyInArrow(_typed(merge), ANCHORED_SCHEMA)
+    return partials.groupBy("fold", "chunk").applyInArrow(_typed(merge), ANCHORED_SCHEMA)

@@ -22,10 +22,11 @@ from ridgeline.operators.scatter import (
     row_blocks,
     write_scatters,
 )
-from ridgeline.session import shared_folder
+from ridgeline.session import materialize
 
 MOMENT_SCHEMA = "fold int, " + SCATTER_FIELDS
 COLUMN_LIMIT = 8  # beyond this many features the generated aggregate outgrows the JIT compiler
+WIDTH_LIMIT = 8192  # a full matrix beyond this (512 MB per task and fold) is left to the lazy path
 ILL_CONDITIONED = 1e4  # |mean| / std above this loses more than 8 digits in plain sums
 
 
@@ -38,8 +39,7 @@ def moments(frame: Design, mode: str = "auto") -> DataFrame:
         raise ValueError("mode 'columns' needs a list of feature columns")
     if mode == "columns" or (mode == "auto" and by_columns):
         return _column_moments(frame)
-    shared_folder(frame.rows.sparkSession)
-    return block_moments(frame).checkpoint()
+    return materialize(block_moments(frame), "moments")
 
 
 def _column_sums(frame: Design, shift: np.ndarray) -> list:
@@ -93,6 +93,8 @@ def block_moments(frame: Design) -> DataFrame:
         totals: dict[int, Scatter] = {}
         for batch in batches:
             for fold, rows in row_blocks(batch, columns):
+                if rows.shape[1] > WIDTH_LIMIT:
+                    raise ValueError(f"{rows.shape[1]} columns are too wide for a full matrix: use lazy_path")
                 for key in np.unique(fold).astype(int).tolist():
                     part = Scatter.of(rows[fold == key])
                     totals[key] = totals[key].merge(part) if key in totals else part

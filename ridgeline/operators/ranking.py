@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ridgeline.session import shared_folder
+from ridgeline.session import materialize
 
 _ROW_BITS = 33  # fixed value: monotonically_increasing_id keeps the row in the low 33 bits
 
@@ -15,15 +15,14 @@ def number_rows(table: DataFrame, order: Sequence[Column], name: str) -> DataFra
     """Number rows 0.. by ``order``, which must be free of ties.
 
     Rows are range-partitioned and sorted in parallel; only one count per partition is
-    accumulated in a single place. The sorted rows are checkpointed, so that the counts and
+    accumulated in a single place. The numbered rows are written out first, so that the counts and
     the rows they number can never come from two different partitionings.
     """
-    shared_folder(table.sparkSession)
-    ranged = (
+    ranged = materialize(
         table.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .checkpoint()
+        .withColumn("_id", F.monotonically_increasing_id()),
+        "ranking",
     )
     part = F.shiftright("_id", _ROW_BITS)
     counts = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))

@@ -17,7 +17,7 @@ from ridgeline.operators.anchored import anchored_products, read_anchored
 from ridgeline.operators.design import cache_packed, design
 from ridgeline.operators.moments import _typed
 from ridgeline.plans.descent import PathConfig, lambda_grid, sweep
-from ridgeline.session import shared_folder
+from ridgeline.session import materialize
 
 SPARSE_PATH_SCHEMA = (
     "fold int, cell int, alpha double, lambda_idx int, lambda double, intercept double, width int, "
@@ -54,13 +54,12 @@ def lazy_path(
         raise ValueError("the lazy path always checks every feature before it keeps a point")
     frame = design(df, label, features, None, handle_invalid)
     spark = df.sparkSession
-    shared_folder(spark)
     frame, held = cache_packed(frame)
     progress = {i: Progress() for i in range(len(configs))}
     groups: list[list[int]] = [[]]  # features whose products each table holds; the first holds the label
     points = []
     try:
-        table = anchored_products(frame, [0]).withColumn("part", F.lit(0)).checkpoint()
+        table = materialize(anchored_products(frame, [0]).withColumn("part", F.lit(0)), "products")
         while any(p.index < configs[i].num_lambdas for i, p in progress.items()):
             replies = _solve(table, configs, progress, groups).collect()
             if not replies:
@@ -82,7 +81,7 @@ def lazy_path(
                 fresh = sorted(wanted)
                 groups.append(fresh)
                 more = anchored_products(frame, [f + 1 for f in fresh])
-                more = more.withColumn("part", F.lit(len(groups) - 1)).checkpoint()
+                more = materialize(more.withColumn("part", F.lit(len(groups) - 1)), "products")
                 table = table.unionByName(more)
     finally:
         for cached in held:

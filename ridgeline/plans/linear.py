@@ -71,7 +71,8 @@ def solve_cells(
     """Solve all (fold, configuration) cells in parallel, each from a few small records."""
     configs = list(configs)
     spark = table.sparkSession
-    cells = training_cells(table, num_folds, wide=num_folds > 0 and _is_wide(table))
+    wide = num_folds > 0 and not table.isLocal() and _is_wide(table)
+    cells = training_cells(table, num_folds, wide)
     numbers = F.array(*[F.lit(i) for i in range(len(configs))])
     cells = cells.withColumn("cell", F.explode(numbers))
     tasks = max(1, min((num_folds + 1) * len(configs), 4 * spark.sparkContext.defaultParallelism))

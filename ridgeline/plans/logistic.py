@@ -7,22 +7,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ridgeline.operators.anchored import anchored_products, merge_anchored
 from ridgeline.operators.design import cache_packed, design
 from ridgeline.operators.grid import LOGISTIC_STEP
-from ridgeline.operators.moments import _typed, moments
-from ridgeline.operators.scatter import BLOCK_CELLS, Scatter, read_scatters, whole
+from ridgeline.operators.moments import _typed
+from ridgeline.operators.scatter import BLOCK_CELLS
 from ridgeline.operators.weighted import SALTS, State, add_bands, merge_bands, weighted_partials
-from ridgeline.plans.descent import GRID_ALPHA_FLOOR, sample_std
-from ridgeline.plans.linear import ALL_ROWS, training_cells
+from ridgeline.plans.descent import GRID_ALPHA_FLOOR
+from ridgeline.plans.linear import ALL_ROWS
 
 LOGISTIC_SCHEMA = (
     "fold int, cell int, alpha double, lambda_idx int, lambda double, intercept double, "
     "weights array<double>, beta0 double, beta array<double>, rounds int, converged boolean, n bigint"
 )
-BASIS_SCHEMA = "fold int, n double, mean array<double>, std array<double>, product array<double>"
 STEP_SCHEMA = "cell int, beta0 double, beta array<double>, distance double"
+STATE_CELLS = 2**26  # doubles of weighted products that one task may hold: 512 MB
 DENOMINATOR_GUARD = 1e-4  # fixed value in the relative change of a reweighting step
 
 
@@ -52,6 +53,17 @@ class LogisticConfig:
         return top / max(self.alpha, GRID_ALPHA_FLOOR) * ratio ** np.arange(1, self.num_lambdas + 1)
 
 
+@dataclass(frozen=True)
+class Basis:
+    """Scale of one training set, label first, and its products with the label."""
+
+    fold: int
+    n: float
+    mean: np.ndarray
+    std: np.ndarray
+    product: np.ndarray
+
+
 @dataclass
 class Cell:
     """Progress of one (fold, alpha) cell; the driver holds only its coefficients."""
@@ -128,53 +140,46 @@ def logistic_cells(
     frame, held = cache_packed(frame)
     rows = frame.rows
     try:
-        table = moments(frame)
-        basis = cell_basis(table, num_folds)
-        cells = [make_cell(row, number, config) for row in basis for number, config in enumerate(configs)]
+        basis = cell_basis(anchored_products(frame, [0]), num_folds)
+        cells = [make_cell(b, number, config) for b in basis for number, config in enumerate(configs)]
         if not cells:
             return spark.createDataFrame([], LOGISTIC_SCHEMA)
-        shared = next(row for row in basis if row["fold"] == ALL_ROWS)
-        centre, spread = np.array(shared["mean"])[1:], np.array(shared["std"])[1:]
+        shared = basis[0]  # all rows
+        centre, spread = shared.mean[1:], shared.std[1:]
+        at_once = max(1, STATE_CELLS // (len(centre) + 2) ** 2)
         salts = SALTS if rows.rdd.getNumPartitions() > 8 * SALTS else 1
-        while any(not c.done for c in cells):
-            one_round(rows, frame.columns, centre, spread, [c for c in cells if not c.done], salts)
+        while waiting := [c for c in cells if not c.done]:
+            for first in range(0, len(waiting), at_once):
+                one_round(rows, frame.columns, centre, spread, waiting[first : first + at_once], salts)
     finally:
         for table in held:
             table.unpersist()
     return spark.createDataFrame([p for c in cells for p in c.points], LOGISTIC_SCHEMA)
 
 
-def cell_basis(table: DataFrame, num_folds: int) -> list:
+def cell_basis(table: DataFrame, num_folds: int) -> list[Basis]:
     """Training means, deviations and start products per fold: a few vectors, no matrices."""
-
-    def reduce(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, Scatter] = {}
-        for batch in batches:
-            block = batch.column("block").to_pylist()
-            for i, part in read_scatters(batch):
-                parts[block[i]] = parts[block[i]].merge(part) if block[i] in parts else part
-        train = whole(parts.values())
-        std = sample_std(train)
-        inverse = np.divide(1.0, std, out=np.zeros_like(std), where=std > 0)
-        record = {
-            "fold": keys[0].as_py(),
-            "n": train.n,
-            "mean": train.mean.tolist(),
-            "std": std.tolist(),
-            "product": (train.c[0, 1:] * inverse[1:] / train.n).tolist(),
-        }
-        schema = pa.schema(
-            [("fold", pa.int32()), ("n", pa.float64())]
-            + [(k, pa.list_(pa.float64())) for k in ("mean", "std", "product")]
+    folds = range(ALL_ROWS, num_folds)
+    spread = table.withColumnRenamed("fold", "source").withColumn("fold", F.explode(F.array(*[F.lit(k) for k in folds])))
+    train = merge_anchored(spread.where("fold <> source").select(table.columns))
+    parts: dict[int, list] = {}
+    for row in train.collect():
+        parts.setdefault(row["fold"], []).append(row)
+    basis = []
+    for fold, rows in sorted(parts.items()):
+        rows.sort(key=lambda r: r["start"])
+        n = rows[0]["n"]
+        mean, low, high, square, product = (
+            np.concatenate([np.array(r[k]) for r in rows]) for k in ("mean", "low", "high", "square", "c")
         )
-        yield pa.RecordBatch.from_pylist([record], schema=schema)
-
-    train = training_cells(table, num_folds, wide=False).where("role = 0")
-    return train.groupBy("fold").applyInArrow(_typed(reduce), BASIS_SCHEMA).orderBy("fold").collect()
+        std = np.where(low == high, 0.0, np.sqrt(square / max(n - 1, 1)))
+        inverse = np.divide(1.0, std, out=np.zeros_like(std), where=std > 0)
+        basis.append(Basis(fold, n, mean, std, (product * inverse / n)[1:]))
+    return basis
 
 
-def make_cell(row, number: int, config: LogisticConfig) -> Cell:
-    mean, std, product = (np.array(row[k]) for k in ("mean", "std", "product"))
+def make_cell(basis: Basis, number: int, config: LogisticConfig) -> Cell:
+    mean, std, product = basis.mean, basis.std, basis.product
     beta = np.zeros(len(product))
     share = float(mean[0])
     if std[0] == 0.0:
@@ -185,7 +190,7 @@ def make_cell(row, number: int, config: LogisticConfig) -> Cell:
         lambdas = config.lambdas(float(np.abs(product).max()))
     moving = config.fit_intercept and not config.freeze_intercept
     beta0 = float(np.log(share / (1.0 - share))) if moving else 0.0
-    cell = Cell(row["fold"], number, config, row["n"], mean, std, lambdas, beta0, beta)
+    cell = Cell(basis.fold, number, config, basis.n, mean, std, lambdas, beta0, beta)
     if std[0] == 0.0:
         while not cell.done:
             cell.record(True)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 
 from ridgeline.operators.metrics import average_metric, best_point, fold_metrics
 from ridgeline.plans.linear import ALL_ROWS, elastic_net_path
-from ridgeline.session import shared_folder
+from ridgeline.session import materialize
 
 
 @dataclass(frozen=True)
@@ -40,10 +40,8 @@ def cross_validate(
     """
     if metric not in ("mse", "rmse", "r2"):
         raise ValueError("metric must be mse, rmse or r2")
-    shared_folder(df.sparkSession)
-    path = elastic_net_path(
-        df, label, features, alphas, fold=fold, num_folds=num_folds, **options
-    ).checkpoint()  # small, and read by every table below
+    path = elastic_net_path(df, label, features, alphas, fold=fold, num_folds=num_folds, **options)
+    path = materialize(path, "path")  # small, and read by every table below
     metrics = fold_metrics(path)
     averaged = average_metric(metrics, metric)
     best = best_point(averaged, metric)

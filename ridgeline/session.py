@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app_name: str = "ridgeline", master: str | None = None, **conf) -> SparkSession:
@@ -46,6 +46,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(table: DataFrame, name: str) -> DataFrame:
+    """Compute a result once into the shared folder and read it from there ever after.
+
+    This cuts the lineage, survives lost executors, and unlike a checkpoint runs the last
+    stage only once.
+    """
+    path = scratch_path(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application."""
     context = spark.sparkContext
