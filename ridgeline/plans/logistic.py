@@ -22,7 +22,7 @@ LOGISTIC_SCHEMA = (
     "fold int, cell int, alpha double, lambda_idx int, lambda double, intercept double, "
     "weights array<double>, beta0 double, beta array<double>, rounds int, converged boolean, n bigint"
 )
-STEP_SCHEMA = "cell int, beta0 double, beta array<double>, distance double"
+STEP_SCHEMA = "cell int, beta0 double, beta array<double>, distance double, next0 double, next array<double>"
 STATE_CELLS = 2**26  # doubles of weighted products that one task may hold: 512 MB
 DENOMINATOR_GUARD = 1e-4  # fixed value in the relative change of a reweighting step
 
@@ -41,6 +41,7 @@ class LogisticConfig:
     max_rounds: int = 25  # reweighting steps per penalty
     fit_intercept: bool = True
     freeze_intercept: bool = False  # keep the score intercept at its start value
+    carry_step: bool = True  # a converged round also takes the first step of the next penalty
 
     def __post_init__(self):
         if not 0.0 <= self.alpha <= 1.0:
@@ -85,6 +86,11 @@ class Cell:
     def done(self) -> bool:
         return self.index >= len(self.lambdas)
 
+    @property
+    def following(self) -> float | None:
+        """The penalty after the current one."""
+        return float(self.lambdas[self.index + 1]) if self.index + 1 < len(self.lambdas) else None
+
     def record(self, converged: bool) -> None:
         lam = float(self.lambdas[self.index])
         centred = self.config.fit_intercept
@@ -216,13 +222,13 @@ def one_round(
         states.append(State(number, cell.fold, cell.beta0 - float(slopes @ shift), slopes))
         frames.append((shift, np.where(usable, 1.0 / scale, 0.0)))
     todo = [
-        (c.config, float(c.lambdas[c.index]), c.n, c.beta0, c.beta, shift, inverse)
+        (c.config, float(c.lambdas[c.index]), c.following, c.n, c.beta0, c.beta, shift, inverse)
         for c, (shift, inverse) in zip(cells, frames)
     ]
 
     def step(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = keys[0].as_py()
-        config, lam, n, beta0, beta, shift, inverse = todo[number]
+        config, lam, ahead, n, beta0, beta, shift, inverse = todo[number]
         bands = add_bands(batches)
         width = len(beta) + 1
         joined = np.concatenate([bands[key] for key in sorted(bands)]).reshape(width, width + 1)
@@ -235,14 +241,22 @@ def one_round(
         target = move @ joined[:, width]
         new0, new = penalized_step(gram, target, n, beta0, beta, lam, config)
         distance = relative_change(beta0, beta, new0, new, config)
+        next0, after = None, None
+        if distance <= config.tol and ahead is not None and config.carry_step:
+            # the products are current to within the tolerance, so the next penalty can start on
+            # them; the following round corrects that step and saves one scan per penalty
+            next0, after = penalized_step(gram, target, n, new0, new, ahead, config)
+        vectors = pa.list_(pa.float64())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int32()),
                 pa.array([new0], pa.float64()),
-                pa.array([new.tolist()], pa.list_(pa.float64())),
+                pa.array([new.tolist()], vectors),
                 pa.array([distance], pa.float64()),
+                pa.array([next0], pa.float64()),
+                pa.array([None if after is None else after.tolist()], vectors),
             ],
-            names=["cell", "beta0", "beta", "distance"],
+            names=["cell", "beta0", "beta", "distance", "next0", "next"],
         )
 
     partials = weighted_partials(rows, columns, centre, spread, states, salts)
@@ -256,6 +270,8 @@ def one_round(
         converged = row["distance"] <= cell.config.tol
         if converged or cell.rounds >= cell.config.max_rounds:
             cell.record(converged)
+            if row["next"] is not None:
+                cell.beta0, cell.beta = row["next0"], np.array(row["next"])
 
 
 def penalized_step(
