@@ -25,7 +25,8 @@ from ridgeline.operators.scatter import (
 from ridgeline.session import materialize
 
 MOMENT_SCHEMA = "fold int, " + SCATTER_FIELDS
-COLUMN_LIMIT = 8  # beyond this many features the generated aggregate outgrows the JIT compiler
+COLUMN_LIMIT = 12  # beyond this many features matrix products on batches are faster
+CODEGEN_FIELDS = "spark.sql.codegen.maxFields"
 WIDTH_LIMIT = 8192  # a full matrix beyond this (512 MB per task and fold) is left to the lazy path
 ILL_CONDITIONED = 1e4  # |mean| / std above this loses more than 8 digits in plain sums
 
@@ -51,8 +52,15 @@ def _column_sums(frame: Design, shift: np.ndarray) -> list:
     for i, a in enumerate(slots):
         sums += [F.sum(a).alias(f"s{i}"), F.min(a).alias(f"low{i}"), F.max(a).alias(f"high{i}")]
         sums += [F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for j, b in enumerate(slots) if j >= i]
-    # one row per fold and a few dozen numbers per row: safe to hold on the driver
-    return rows.groupBy("fold").agg(*sums).collect()
+    # one row per fold and at most a few hundred numbers per row: safe to hold on the driver
+    spark, wide = rows.sparkSession, str(2 * len(sums) + 100)
+    before = spark.conf.get(CODEGEN_FIELDS)
+    # the default of 100 fields would turn off code generation for the whole stage
+    spark.conf.set(CODEGEN_FIELDS, max(before, wide, key=int))
+    try:
+        return rows.groupBy("fold").agg(*sums).collect()
+    finally:
+        spark.conf.set(CODEGEN_FIELDS, before)
 
 
 def _column_moments(frame: Design) -> DataFrame:

@@ -30,9 +30,11 @@ class Scatter:
 
     @classmethod
     def of(cls, rows: np.ndarray) -> Scatter:
-        mean = rows.mean(axis=0)
-        centred = rows - mean
-        return cls(0, float(len(rows)), mean, rows.min(axis=0), rows.max(axis=0), centred.T @ centred)
+        slots = np.array(rows.T, dtype=float, order="C")  # reductions run along contiguous memory
+        mean = slots.mean(axis=1)
+        low, high = slots.min(axis=1), slots.max(axis=1)
+        slots -= mean[:, None]
+        return cls(0, float(len(rows)), mean, low, high, slots @ slots.T)
 
     def merge(self, other: Scatter) -> Scatter:
         """Pairwise update of count, mean and scatter; no large sums are subtracted."""
