@@ -9,7 +9,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-STATISTICS = ("n", "mean", "variance", "std", "nnz", "max", "min", "l2", "l1")
+TASK_GROUPS = 64
 
 
 def mean(x: Column) -> Column:
@@ -60,30 +60,40 @@ def array_profile(df: DataFrame, features: str) -> DataFrame:
     """The same profile for one array or vector column; ``feature`` is the 0-based position.
 
     The vector summarizer works on whole rows, so no row is exploded per feature. Entries
-    that a sparse vector leaves out count as zeros.
+    that a sparse vector leaves out count as zeros. Summaries are first added up in a fixed
+    number of groups of map tasks, so that no reducer receives the partials of all tasks.
     """
     vector = F.col(features)
     if not isinstance(df.schema[features].dataType, VectorUDT):
         vector = array_to_vector(vector.cast("array<double>"))
-    wanted = ("mean", "variance", "std", "numNonZeros", "max", "min", "normL2", "normL1")
-    wide = df.select(vector.alias("v")).agg(
+    wanted = ("mean", "variance", "numNonZeros", "max", "min", "normL2", "normL1")
+    rows = df.select(vector.alias("v"), F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS)).alias("part"))
+    grouped = rows.where("v is not null").groupBy("part").agg(
         F.count("v").alias("n"), Summarizer.metrics(*wanted).summary(F.col("v")).alias("s")
     )
     parts = [vector_to_array(F.col(f"s.{m}")).alias(m) for m in wanted]
-    zipped = wide.select("n", *parts).select(
-        "n", F.posexplode(F.arrays_zip(*wanted)).alias("feature", "v")
+    tall = grouped.select("n", *parts).select("n", F.posexplode(F.arrays_zip(*wanted)).alias("feature", "v"))
+    merged = tall.groupBy("feature").agg(
+        F.sum("n").alias("n"),
+        (F.sum(F.col("n") * F.col("v.mean")) / F.sum("n")).alias("mean"),
+        # at most one entry per group of tasks
+        F.collect_list(F.struct("n", "v.mean", "v.variance")).alias("groups"),
+        F.sum(F.col("v.numNonZeros")).cast("long").alias("nnz"),
+        F.max("v.max").alias("max"),
+        F.min("v.min").alias("min"),
+        F.sqrt(F.sum(F.col("v.normL2") * F.col("v.normL2"))).alias("l2"),
+        F.sum("v.normL1").alias("l1"),
     )
-    return zipped.select(
-        "feature",
-        "n",
-        F.col("v.mean").alias("mean"),
-        F.col("v.variance").alias("variance"),
-        F.col("v.std").alias("std"),
-        F.col("v.numNonZeros").cast("long").alias("nnz"),
-        F.col("v.max").alias("max"),
-        F.col("v.min").alias("min"),
-        F.col("v.normL2").alias("l2"),
-        F.col("v.normL1").alias("l1"),
+    squares = F.aggregate(
+        "groups",
+        F.lit(0.0),
+        lambda total, g: total
+        + (g["n"] - 1) * g["variance"]
+        + g["n"] * (g["mean"] - F.col("mean")) * (g["mean"] - F.col("mean")),
+    )
+    spread = F.when(F.col("n") == 1, F.lit(0.0)).otherwise(squares / (F.col("n") - 1))
+    return merged.withColumn("variance", spread).select(
+        "feature", "n", "mean", "variance", F.sqrt("variance").alias("std"), "nnz", "max", "min", "l2", "l1"
     )
 
 

@@ -107,3 +107,21 @@ def test_carried_steps_reach_the_same_path(binary):
     for a, b in zip(carried, plain):
         assert np.allclose(a["weights"], b["weights"], atol=1e-8)
     assert sum(r["rounds"] for r in carried) <= sum(r["rounds"] for r in plain)
+
+
+def test_classifier_inside_spark_cross_validator(binary):
+    from pyspark.ml.tuning import CrossValidator
+
+    from ridgeline.operators.grid import PathParamGridBuilder
+
+    estimator = ElasticNetPathClassifier(numLambdas=3, lambdaShrink=0.05, lambdaIndex=2)
+    grid = PathParamGridBuilder().addGrid(estimator.elasticNetParam, [0.5, 1.0]).build_with_index(estimator.lambdaIndex, 3)
+    fitted = CrossValidator(
+        estimator=estimator,
+        estimatorParamMaps=grid,
+        evaluator=BinaryClassificationEvaluator(),
+        numFolds=3,
+        foldCol="fold",
+    ).fit(binary)
+    assert len(fitted.avgMetrics) == 6 and max(fitted.avgMetrics) > 0.8
+    assert fitted.bestModel.numFeatures == 10
