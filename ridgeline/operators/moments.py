@@ -76,7 +76,7 @@ def _column_moments(frame: Design) -> DataFrame:
         if np.any(varies & (spread * ILL_CONDITIONED**2 < mean**2)):
             shift = mean  # a column sits far from zero: sum again around the means just found
             records = _column_sums(frame, shift)
-    out = []
+    parts = []
     for r in records:
         n = float(r["n"])
         total = np.array([r[f"s{i}"] for i in range(width)])
@@ -85,12 +85,9 @@ def _column_moments(frame: Design) -> DataFrame:
         for i in range(width):
             for j in range(i, width):
                 square[i, j] = square[j, i] = r[f"s{i}_{j}"]
-        c = square - np.outer(total, total) / n
-        mean = total / n + shift
-        out.append(
-            (r["fold"], 0, 0, n, mean.tolist(), low.tolist(), high.tolist(), np.ravel(c).tolist())
-        )
-    return frame.rows.sparkSession.createDataFrame(out, MOMENT_SCHEMA)
+        parts.append(Scatter(0, n, total / n + shift, low, high, square - np.outer(total, total) / n))
+    batch = write_scatters({"fold": [r["fold"] for r in records]}, [(0, part) for part in parts])
+    return frame.rows.sparkSession.createDataFrame(pa.Table.from_batches([batch]), MOMENT_SCHEMA)
 
 
 def block_moments(frame: Design) -> DataFrame:
@@ -102,7 +99,7 @@ def block_moments(frame: Design) -> DataFrame:
         for batch in batches:
             for fold, rows in row_blocks(batch, columns):
                 if rows.shape[1] > WIDTH_LIMIT:
-                    raise ValueError(f"{rows.shape[1]} columns are too wide for a full matrix: use lazy_path")
+                    raise ValueError(f"{rows.shape[1]} columns are too wide for a full matrix: use lazy_path or gramMode='lazy'")
                 for key in np.unique(fold).astype(int).tolist():
                     part = Scatter.of(rows[fold == key])
                     totals[key] = totals[key].merge(part) if key in totals else part

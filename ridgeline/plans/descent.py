@@ -70,10 +70,21 @@ def lambda_grid(top: float, config: PathConfig) -> np.ndarray:
     return start * ratio ** np.arange(1, config.num_lambdas + 1)
 
 
+SPARSE_SWEEP = 16  # jump from mover to mover when at most one coefficient in so many is nonzero
+
+
 def sweep(g: np.ndarray, beta: np.ndarray, xx: np.ndarray, gamma: float, ridge: float) -> float:
     """One ascending pass over all coordinates. ``g`` stays ``xy - xx beta``; returns the change."""
-    change = 0.0
-    for j in range(len(beta)):
+    change, j, width = 0.0, 0, len(beta)
+    sparse = np.count_nonzero(beta) * SPARSE_SWEEP < width
+    while j < width:
+        if sparse:
+            # a zero coefficient within the threshold stays zero: look up the next one that can move
+            movable = (beta[j:] != 0.0) | (np.abs(g[j:]) > gamma)
+            step = int(movable.argmax())
+            if not movable[step]:
+                break
+            j += step
         old = beta[j]
         z = g[j] + old
         new = 0.0 if abs(z) <= gamma else (z - gamma if z > 0 else z + gamma) / ridge
@@ -81,6 +92,7 @@ def sweep(g: np.ndarray, beta: np.ndarray, xx: np.ndarray, gamma: float, ridge:
             g -= xx[j] * (new - old)
             beta[j] = new
             change += abs(new - old)
+        j += 1
     return change
 
 

@@ -29,6 +29,7 @@ from ridgeline.operators.design import design
 from ridgeline.operators.moments import moments
 from ridgeline.operators.scoring import linear_score
 from ridgeline.plans.descent import PathConfig
+from ridgeline.plans.lazy import lazy_cells, spread_out
 from ridgeline.plans.linear import solve_cells
 from ridgeline.plans.logistic import LogisticConfig, logistic_cells
 
@@ -167,7 +168,21 @@ class ElasticNetPathRegressionModel(_PathModel):
 
 
 class ElasticNetPathRegressor(_PathEstimator):
-    """Elastic-net linear regression that fits whole paths and returns one point of them."""
+    """Elastic-net linear regression that fits whole paths and returns one point of them.
+
+    ``gramMode="lazy"`` is for wide input: it computes cross-products only for features about
+    to enter the path.
+    """
+
+    gramMode = Param(
+        Params._dummy(), "gramMode", "cross-products to compute: full or lazy", TypeConverters.toString
+    )
+
+    def setGramMode(self, value: str):  # noqa: N802
+        return self._set(gramMode=value)
+
+    def getGramMode(self) -> str:  # noqa: N802
+        return self.getOrDefault(self.gramMode)
 
     @keyword_only
     def __init__(
@@ -183,9 +198,11 @@ class ElasticNetPathRegressor(_PathEstimator):
         maxIter=100,  # noqa: N803
         tol=1e-3,
         fitIntercept=True,  # noqa: N803
+        gramMode="full",  # noqa: N803
     ):
         super().__init__()
         self._setDefault(
+            gramMode="full",
             elasticNetParam=0.01,
             numLambdas=100,
             lambdaShrink=1e-3,
@@ -207,9 +224,15 @@ class ElasticNetPathRegressor(_PathEstimator):
         )
 
     def _paths(self, dataset: DataFrame, label: str, features: str, configs: list) -> DataFrame:
-        return solve_cells(moments(design(dataset, label, features)), configs)
+        frame = design(dataset, label, features)
+        if self.getGramMode() not in ("full", "lazy"):
+            raise ValueError("gramMode must be full or lazy")
+        return lazy_cells(frame, configs) if self.getGramMode() == "lazy" else solve_cells(moments(frame), configs)
 
     def _model(self, row) -> ElasticNetPathRegressionModel:
+        if "indices" in row:
+            weights = spread_out(row["width"], row["indices"], row["weights"])
+            return ElasticNetPathRegressionModel(weights, row["intercept"], row["lambda"])
         return ElasticNetPathRegressionModel(row["weights"], row["intercept"], row["lambda"])
 
 

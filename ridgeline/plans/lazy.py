@@ -10,11 +10,12 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ridgeline.operators.anchored import anchored_products, read_anchored
-from ridgeline.operators.design import cache_packed, design
+from ridgeline.operators.design import Design, cache_packed, design
 from ridgeline.operators.moments import _typed
 from ridgeline.plans.descent import PathConfig, lambda_grid, sweep
 from ridgeline.session import materialize
@@ -50,10 +51,15 @@ def lazy_path(
 ) -> DataFrame:
     """Elastic-net paths with sparse weights (``indices, weights, width``), one per alpha."""
     configs = [PathConfig(alpha=float(a), **options) for a in alphas]
+    return lazy_cells(design(df, label, features, None, handle_invalid), configs)
+
+
+def lazy_cells(frame: Design, configs: Sequence[PathConfig]) -> DataFrame:
+    """One sparse path per configuration; all of them share the products."""
+    configs = list(configs)
     if any(c.entry != "full" for c in configs):
         raise ValueError("the lazy path always checks every feature before it keeps a point")
-    frame = design(df, label, features, None, handle_invalid)
-    spark = df.sparkSession
+    spark = frame.rows.sparkSession
     frame, held = cache_packed(frame)
     progress = {i: Progress() for i in range(len(configs))}
     groups: list[list[int]] = [[]]  # features whose products each table holds; the first holds the label
@@ -92,13 +98,19 @@ def lazy_path(
 def densify(path: DataFrame) -> DataFrame:
     """Expand sparse weights and betas to full arrays."""
 
-    def full(values: str) -> Column:
-        lookup = F.map_from_arrays("indices", values)
-        return F.transform(
-            F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0))
-        )
 
-    return path.withColumns({"weights": full("weights"), "beta": full("beta")}).drop("indices", "width")
+    @F.pandas_udf("array<double>")
+    def full(width: pd.Series, indices: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([spread_out(*row) for row in zip(width, indices, values)], dtype=object)
+
+    columns = {name: full("width", "indices", name) for name in ("weights", "beta")}
+    return path.withColumns(columns).drop("indices", "width")
+
+
+def spread_out(width: int, indices: Sequence[int], values: Sequence[float]) -> np.ndarray:
+    out = np.zeros(width)
+    out[np.asarray(indices, dtype=int)] = values
+    return out
 
 
 def _solve(

@@ -183,6 +183,13 @@ def test_fit_many_shares_one_scan_and_honours_overrides(sample, monkeypatch):
     assert models[3].penalty > models[0].penalty
 
 
+def test_lazy_products_give_the_same_models(sample):
+    lr = ElasticNetPathRegressor(elasticNetParam=0.4, numLambdas=8, tol=1e-10, lambdaIndex=7)
+    full, lazy = lr.fit(sample), lr.copy({lr.gramMode: "lazy"}).fit(sample)
+    assert np.allclose(full.weights.toArray(), lazy.weights.toArray(), atol=1e-7)
+    assert full.intercept == pytest.approx(lazy.intercept, abs=1e-7)
+
+
 def test_index_beyond_the_path_fails_before_any_job(spark):
     lr = ElasticNetPathRegressor(numLambdas=5, lambdaIndex=5)
     with pytest.raises(ValueError, match="lambdaIndex"):
