@@ -44,6 +44,12 @@ def _as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _checked_fold(fold: Column, num_folds: int | None) -> Column:
+    fold = fold.cast("int")
+    valid = fold >= 0 if num_folds is None else fold.between(0, num_folds - 1)
+    return F.when(valid, fold).otherwise(F.raise_error(F.lit("fold is null or out of range")).cast("int"))
+
+
 def _checked(value: Column, what: str, handle_invalid: str) -> Column:
     value = value.cast("double")
     if handle_invalid == "skip":
@@ -58,11 +64,16 @@ def design(
     features: Column | str | Sequence[Column | str],
     fold: Column | str | None = None,
     handle_invalid: str = "error",
+    num_folds: int | None = None,
 ) -> Design:
-    """Select and check what a fit reads; everything else is pruned from the scan."""
+    """Select and check what a fit reads; everything else is pruned from the scan.
+
+    Fold numbers must be 0 or more, and below ``num_folds`` when that is given. A row without a
+    valid fold always fails: leaving it out would change every model.
+    """
     if handle_invalid not in ("error", "skip"):
         raise ValueError("handle_invalid must be 'error' or 'skip'")
-    key = (F.lit(0) if fold is None else _as_column(fold)).cast("int").alias("fold")
+    key = (F.lit(0) if fold is None else _checked_fold(_as_column(fold), num_folds)).alias("fold")
     target = _checked(_as_column(label), "label", handle_invalid).alias("label")
     if isinstance(features, (str, Column)):
         rows = df.select(key, target, _as_column(features).alias("features"))

@@ -40,11 +40,11 @@ def elastic_net_path(
     its squared error on them. ``options`` are the fields of :class:`PathConfig`.
     """
     configs = [PathConfig(alpha=float(a), **options) for a in alphas]
-    frame = design(df, label, features, fold, handle_invalid)
     if fold is None:
         num_folds = 0
     elif num_folds < 2:
         raise ValueError("num_folds must be at least 2 when a fold column is given")
+    frame = design(df, label, features, fold, handle_invalid, num_folds or None)
     return solve_cells(moments(frame, mode), configs, num_folds, shared_lambdas)
 
 

@@ -140,8 +140,11 @@ def logistic_cells(
     num_folds: int = 0,
     handle_invalid: str = "error",
 ) -> DataFrame:
-    frame = design(df, label, features, fold, handle_invalid)
-    num_folds = 0 if fold is None else num_folds
+    if fold is None:
+        num_folds = 0
+    elif num_folds < 2:
+        raise ValueError("num_folds must be at least 2 when a fold column is given")
+    frame = design(df, label, features, fold, handle_invalid, num_folds or None)
     spark = df.sparkSession
     frame, held = cache_packed(frame)
     rows = frame.rows

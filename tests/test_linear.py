@@ -165,6 +165,13 @@ def test_null_policy(spark, features):
     assert kept[0]["n"] == 20
 
 
+@pytest.mark.parametrize("fold", ["id - 1", "3 + id * 0", "if(id = 7, null, id % 3)"])
+@pytest.mark.parametrize("mode", ["columns", "blocks"])
+def test_rows_without_a_valid_fold_fail(columns, fold, mode):
+    with pytest.raises(Exception, match="fold is null or out of range"):
+        elastic_net_path(columns, "label", NAMES, [0.5], fold=F.expr(fold), num_folds=3, mode=mode).collect()
+
+
 def test_widths_must_agree(spark):
     frame = spark.createDataFrame([(1.0, [1.0, 2.0]), (2.0, [1.0])], "label double, features array<double>").coalesce(1)
     with pytest.raises(Exception, match="widths"):
