@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.bpe import codec_digest
 from ridgeline.llm.common import documents
 from ridgeline.llm.lines import drop_repeated_lines
+from ridgeline.llm.mixing import layout_topic, mix, word_count
 from ridgeline.llm.simhash import simhash_components
 from ridgeline.llm.token_count import token_counts
 
@@ -48,6 +49,56 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+# How op5 and the pipeline sort documents into topics: by layout marks, else by length in characters.
+TOPIC_MARKS = [("license", "Licensed under"), ("table", " | "), ("symbols", "%%%"), ("shout", "!! ")]
+TOPIC_SIZES = [("short", 1000), ("medium", 5000)]
+MIX_TEMPER = 0.9
+MIX_ROUNDS = 8
+
+
+def mixing_dims() -> dict[str, Column]:
+    topic = layout_topic(F.col("text"), TOPIC_MARKS, TOPIC_SIZES, "long")
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dims = mixing_dims()
+    mixed = mix(documents(spark, sf_dir), dims, word_count(F.col("text")), temper=MIX_TEMPER, rounds=MIX_ROUNDS)
+    return mixed.select("doc_id", "source", "lang", dims["topic"].alias("topic"), F.round("probability", 9).alias("probability"), "sampled")
+
+
+def mixing_sql(docs: str = "documents") -> str:
+    """The same raking in DuckDB, a table expression for each margin of each round."""
+    cases = " ".join(f"WHEN contains(text, '{mark}') THEN '{name}'" for name, mark in TOPIC_MARKS)
+    cases += " " + " ".join(f"WHEN coalesce(length(text), 0) < {size} THEN '{name}'" for name, size in TOPIC_SIZES)
+    word = "'[^\\x09-\\x0D\\x20]+'"
+    parts = [
+        f"d AS (SELECT *, CASE {cases} ELSE 'long' END AS topic, coalesce(len(regexp_extract_all(text, {word})), 0) AS words FROM {docs})",
+        "c0 AS (SELECT source, lang, topic, CAST(sum(words) AS DOUBLE) AS own, CAST(sum(words) AS DOUBLE) AS weight FROM d GROUP BY ALL)",
+    ]
+    for dim in ("source", "lang", "topic"):
+        shares = f"(SELECT {dim}, pow(sum(own), {MIX_TEMPER}) AS s FROM c0 GROUP BY {dim} HAVING sum(own) > 0)"
+        parts.append(f"t_{dim} AS (SELECT {dim}, s / sum(s) OVER () * (SELECT sum(own) FROM c0) AS wanted FROM {shares})")
+    last = "c0"
+    for turn in range(MIX_ROUNDS):
+        for dim in ("source", "lang", "topic"):
+            step = f"c{turn + 1}_{dim}"
+            parts.append(
+                f"{step} AS MATERIALIZED (SELECT c.* EXCLUDE (weight), weight * coalesce(wanted / nullif(sum(weight) OVER (PARTITION BY c.{dim}), 0), 0) AS weight "
+                f"FROM {last} c LEFT JOIN t_{dim} t ON c.{dim} IS NOT DISTINCT FROM t.{dim})"
+            )
+            last = step
+    parts.append(f"p AS (SELECT source, lang, topic, coalesce(weight / nullif(own, 0) / (SELECT max(weight / nullif(own, 0)) FROM {last}), 1.0) AS probability FROM {last})")
+    parts.append(
+        "mixed AS (SELECT d.*, probability, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / pow(16, 13) < probability AS sampled FROM d JOIN p "
+        "ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic)"
+    )
+    return "WITH " + ",\n".join(parts)
+
+
+MIXING = "SELECT doc_id, source, lang, topic, round(probability, 9) AS probability, sampled FROM mixed"
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     kept = drop_repeated_lines(docs, min_docs=3, min_chars=20)
@@ -59,4 +110,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op10_line_dedup": LINE_DEDUP}
+    return {"op5_mixing": f"{mixing_sql()}\n{MIXING}", "op10_line_dedup": LINE_DEDUP}
