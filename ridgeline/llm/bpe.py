@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ridgeline.llm.common import arrow_map, pack, shipped_file
 from ridgeline.llm.token_count import byte_symbols
@@ -255,3 +256,22 @@ def codec_digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     ``encode_texts``.
     """
     return _narrow(docs, id_col, text_col, _digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", vocabulary)
+
+
+def _with_tokens(file: shipped_file, text_at: int, names: list[str], batch: pa.RecordBatch) -> pa.RecordBatch:
+    codec = file.build(TextCodec)
+    encoded = _encode(file, pa.RecordBatch.from_arrays([batch.column(text_at)] * 2, ["id", "text"])).column("ids")
+    count = np.diff(encoded.offsets.to_numpy())
+    same = [codec.decode(ids.values.to_numpy(zero_copy_only=False)) == (text.as_py() or "") for ids, text in zip(encoded, batch.column(text_at))]
+    return pa.RecordBatch.from_arrays([*batch.columns, encoded, pa.array(count.astype(np.int64)), pa.array(same, pa.bool_())], names)
+
+
+def with_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids``, ``n_tokens`` and ``round_trip``: whether the decoded ids are the text (a null one: empty).
+
+    Columns of those names are replaced; other cases as in ``encode_texts``.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {"ids", "n_tokens", "round_trip"}])
+    schema = StructType(list(docs.schema.fields)).add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
+    file = shipped_file(docs.sparkSession, vocabulary)
+    return arrow_map(docs, partial(_with_tokens, file, docs.columns.index(text_col), schema.names), schema)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ridgeline.session import materialize, ship_package
 
@@ -40,15 +41,18 @@ def pack(frame: DataFrame, **columns: str | Column) -> DataFrame:
     return frame.select(*(F.col(f"`{c}`").alias(k) if isinstance(c, str) else c.alias(k) for k, c in columns.items()))
 
 
-def arrow_map(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """One output batch for each input batch; a task holds one batch at a time."""
+def arrow_map(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """One output batch for each input batch, columns by position; a task holds one batch at a time."""
+    names = schema.names if isinstance(schema, StructType) else None
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             if batch.num_rows:
-                yield work(batch)
+                out = work(batch)
+                yield out.rename_columns(names) if names else out
 
-    return frame.mapInArrow(batches, schema)
+    ship_package(frame.sparkSession)
+    return frame.toDF(*[f"c{i}" for i in range(len(frame.columns))]).mapInArrow(batches, schema)
 
 
 class shipped_file:  # noqa: N801 - reads like a function

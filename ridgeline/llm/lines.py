@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ridgeline.llm.common import arrow_map, fresh, materialize, pack
 
@@ -182,7 +183,6 @@ def drop_repeated_lines(
     )
     mine = docs.join(lost, docs[f"`{id_col}`"].eqNullSafe(lost["doc_"]) & docs[f"`{stray}`"].eqNullSafe(lost["stray_"]), "left")
     mine = mine.select(*[docs[f"`{c}`"] for c in docs.columns if c != stray], lost[gone])
-    names = [c for c in mine.columns if c != gone]
-    schema = mine.drop(gone).schema.add(n_lines, "long").add(n_dropped, "long")
-    work = partial(_cut, min_chars, names.index(text_col), mine.columns.index(gone), [*names, n_lines, n_dropped])
+    schema = StructType([f for f in mine.schema.fields if f.name != gone]).add(n_lines, "long").add(n_dropped, "long")
+    work = partial(_cut, min_chars, mine.columns.index(text_col), mine.columns.index(gone), schema.names)
     return arrow_map(mine, work, schema)

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.bpe import codec_digest
-from ridgeline.llm.common import documents
+from ridgeline.llm.common import documents, table
 from ridgeline.llm.lines import drop_repeated_lines
 from ridgeline.llm.mixing import layout_topic, mix, word_count
+from ridgeline.llm.quality import score, train
 from ridgeline.llm.simhash import simhash_components
 from ridgeline.llm.token_count import token_counts
 
@@ -99,6 +100,12 @@ def mixing_sql(docs: str = "documents") -> str:
 MIXING = "SELECT doc_id, source, lang, topic, round(probability, 9) AS probability, sampled FROM mixed"
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang", "n_chars")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).drop("text", "source", "lang", "n_chars")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     kept = drop_repeated_lines(docs, min_docs=3, min_chars=20)
