@@ -174,7 +174,8 @@ def drop_repeated_lines(
     runs = LineRuns(docs.sparkSession, fanout)
     for number in range(len(steps), -1, -1):
         runs.add(lines.where(F.col(part) == number))
-    repeated = runs.totals().where(F.col("docs") >= min_docs).select("line", "owner")
+    # stored, so that both sides of the join are dealt out anew and a line that very many documents have can be split
+    repeated = materialize(runs.totals().where(F.col("docs") >= min_docs).select("line", "owner"), "repeated-lines")
     lost = (
         lines.join(repeated, "line")
         .where(~F.col("doc").eqNullSafe(F.col("owner")))
