@@ -13,6 +13,7 @@ from ridgeline.llm.lines import drop_repeated_lines
 from ridgeline.llm.mixing import layout_topic, mix, word_count
 from ridgeline.llm.quality import score, train
 from ridgeline.llm.simhash import simhash_components
+from ridgeline.llm.suffix import cut_repeats
 from ridgeline.llm.token_count import token_counts
 
 # DuckDB: blanks are \x20 and \x09 to \x0D
@@ -106,6 +107,18 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).drop("text", "source", "lang", "n_chars")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_repeats(documents(spark, sf_dir), width=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["begin"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     kept = drop_repeated_lines(docs, min_docs=3, min_chars=20)
