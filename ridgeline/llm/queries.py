@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.bpe import codec_digest
 from ridgeline.llm.common import documents, table
+from ridgeline.llm.embedding import embedding_duplicates
 from ridgeline.llm.lines import drop_repeated_lines
 from ridgeline.llm.mixing import layout_topic, mix, word_count
 from ridgeline.llm.quality import score, train
@@ -45,6 +46,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), limit=0.98)
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
