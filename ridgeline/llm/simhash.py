@@ -270,7 +270,8 @@ def simhash_components(
     least = named.groupBy("root").agg(F.min("first").alias("low"))
     named = named.join(least, "root").select(F.col("print").alias("linked"), "low")
     label = first.join(named, F.col("print") == F.col("linked"), "left").select(F.col("print").alias("key"), F.coalesce("low", "first").alias("component_id"))
-    out = marked.join(label, F.col("print") == F.col("key"))
+    # stored, so that both sides of the join are dealt out anew and a fingerprint that very many documents have can be split
+    out = marked.join(materialize(label, "fingerprint-labels"), F.col("print") == F.col("key"))
     shown = F.lpad(F.lower(F.hex("print")), 16, "0")
     return out.select(F.col("doc").alias(id_col), shown.alias("fingerprint"), "component_id")
 
