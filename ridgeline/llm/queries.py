@@ -13,6 +13,7 @@ from ridgeline.llm.embedding import embedding_duplicates
 from ridgeline.llm.lines import drop_repeated_lines
 from ridgeline.llm.mixing import layout_topic, mix, word_count
 from ridgeline.llm.quality import score, train
+from ridgeline.llm.search import top_k
 from ridgeline.llm.simhash import simhash_components
 from ridgeline.llm.suffix import cut_repeats
 from ridgeline.llm.token_count import token_counts
@@ -112,6 +113,35 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).drop("text", "source", "lang", "n_chars")
 
 
+def op8_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    queries = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return top_k(docs, queries, k=10)
+
+
+# Terms are runs of ASCII letters and digits and of all characters beyond ASCII.
+SEARCH = r"""
+WITH terms AS (
+    SELECT doc_id, term, count(*) AS tf FROM (
+        SELECT doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+        FROM documents) GROUP BY ALL
+), lengths AS (SELECT doc_id, sum(tf) AS words FROM terms GROUP BY doc_id
+), totals AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(words) FROM lengths) / (SELECT count(*) FROM documents) AS mean
+), weights AS (SELECT term, ln(1 + ((SELECT n FROM totals) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM terms GROUP BY term
+), impacts AS (
+    SELECT doc_id, term, CAST(round_even(idf * (tf * (1.2 + 1) / (tf + 1.2 * (1 - 0.75 + 0.75 * words / mean))) * 1e6, 0) AS BIGINT) AS impact
+    FROM terms JOIN lengths USING (doc_id) JOIN weights USING (term), totals
+), scores AS (
+    SELECT q.doc_id AS query_id, i.doc_id, CAST(sum(impact) AS BIGINT) AS score
+    FROM (SELECT DISTINCT doc_id, term FROM terms WHERE doc_id % 20 = 0) q JOIN impacts i USING (term) GROUP BY ALL
+)
+SELECT query_id, rank, doc_id, score FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0
+) WHERE rank <= 10
+"""
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = cut_repeats(documents(spark, sf_dir), width=50)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["begin"])
@@ -135,4 +165,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op5_mixing": f"{mixing_sql()}\n{MIXING}", "op10_line_dedup": LINE_DEDUP}
+    return {"op5_mixing": f"{mixing_sql()}\n{MIXING}", "op8_top_k_search": SEARCH, "op10_line_dedup": LINE_DEDUP}
