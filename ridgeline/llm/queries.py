@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.bpe import codec_digest
+from ridgeline.llm.chat import rotate_perspectives
 from ridgeline.llm.common import documents, table
 from ridgeline.llm.embedding import embedding_duplicates
 from ridgeline.llm.lines import drop_repeated_lines
@@ -113,6 +114,35 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).drop("text", "source", "lang", "n_chars")
 
 
+CHAT_TURNS = 64
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = rotate_perspectives(table(spark, sf_dir, "conversations"), turns=CHAT_TURNS)
+    marks = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["begin"], s["end"])), ",")
+    return chats.select("conv_id", "perspective", "piece", "n_turns", F.sha2("text", 256).alias("text_sha256"), marks.alias("trained"))
+
+
+CHAT = f"""
+WITH placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place FROM conversations
+), speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM placed WHERE role IS DISTINCT FROM 'system'
+), parts AS (
+    SELECT p.conv_id, speaker, p.place, p.place // {CHAT_TURNS} AS piece, role IS NOT DISTINCT FROM speaker AS own,
+        '<|' || CASE WHEN role IS NOT DISTINCT FROM speaker THEN 'assistant' WHEN role = 'system' THEN 'system'
+            ELSE 'user:' || translate(coalesce(nullif(role, ''), 'unknown'), '|<>' || chr(10) || chr(13), '_____') END || '|>' || chr(10) AS head,
+        replace(coalesce(text, ''), '<|', '<\\|') || '<|end|>' || chr(10) AS body
+    FROM placed p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id
+), spread AS (
+    SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, piece ORDER BY place) AS stop FROM parts
+)
+SELECT conv_id, speaker AS perspective, CAST(piece AS BIGINT) AS piece, count(*) AS n_turns,
+    sha256(string_agg(head || body, '' ORDER BY place)) AS text_sha256,
+    coalesce(string_agg(CASE WHEN own THEN CAST(stop - length(body) AS VARCHAR) || '-' || CAST(stop AS VARCHAR) END, ',' ORDER BY place), '') AS trained
+FROM spread GROUP BY conv_id, speaker, piece
+"""
+
+
 def op8_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     queries = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
@@ -165,4 +195,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op5_mixing": f"{mixing_sql()}\n{MIXING}", "op8_top_k_search": SEARCH, "op10_line_dedup": LINE_DEDUP}
+    return {"op5_mixing": f"{mixing_sql()}\n{MIXING}", "op7_chat_format": CHAT, "op8_top_k_search": SEARCH, "op10_line_dedup": LINE_DEDUP}
