@@ -32,9 +32,10 @@ from ridgeline.llm.common import pack
 from ridgeline.session import scratch_path, ship_package
 
 GRAM = 20
-PART_BYTES = 8 << 20
-STEP = 1 << 20
-SLOT_BYTES = 12 << 20  # text whose anchors one reducer takes
+PART_BYTES = 4 << 20
+STEP = 1 << 18
+STRINGS = 1 << 17  # strings sorted at once
+SLOT_BYTES = 6 << 20  # text whose anchors one reducer takes
 SHALLOW_WORDS = 3
 BITS = 48
 NO_ID = np.iinfo(np.int64).max  # rows without id come after all others
@@ -195,7 +196,10 @@ def find_anchors(data: np.ndarray, ends: np.ndarray, width: int) -> Anchors:
         first = string[new]
         count = np.diff(np.append(np.flatnonzero(new), len(string)))
         anchor = at[new]
-        found.append((first + start, count, anchor - first, hashes[anchor] >> np.uint64(64 - BITS)))
+        even = hashes[anchor]  # the least of many: small numbers, which are spread out anew
+        even = (even ^ even >> np.uint64(30)) * np.uint64(0x94D049BB133111EB)
+        even = (even ^ even >> np.uint64(27)) * np.uint64(0xBF58476D1CE4E5B9)
+        found.append((first + start, count, anchor - first, even >> np.uint64(64 - BITS)))
     if not found:
         none = np.empty(0, np.int64)
         return Anchors(none, none, none, none.astype(np.uint64), none)
@@ -306,8 +310,8 @@ class Part:
         if len(use):
             text = np.lib.stride_tricks.as_strided(padded, (len(self.data), longest), (1, 1))
             sketch = np.zeros(len(use), np.uint64)  # tells stretches of one anchor apart
-            for at in range(0, len(use), STEP // 8):
-                some = slice(at, at + STEP // 8)
+            for at in range(0, len(use), STEP // 4):
+                some = slice(at, at + STEP // 4)
                 rows = text[a.first[use[some]]] * (np.arange(longest) < size[some, None])
                 words = np.ascontiguousarray(rows[:, : longest // 8 * 8]).view("<u8")
                 for column in words.T:
@@ -400,7 +404,7 @@ def _sorted_out(width: int, table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part"), "slot": table.column("slot"), "answer": pa.array(answers, pa.binary())})
 
 
-def _in_groups(group: np.ndarray, weight: np.ndarray, most: int = STEP) -> Iterator[slice]:
+def _in_groups(group: np.ndarray, weight: np.ndarray, most: int = STRINGS) -> Iterator[slice]:
     """Slices of sorted groups, whole, with about ``most`` weight each."""
     if not len(group):
         return
