@@ -41,33 +41,38 @@ class TokenAutomaton:
     """States, arcs and labels; tokens are the ids of the vocabulary."""
 
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
-        self.token = vocabulary
         size = max(vocabulary.values(), default=-1) + 1
+        self.size = size
         self.label = [b""] * size
         for name, number in vocabulary.items():
             self.label[number] = name
-        self.longest = max(map(len, vocabulary), default=0)
         self.length = list(map(len, self.label))
-        self.shorter = [-1] * size  # the longest other token that a token begins with
-        self.tree: dict[int, dict] = {}
-        for name in sorted(vocabulary):  # what a name begins with comes before it
-            node = self.tree
-            for byte in name:
-                if -1 in node:
-                    self.shorter[vocabulary[name]] = node[-1]
-                node = node.setdefault(byte, {})
-            node[-1] = vocabulary[name]
+        self.longest = max(self.length, default=0)
         self.left = [-1] * size  # left part of a merged token
         self.born = [-1] * size  # the merge that made a token
         self.leads = [0] * size  # the state a token leads to
         self.copied = [0]  # state 0 has every arc
         self.without = [-1]
+        self.dead: set[int] = set()  # tokens without an arc
         for step, (a, b) in enumerate(merges):
             self._gadget(step, vocabulary[a], vocabulary[b], vocabulary[a + b])
         self.table: dict[int, int] = {}
-        self.size = size
+        self.shorter = [-1] * size  # the longest other token that a token begins with
+        self.tree: dict[int, dict] = {}
+        for name in sorted(n for n, number in vocabulary.items() if number not in self.dead):  # beginnings come first
+            node = self.tree
+            for byte in name:
+                if -1 in node:
+                    self.shorter[vocabulary[name]] = node[-1]
+                node = node.setdefault(byte, {})
+            node[-1] = vocabulary[name]
 
     def _gadget(self, step: int, a: int, b: int, c: int) -> None:
+        if a in self.dead or b in self.dead or not self.arc(self.leads[a], b):
+            self.dead.add(c)  # earlier merges never leave a and b side by side
+            self.copied.append(0)
+            self.without.append(-1)
+            return
         self.left[c], self.born[c] = a, step
         self.leads[c] = self.leads[b]
         self.copied.append(self.leads[a])

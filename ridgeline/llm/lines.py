@@ -113,7 +113,7 @@ class LineRuns:
 
 def _without(text: str | None, gone: list[bytes] | None, least: int) -> tuple[str | None, int, int]:
     lines = (text or "").encode().split(b"\n")
-    if not gone:
+    if text is None or not gone:
         return text, len(lines), 0
     leave = set(gone)
     kept = []
