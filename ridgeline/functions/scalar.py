@@ -58,8 +58,8 @@ def standardize(value: Column | str, mean: Column | str | float, std: Column | s
 
 
 def recode(value: Column | str, positive: str) -> Column:
-    """1.0 where the text equals the positive code, else 0.0 (also for null)."""
-    return F.when(_column(value) == positive, F.lit(1.0)).otherwise(F.lit(0.0))
+    """1.0 where the text equals the positive code, else 0.0; null stays null."""
+    return (_column(value) == positive).cast("double")
 
 
 def slice_array(features: Column | str, indexes: Sequence[int]) -> Column:
@@ -78,12 +78,20 @@ def _balanced_sum(terms: list[Column]) -> Column:
 def dot(features: Column | str | Sequence, weights: Sequence[float], intercept: float = 0.0) -> Column:
     """Linear score. ``features`` is one array column or a list of numeric columns.
 
-    Zero weights drop out of the expression, so a sparse model also reads fewer columns.
+    A null array or a null entry gives null, NaN gives NaN even under a zero weight, and an array of
+    another length than ``weights`` fails.
     """
-    used = [(i, float(w)) for i, w in enumerate(weights) if w != 0.0]
     if isinstance(features, (Column, str)):
         array = _column(features)
-        terms = [F.element_at(array, i + 1) * F.lit(w) for i, w in used]
-    else:
-        terms = [_column(features[i]) * F.lit(w) for i, w in used]
+        terms = [F.get(array, F.lit(i)) * F.lit(float(w)) for i, w in enumerate(weights)]
+        return checked_width(array, len(weights), _balanced_sum(terms + [F.lit(float(intercept))]))
+    if len(features) != len(weights):
+        raise ValueError(f"{len(features)} features but {len(weights)} weights")
+    terms = [_column(f) * F.lit(float(w)) for f, w in zip(features, weights)]
     return _balanced_sum(terms + [F.lit(float(intercept))])
+
+
+def checked_width(array: Column, width: int, value: Column) -> Column:
+    """``value`` where the array has the width, null where it is null, else an error."""
+    wrong = F.raise_error(F.concat(F.lit(f"expected {width} features but got "), F.size(array).cast("string")))
+    return F.when(array.isNull(), F.lit(None)).when(F.size(array) == width, value).otherwise(wrong)

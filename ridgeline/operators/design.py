@@ -54,8 +54,12 @@ def _checked(value: Column, what: str, handle_invalid: str) -> Column:
     value = value.cast("double")
     if handle_invalid == "skip":
         return value
-    valid = value.isNotNull() & ~F.isnan(value)
-    return F.when(valid, value).otherwise(F.raise_error(F.lit(f"null or NaN in {what}")).cast("double"))
+    return F.when(_finite(value), value).otherwise(F.raise_error(F.lit(f"null, NaN or infinity in {what}")).cast("double"))
+
+
+def _finite(value: Column) -> Column:
+    """True for numbers only; false for null, NaN and infinities."""
+    return F.coalesce(F.abs(value) < F.lit(float("inf")), F.lit(False))  # NaN is above infinity
 
 
 def design(
@@ -82,8 +86,7 @@ def design(
         rows = rows.withColumn("features", F.col("features").cast("array<double>"))
         names = None
         if handle_invalid == "skip":
-            broken = F.exists("features", lambda v: v.isNull() | F.isnan(v))
-            rows = rows.where(F.col("features").isNotNull() & ~broken)
+            rows = rows.where(F.col("features").isNotNull() & F.forall("features", _finite))
     else:
         names = tuple(f if isinstance(f, str) else f"feature{i}" for i, f in enumerate(features))
         rows = df.select(
@@ -96,9 +99,9 @@ def design(
         )
         if handle_invalid == "skip":
             for i in range(len(names)):
-                rows = rows.where(F.col(f"x{i}").isNotNull() & ~F.isnan(f"x{i}"))
+                rows = rows.where(_finite(F.col(f"x{i}")))
     if handle_invalid == "skip":
-        rows = rows.where(F.col("label").isNotNull() & ~F.isnan("label"))
+        rows = rows.where(_finite(F.col("label")))
     return Design(rows, names)
 
 

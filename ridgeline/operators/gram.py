@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ridgeline.operators.anchored import anchored_products, read_anchored
+from ridgeline.operators.design import Design
 from ridgeline.operators.moments import _typed
 from ridgeline.operators.scatter import Scatter, read_scatters
 
@@ -76,6 +78,36 @@ def label_products(products: DataFrame) -> DataFrame:
     )
 
 
+def direct_label_products(frame: Design) -> DataFrame:
+    """``label_products`` without the other pairs: p numbers per fold from one pass, no matrix."""
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folds = batch.column("fold").to_pylist()
+            for row, chunk in read_anchored(batch):
+                std = chunk.std
+                inverse = np.divide(1.0, std, out=np.zeros_like(std), where=std > 0)
+                slot = np.arange(chunk.start, chunk.start + len(std))
+                # the label's own deviation is in its anchor column of every chunk
+                value = chunk.c[0] * inverse / chunk.n
+                keep = slot > 0
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "fold": pa.array(np.full(keep.sum(), folds[row]), pa.int32()),
+                        "feature": pa.array(slot[keep] - 1, pa.int32()),
+                        "xy": pa.array(value[keep], pa.float64()),
+                    }
+                )
+
+    products = anchored_products(frame, [0])
+    label = products.where("start = 0").select(F.col("fold").alias("of"), "n", F.get("square", F.lit(0)).alias("square"), F.get("low", F.lit(0)).alias("low"), F.get("high", F.lit(0)).alias("high"))
+    spread = F.when((F.col("low") == F.col("high")) | (F.col("n") <= 1), F.lit(None)).otherwise(F.sqrt(F.col("square") / (F.col("n") - 1)))
+    label = label.select("of", spread.alias("label_std"))
+    xy = products.mapInArrow(scaled, "fold int, feature int, xy double")
+    joined = xy.join(label, F.col("fold") == F.col("of"))  # one row per fold
+    return joined.select("fold", "feature", F.coalesce(F.col("xy") / F.col("label_std"), F.lit(0.0)).alias("xy"))
+
+
 def feature_products(products: DataFrame) -> DataFrame:
     """``xx``: cross-products of feature pairs i <= j, 0-based."""
     return products.where("i > 0").select(

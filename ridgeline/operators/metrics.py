@@ -8,7 +8,10 @@ LARGER_IS_BETTER = ("r2",)
 
 
 def regression_metrics(df: DataFrame, label: Column | str, prediction: Column | str, *by: str) -> DataFrame:
-    """``n, mse, rmse, mae, r2`` over the rows, or per key, in one aggregation."""
+    """``n, mse, rmse, mae, r2`` over the rows, or per key, in one aggregation.
+
+    ``r2`` is null where the label does not vary, as in a group of one row.
+    """
     y = F.col(label) if isinstance(label, str) else label
     p = F.col(prediction) if isinstance(prediction, str) else prediction
     rows = df.select(*by, y.alias("y"), (y - p).alias("r"))
@@ -18,21 +21,26 @@ def regression_metrics(df: DataFrame, label: Column | str, prediction: Column |
         F.avg(square).alias("mse"),
         F.sqrt(F.avg(square)).alias("rmse"),
         F.avg(F.abs("r")).alias("mae"),
-        (F.lit(1.0) - F.avg(square) / F.var_pop("y")).alias("r2"),
+        (F.lit(1.0) - F.try_divide(F.avg(square), F.var_pop("y"))).alias("r2"),
     )
 
 
 def fold_metrics(path: DataFrame) -> DataFrame:
-    """Held-out ``mse, rmse, r2`` of every path point, from the sums the cells report."""
-    mse = F.col("test_sse") / F.col("test_n")
-    return path.where("fold >= 0 and test_n > 0").select(
+    """Held-out ``mse, rmse, r2`` of every path point, from the sums the cells report.
+
+    A fold without held-out rows fails, since an average over the other folds would hide it; ``r2`` is
+    null where the held-out label does not vary.
+    """
+    none = F.raise_error(F.concat(F.lit("no held-out rows in fold "), F.col("fold").cast("string"))).cast("double")
+    mse = F.when(F.col("test_n") > 0, F.col("test_sse") / F.col("test_n")).otherwise(none)
+    return path.where("fold >= 0").select(
         "fold",
         "cell",
         "alpha",
         "lambda_idx",
         mse.alias("mse"),
         F.sqrt(mse).alias("rmse"),
-        (F.lit(1.0) - F.col("test_sse") / F.col("test_sst")).alias("r2"),
+        (F.lit(1.0) - F.try_divide("test_sse", "test_sst")).alias("r2"),
     )
 
 

@@ -117,8 +117,8 @@ def feature_matrix(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     if lengths.min() != lengths.max():
         raise ValueError(f"feature widths differ: {lengths.min()} and {lengths.max()}")
     matrix = values.to_numpy(zero_copy_only=False)
-    if values.null_count or np.isnan(matrix).any():
-        raise ValueError("null or NaN in features")
+    if values.null_count or not np.isfinite(matrix).all():
+        raise ValueError("null, NaN or infinity in features")
     return matrix.reshape(batch.num_rows, -1)
 
 

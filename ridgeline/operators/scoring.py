@@ -5,36 +5,56 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ridgeline.functions import dot
+from ridgeline.functions.scalar import checked_width
 
-EXPRESSION_LIMIT = 128  # nonzero weights above this go through one matrix product per batch
+EXPRESSION_LIMIT = 128  # more weights go through one matrix product per batch, with the same results
 
 
 def linear_score(
     df: DataFrame, features: str | Sequence[str], weights: Sequence[float], intercept: float
 ) -> Column:
-    """Linear score column: generated code for sparse models, numpy batches for wide ones."""
+    """Linear score column: generated code for narrow models, matrix products on Arrow batches for wide ones.
+
+    Both follow ``dot``: null arrays and entries give null, NaN is never hidden, another width fails.
+    """
     source: str | Column | Sequence[str] = features
     if isinstance(features, str):
         source = F.col(features)
         if isinstance(df.schema[features].dataType, VectorUDT):
             source = vector_to_array(source)
-    if sum(w != 0.0 for w in weights) <= EXPRESSION_LIMIT:
+    if len(weights) <= EXPRESSION_LIMIT:
         return dot(source, weights, intercept)
+    if not isinstance(source, Column) and len(source) != len(weights):
+        raise ValueError(f"{len(source)} features but {len(weights)} weights")
     array = source if isinstance(source, Column) else F.array(*[F.col(c).cast("double") for c in source])
+    array = array.cast("array<double>")
     coefficients = np.asarray(weights, dtype=float)
 
-    @F.pandas_udf("double")
-    def product(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def product(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series(np.vstack(batch.to_numpy()) @ coefficients + intercept if len(batch) else [])
-
-    return product(array)
+            yield _scores(batch, coefficients, float(intercept))
+
+    product.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(product, "double")(checked_width(array, len(weights), array))
+
+
+def _scores(features: pa.Array, weights: np.ndarray, intercept: float) -> pa.Array:
+    """One matrix product for the rows that have features; a null row or entry gives null."""
+    given = features.drop_null()
+    values = given.flatten()
+    matrix = values.to_numpy(zero_copy_only=False).reshape(len(given), len(weights))
+    score = np.full(len(features), np.nan)
+    score[features.is_valid().to_numpy(zero_copy_only=False)] = matrix @ weights + intercept
+    null = features.is_null().to_numpy(zero_copy_only=False).copy()
+    if values.null_count:
+        null[~null] = values.is_null().to_numpy(zero_copy_only=False).reshape(matrix.shape).any(axis=1)
+    return pa.array(score, pa.float64(), mask=null)
 
 
 def predict(

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-from ridgeline.operators.ranking import number_rows
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def start_set(xy: DataFrame, first_lambda: float | str, alpha: float) -> DataFrame:
@@ -19,23 +17,35 @@ def nonzero_features(path: DataFrame, value: str = "beta") -> DataFrame:
     return path.select(*keys, F.posexplode(value).alias("feature", "coefficient")).where("coefficient <> 0")
 
 
+def _keys(table: DataFrame) -> list[str]:
+    """The columns that tell one cell of a path table from another."""
+    return [c for c in ("fold", "cell", "alpha") if c in table.columns]
+
+
+def _numbered(table: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Numbers rows 0.. within each cell, which has at most one row for a feature."""
+    window = Window.partitionBy(*_keys(table)).orderBy(*order)
+    return table.withColumn(name, F.row_number().over(window) - 1)
+
+
 def new_features(coefficients: DataFrame, active: DataFrame) -> DataFrame:
-    """Features with a nonzero coefficient that are not active yet."""
-    return coefficients.where("coefficient <> 0").join(active, "feature", "left_anti")
+    """Features with a nonzero coefficient that are not active yet in their cell."""
+    keys = [c for c in _keys(coefficients) if c in active.columns]
+    return coefficients.where("coefficient <> 0").join(active, [*keys, "feature"], "left_anti")
 
 
 def grow_active_set(active: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Merged list of active features in ascending order, each with its new position."""
-    merged = active.select("feature").unionByName(fresh.select("feature")).distinct()
-    return number_rows(merged, [F.col("feature")], "position")
+    """Per cell the merged list of active features in ascending order, each with its new position."""
+    columns = [*_keys(active), "feature"]
+    return _numbered(active.select(columns).unionByName(fresh.select(columns)).distinct(), ["feature"], "position")
 
 
 def ever_active(nonzero: DataFrame) -> DataFrame:
-    """Distinct features that are nonzero anywhere along the path."""
-    return nonzero.select("feature").dropDuplicates()
+    """Distinct features of each cell that are nonzero anywhere along its path."""
+    return nonzero.select(*_keys(nonzero), "feature").dropDuplicates()
 
 
 def entry_order(nonzero: DataFrame) -> DataFrame:
-    """Features by the first path index at which they are nonzero, ties by feature index."""
-    first = nonzero.groupBy("feature").agg(F.min("lambda_idx").alias("first_idx"))
-    return number_rows(first, [F.col("first_idx"), F.col("feature")], "position")
+    """Per cell the features by the first path index at which they are nonzero, ties by feature index."""
+    first = nonzero.groupBy(*_keys(nonzero), "feature").agg(F.min("lambda_idx").alias("first_idx"))
+    return _numbered(first, ["first_idx", "feature"], "position")

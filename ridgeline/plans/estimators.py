@@ -44,6 +44,15 @@ class _PathParams(
     lambdaShrink = Param(
         Params._dummy(), "lambdaShrink", "smallest over largest penalty of the path (> 0)", TypeConverters.toFloat
     )
+    handleInvalid = Param(
+        Params._dummy(),
+        "handleInvalid",
+        "what to do in a fit with rows that hold null, NaN or infinity: error or skip",
+        TypeConverters.toString,
+    )
+
+    def getHandleInvalid(self) -> str:  # noqa: N802
+        return self.getOrDefault(self.handleInvalid)
 
     def getLambdaIndex(self) -> int:  # noqa: N802 - Spark ML naming
         return self.getOrDefault(self.lambdaIndex)
@@ -91,12 +100,19 @@ class _PathEstimator(Estimator, _PathParams, DefaultParamsReadable, DefaultParam
     def setPredictionCol(self, value: str):  # noqa: N802
         return self._set(predictionCol=value)
 
+    def setHandleInvalid(self, value: str):  # noqa: N802
+        return self._set(handleInvalid=value)
+
     def _config(self):
         raise NotImplementedError
 
-    def _paths(self, dataset: DataFrame, label: str, features: str, configs: list) -> DataFrame:
+    def _paths(self, dataset: DataFrame, configs: list) -> DataFrame:
         raise NotImplementedError
 
+    def _input(self) -> tuple:
+        """What a scan depends on; stages that agree in it share one."""
+        return self.getLabelCol(), self.getFeaturesCol(), self.getHandleInvalid()
+
     def _model(self, row) -> Model:
         raise NotImplementedError
 
@@ -117,10 +133,12 @@ class _PathEstimator(Estimator, _PathParams, DefaultParamsReadable, DefaultParam
         for stage in stages:
             stage._check_index()
         # one scan per distinct input, one path per distinct configuration on it
-        inputs: dict[tuple[str, str], dict] = {}
+        inputs: dict[tuple, dict] = {}
+        readers = {}
         places = []
         for stage in stages:
-            key = (stage.getLabelCol(), stage.getFeaturesCol())
+            key = stage._input()
+            readers.setdefault(key, stage)
             configs = inputs.setdefault(key, {})
             cell = configs.setdefault(stage._config(), len(configs))
             places.append((key, cell, stage.getLambdaIndex()))
@@ -130,10 +148,15 @@ class _PathEstimator(Estimator, _PathParams, DefaultParamsReadable, DefaultParam
             points = F.struct("cell", "lambda_idx").isin(
                 [F.struct(F.lit(c).alias("cell"), F.lit(i).alias("lambda_idx")) for c, i in wanted]
             )
-            path = self._paths(dataset, *key, list(configs))
+            path = readers[key]._paths(dataset, list(configs))
             for row in path.where(points).collect():  # one small row per requested model
                 rows[key, row["cell"], row["lambda_idx"]] = row
-        return [stage._copyValues(stage._model(rows[place])) for stage, place in zip(stages, places)]
+        models = []
+        for stage, place in zip(stages, places):
+            model = stage._copyValues(stage._model(rows[place]))
+            model.converged = bool(rows[place]["converged"])
+            models.append(model)
+        return models
 
 
 class _PathModel(Model, _PathParams):
@@ -142,6 +165,7 @@ class _PathModel(Model, _PathParams):
         self.weights = DenseVector(np.asarray(weights, dtype=float))
         self.intercept = float(intercept)
         self.penalty = penalty
+        self.converged: bool | None = None  # whether the solver met its tolerance at this point
 
     @property
     def numFeatures(self) -> int:  # noqa: N802
@@ -157,6 +181,7 @@ class _PathModel(Model, _PathParams):
     def copy(self, extra: dict | None = None):
         that = super().copy(extra)
         that.weights, that.intercept, that.penalty = self.weights, self.intercept, self.penalty
+        that.converged = self.converged
         return that
 
 
@@ -199,10 +224,12 @@ class ElasticNetPathRegressor(_PathEstimator):
         tol=1e-3,
         fitIntercept=True,  # noqa: N803
         gramMode="full",  # noqa: N803
+        handleInvalid="error",  # noqa: N803
     ):
         super().__init__()
         self._setDefault(
             gramMode="full",
+            handleInvalid="error",
             elasticNetParam=0.01,
             numLambdas=100,
             lambdaShrink=1e-3,
@@ -223,8 +250,11 @@ class ElasticNetPathRegressor(_PathEstimator):
             fit_intercept=self.getFitIntercept(),
         )
 
-    def _paths(self, dataset: DataFrame, label: str, features: str, configs: list) -> DataFrame:
-        frame = design(dataset, label, features)
+    def _input(self) -> tuple:
+        return *super()._input(), self.getGramMode()
+
+    def _paths(self, dataset: DataFrame, configs: list) -> DataFrame:
+        frame = design(dataset, self.getLabelCol(), self.getFeaturesCol(), handle_invalid=self.getHandleInvalid())
         if self.getGramMode() not in ("full", "lazy"):
             raise ValueError("gramMode must be full or lazy")
         return lazy_cells(frame, configs) if self.getGramMode() == "lazy" else solve_cells(moments(frame), configs)
@@ -254,9 +284,20 @@ class ElasticNetPathClassificationModel(_PathModel, HasRawPredictionCol, HasProb
 class ElasticNetPathClassifier(_PathEstimator, HasRawPredictionCol, HasProbabilityCol):
     """Elastic-net logistic regression that fits whole paths and returns one point of them.
 
-    Without ``lambdaShrink`` the penalty grid has its fixed step.
+    Without ``lambdaShrink`` the penalty grid has its fixed step. ``maxRounds`` bounds the reweighting
+    steps of each penalty; ``converged`` of a model tells whether they were enough. Labels are 0 or 1.
     """
 
+    maxRounds = Param(
+        Params._dummy(), "maxRounds", "largest number of reweighting steps per penalty (> 0)", TypeConverters.toInt
+    )
+
+    def getMaxRounds(self) -> int:  # noqa: N802
+        return self.getOrDefault(self.maxRounds)
+
+    def setMaxRounds(self, value: int):  # noqa: N802
+        return self._set(maxRounds=value)
+
     @keyword_only
     def __init__(
         self,
@@ -273,10 +314,19 @@ class ElasticNetPathClassifier(_PathEstimator, HasRawPredictionCol, HasProbabili
         maxIter=100,  # noqa: N803
         tol=0.01,
         fitIntercept=True,  # noqa: N803
+        handleInvalid="error",  # noqa: N803
+        maxRounds=25,  # noqa: N803
     ):
         super().__init__()
         self._setDefault(
-            elasticNetParam=1.0, numLambdas=100, lambdaIndex=99, maxIter=100, tol=0.01, fitIntercept=True
+            elasticNetParam=1.0,
+            numLambdas=100,
+            lambdaIndex=99,
+            maxIter=100,
+            tol=0.01,
+            fitIntercept=True,
+            handleInvalid="error",
+            maxRounds=25,
         )
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
@@ -288,11 +338,13 @@ class ElasticNetPathClassifier(_PathEstimator, HasRawPredictionCol, HasProbabili
             tol=self.getTol(),
             inner_tol=self.getTol(),
             max_iter=self.getMaxIter(),
+            max_rounds=self.getMaxRounds(),
             fit_intercept=self.getFitIntercept(),
         )
 
-    def _paths(self, dataset: DataFrame, label: str, features: str, configs: list) -> DataFrame:
-        return logistic_cells(dataset, label, features, configs)
+    def _paths(self, dataset: DataFrame, configs: list) -> DataFrame:
+        label, features = self.getLabelCol(), self.getFeaturesCol()
+        return logistic_cells(dataset, label, features, configs, handle_invalid=self.getHandleInvalid())
 
     def _model(self, row) -> ElasticNetPathClassificationModel:
         return ElasticNetPathClassificationModel(row["weights"], row["intercept"], row["lambda"])

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ridgeline.operators.design import design
@@ -14,6 +15,7 @@ from ridgeline.operators.scatter import Scatter, read_scatters, whole
 from ridgeline.plans.descent import PathConfig, PathPoint, lambda_grid, original_scale, scale, solve_path
 
 ALL_ROWS = -1  # fold number of the cell that trains on every row
+NO_ROWS = 2  # role of the record that only says that a cell is wanted
 PATH_SCHEMA = (
     "fold int, cell int, alpha double, lambda_idx int, lambda double, intercept double, "
     "weights array<double>, beta array<double>, passes int, converged boolean, n bigint, "
@@ -74,12 +76,16 @@ def solve_cells(
     wide = num_folds > 0 and not table.isLocal() and _is_wide(table)
     cells = training_cells(table, num_folds, wide)
     numbers = F.array(*[F.lit(i) for i in range(len(configs))])
-    cells = cells.withColumn("cell", F.explode(numbers))
+    # one record without moments for each fold, so that a cell without training rows is there to fail
+    folds = F.sequence(F.lit(ALL_ROWS), F.lit(num_folds - 1)) if num_folds else F.array(F.lit(ALL_ROWS))
+    named = spark.range(1).select(F.explode(folds).alias("fold"), F.lit(NO_ROWS).alias("role"))
+    cells = cells.unionByName(named, allowMissingColumns=True).withColumn("cell", F.explode(numbers))
     tasks = max(1, min((num_folds + 1) * len(configs), 4 * spark.sparkContext.defaultParallelism))
 
     def solve(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[tuple[int, int], Scatter] = {}
         for batch in batches:
+            batch = batch.filter(pc.not_equal(batch.column("role"), NO_ROWS))
             role, block = batch.column("role").to_pylist(), batch.column("block").to_pylist()
             for i, part in read_scatters(batch):
                 key = (role[i], block[i])
@@ -87,8 +93,9 @@ def solve_cells(
         train = whole(p for (role, _), p in parts.items() if role == 0)
         test = whole(p for (role, _), p in parts.items() if role == 1)
         fold, cell = keys[0].as_py(), keys[1].as_py()
-        if train is not None:
-            yield path_batch(fold, cell, train, test, configs[cell], shared_lambdas)
+        if train is None:
+            raise ValueError("no rows to train on" + ("" if fold == ALL_ROWS else f" when fold {fold} is held out"))
+        yield path_batch(fold, cell, train, test, configs[cell], shared_lambdas)
 
     spread = cells.repartition(tasks, "fold", "cell")
     return spread.groupBy("fold", "cell").applyInArrow(_typed(solve), PATH_SCHEMA)

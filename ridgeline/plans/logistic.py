@@ -144,7 +144,10 @@ def logistic_cells(
         num_folds = 0
     elif num_folds < 2:
         raise ValueError("num_folds must be at least 2 when a fold column is given")
-    frame = design(df, label, features, fold, handle_invalid, num_folds or None)
+    target = (F.col(label) if isinstance(label, str) else label).cast("double")
+    unknown = F.raise_error(F.lit("a logistic label must be 0 or 1")).cast("double")
+    target = F.when(target.isNull() | F.isnan(target) | target.isin(0.0, 1.0), target).otherwise(unknown)
+    frame = design(df, target, features, fold, handle_invalid, num_folds or None)
     spark = df.sparkSession
     frame, held = cache_packed(frame)
     rows = frame.rows

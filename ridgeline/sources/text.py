@@ -32,8 +32,8 @@ def read_labeled_text(
     convert_label: Callable[[Column], Column] | None = None,
     min_partitions: int = 0,
 ) -> DataFrame:
-    """Read labelled text. ``min_partitions`` below 1 keeps the partitions of the scan."""
+    """Read labelled text. ``min_partitions`` is a lower bound: a scan with as many splits stays as it is."""
     lines = spark.read.text(path)
-    if min_partitions >= 1:
+    if min_partitions >= 1 and lines.rdd.getNumPartitions() < min_partitions:
         lines = lines.repartition(min_partitions)
     return labeled_rows(lines, delimiter, label_first, convert_label)

@@ -182,6 +182,10 @@ RECODED = "CASE WHEN o_orderstatus = 'F' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS D
 SPLIT_ALPHAS = "(SELECT DISTINCT round(l_discount + 0.1::DOUBLE, 6) + 0.0::DOUBLE AS alpha FROM lineitem)"
 DOT = " + ".join(f"({((i * 7) % 11 - 5) / 4})::DOUBLE * embedding[{i + 1}]::DOUBLE" for i in range(64))
 
+WIDE_SCORE = "0.25::DOUBLE + " + " + ".join(
+    f"({((i * 7) % 11 - 5) / 8})::DOUBLE * embedding[{64 - (i - 64) if 64 <= i < 128 else i % 64 + 1}]::DOUBLE" for i in range(192)
+)
+
 
 def all_oracles() -> dict[str, str]:
     folds3 = "(VALUES (0), (1), (2)) AS t(fold)"
@@ -196,7 +200,7 @@ s AS (SELECT *, (v - avg(v) OVER (PARTITION BY i)) / stddev_samp(v) OVER (PARTIT
     return {
         "s1_labeled_text": f"SELECT o_orderkey, {RECODED} AS label, o_totalprice AS total FROM orders",
         "s2_text_min_partitions": f"SELECT CAST(count(*) AS BIGINT) AS n, sum({RECODED}) AS positives, "
-        "CAST(4 AS BIGINT) AS partitions FROM orders",
+        "true AS at_least_four FROM orders",
         "s4_synthetic_rows": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS far, "
         "true AS variance_is_third, true AS noise_is_eps FROM orders",
         "s5_result_sink": line_path([0.5]) + tidy(),
@@ -258,6 +262,23 @@ SELECT CAST(feature AS INTEGER) AS feature, {profile_columns('v', 7)} FROM e GRO
   FROM path, range(1, 6) AS t(i) WHERE beta[i] <> 0 GROUP BY i)
 SELECT CAST(feature AS INTEGER) AS feature, CAST(first_idx AS INTEGER) AS first_idx,
   CAST(row_number() OVER (ORDER BY first_idx, feature) - 1 AS INTEGER) AS position FROM firsts""",
+        "a12_entry_order_cells": line_path(both, all_folds)
+        + """, firsts AS (SELECT fold, alpha, i - 1 AS feature, min(lambda_idx) AS first_idx
+  FROM path, range(1, 6) AS t(i) WHERE beta[i] <> 0 GROUP BY ALL)
+SELECT CAST(fold AS INTEGER) AS fold, alpha, CAST(feature AS INTEGER) AS feature, CAST(first_idx AS INTEGER) AS first_idx,
+  CAST(row_number() OVER (PARTITION BY fold, alpha ORDER BY first_idx, feature) - 1 AS INTEGER) AS position FROM firsts""",
+        "p8_new_features_cells": line_path(both, all_folds)
+        + f""" SELECT CAST(b.fold AS INTEGER) AS fold, b.alpha, CAST(i - 1 AS INTEGER) AS feature, {r('b.beta[i]', 7)} AS beta
+FROM path a JOIN path b ON a.fold = b.fold AND a.alpha = b.alpha, range(1, 6) AS t(i)
+WHERE a.lambda_idx = 4 AND b.lambda_idx = 19 AND a.beta[i] = 0 AND b.beta[i] <> 0""",
+        "u1_grow_active_set_cells": line_path(both, all_folds)
+        + """ SELECT CAST(a.fold AS INTEGER) AS fold, a.alpha, CAST(i - 1 AS INTEGER) AS feature,
+  CAST(row_number() OVER (PARTITION BY a.fold, a.alpha ORDER BY i) - 1 AS INTEGER) AS position
+FROM path a JOIN path b ON a.fold = b.fold AND a.alpha = b.alpha, range(1, 6) AS t(i)
+WHERE a.lambda_idx = 2 AND b.lambda_idx = 12 AND (a.beta[i] <> 0 OR b.beta[i] <> 0)""",
+        "u2_ever_active_cells": line_path(both, all_folds)
+        + " SELECT DISTINCT CAST(fold AS INTEGER) AS fold, alpha, CAST(i - 1 AS INTEGER) AS feature FROM path, range(1, 6) AS t(i) WHERE beta[i] <> 0",
+        "m10_transform_wide": f"SELECT vec_id, {r(WIDE_SCORE, 6)} AS prediction FROM embeddings",
         "a13_label_products": by_fold
         + f" SELECT CAST(fold AS INTEGER) AS fold, CAST(i - 1 AS INTEGER) AS feature, {r('xy[i]', 9)} AS xy "
         "FROM cells, range(1, 6) AS t(i)",
@@ -334,7 +355,7 @@ SELECT CAST(lambda_idx AS INTEGER) AS lambda_idx, CAST(feature AS INTEGER) AS fe
 SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, {r('avg(r * r)', 2)} AS mse, {r('sqrt(avg(r * r))', 4)} AS rmse,
   {r('avg(abs(r))', 4)} AS mae, {r('1 - avg(r * r) / var_pop(y)', 9)} AS r2 FROM e GROUP BY fold""",
         "m18_explain_params": """SELECT name, value, true AS explained FROM (VALUES ('elasticNetParam', '0.5'),
-('featuresCol', 'features'), ('fitIntercept', 'True'), ('labelCol', 'charge'), ('lambdaIndex', '7'),
+('featuresCol', 'features'), ('fitIntercept', 'True'), ('handleInvalid', 'error'), ('labelCol', 'charge'), ('lambdaIndex', '7'),
 ('lambdaShrink', '0.001'), ('maxIter', '1000'), ('numLambdas', '20'), ('predictionCol', 'prediction'),
 ('tol', '1e-13')) AS t(name, value)""",
         "m19_differences": f"""WITH a AS (

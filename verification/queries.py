@@ -18,16 +18,17 @@ from ridgeline import (
 from ridgeline.operators import profile, screening
 from ridgeline.operators.compare import differences
 from ridgeline.operators.design import design
-from ridgeline.operators.gram import cross_products, feature_products, label_products, largest_product
+from ridgeline.operators.gram import cross_products, direct_label_products, feature_products, largest_product
 from ridgeline.operators.grid import PathParamGridBuilder, grid_points, logistic_grid, penalty_grid
 from ridgeline.operators.metrics import average_metric, best_point, fold_metrics, regression_metrics
 from ridgeline.operators.moments import moments
+from ridgeline.operators.ranking import number_rows
 from ridgeline.operators.scoring import order_of_weights, pick_point, predict, residuals, weights_to_input_scale
 from ridgeline.operators.split import key_fold, key_split
 from ridgeline.operators.standardize import column_stats, standardize_columns
 from ridgeline.operators.weighted import start_sums, weighted_products
 from ridgeline.plans.lazy import densify
-from ridgeline.session import scratch_path
+from ridgeline.session import materialize, scratch_path
 from ridgeline.sources.sinks import read_result, write_result
 from ridgeline.sources.synthetic import synthetic_rows
 from ridgeline.sources.text import read_labeled_text
@@ -91,6 +92,10 @@ def line_products(spark, sf_dir, **options) -> DataFrame:
     return cross_products(moments(frame))
 
 
+def line_label_products(spark, sf_dir, **options) -> DataFrame:
+    return direct_label_products(design(lineitem(spark, sf_dir), "charge", FEATURES, **options))
+
+
 def tidy_path(path: DataFrame) -> DataFrame:
     """One row per path point and feature."""
     zipped = F.arrays_zip("weights", "beta")
@@ -156,7 +161,9 @@ def s2_text_min_partitions(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives")
     )
     return parts.agg(
-        F.sum("n").alias("n"), F.sum("positives").alias("positives"), F.count(F.lit(1)).alias("partitions")
+        F.sum("n").alias("n"),
+        F.sum("positives").alias("positives"),
+        (F.count(F.lit(1)) >= 4).alias("at_least_four"),
     )
 
 
@@ -237,7 +244,7 @@ def p6_slice_columns(spark, sf_dir):
 
 @register
 def p7_start_set(spark, sf_dir):
-    xy = label_products(line_products(spark, sf_dir))
+    xy = line_label_products(spark, sf_dir)
     grid = penalty_grid(largest_product(xy), 0.5, 20).where("lambda_idx = 0").select("fold", "lambda")
     chosen = screening.start_set(xy.join(F.broadcast(grid), "fold"), "lambda", 0.5)  # one row per fold
     return chosen.select("feature", rounded("xy", 7).alias("xy"))
@@ -306,12 +313,12 @@ def u1_grow_active_set(spark, sf_dir):
     nonzero = screening.nonzero_features(line_path(spark, sf_dir))
     active = nonzero.where("lambda_idx = 2").select("feature")
     fresh = screening.new_features(nonzero.where("lambda_idx = 12"), active)
-    return screening.grow_active_set(active, fresh)
+    return screening.grow_active_set(active, fresh).select("feature", "position")
 
 
 @register
 def u2_ever_active(spark, sf_dir):
-    return screening.ever_active(screening.nonzero_features(line_path(spark, sf_dir)))
+    return screening.ever_active(screening.nonzero_features(line_path(spark, sf_dir))).select("feature")
 
 
 def discount_alphas(spark, sf_dir) -> DataFrame:
@@ -409,10 +416,41 @@ def a12_entry_order(spark, sf_dir):
     return order.select("feature", "first_idx", "position")
 
 
+def fold_paths(spark, sf_dir) -> DataFrame:
+    """Nonzero features of the paths of three folds and of all rows, for two alphas."""
+    path = line_path(spark, sf_dir, alphas=(0.5, 1.0), fold=key_fold("l_orderkey", 3), num_folds=3)
+    return screening.nonzero_features(path)
+
+
+@register
+def a12_entry_order_cells(spark, sf_dir):
+    return screening.entry_order(fold_paths(spark, sf_dir)).select("fold", "alpha", "feature", "first_idx", "position")
+
+
+@register
+def p8_new_features_cells(spark, sf_dir):
+    nonzero = materialize(fold_paths(spark, sf_dir), "nonzero")
+    fresh = screening.new_features(nonzero.where("lambda_idx = 19"), nonzero.where("lambda_idx = 4"))
+    return fresh.select("fold", "alpha", "feature", rounded("coefficient", 7).alias("beta"))
+
+
+@register
+def u1_grow_active_set_cells(spark, sf_dir):
+    nonzero = materialize(fold_paths(spark, sf_dir), "nonzero")
+    active = nonzero.where("lambda_idx = 2")
+    fresh = screening.new_features(nonzero.where("lambda_idx = 12"), active)
+    return screening.grow_active_set(active, fresh).select("fold", "alpha", "feature", "position")
+
+
+@register
+def u2_ever_active_cells(spark, sf_dir):
+    return screening.ever_active(fold_paths(spark, sf_dir)).select("fold", "alpha", "feature")
+
+
 @register
 def a13_label_products(spark, sf_dir):
     fold = key_fold("l_orderkey", 3)
-    return label_products(line_products(spark, sf_dir, fold=fold)).select("fold", "feature", rounded("xy", 9).alias("xy"))
+    return line_label_products(spark, sf_dir, fold=fold).select("fold", "feature", rounded("xy", 9).alias("xy"))
 
 
 @register
@@ -431,7 +469,7 @@ def a14_gram_blocks(spark, sf_dir):
 @register
 def a15_largest_product(spark, sf_dir):
     fold = key_fold("l_orderkey", 3)
-    top = largest_product(label_products(line_products(spark, sf_dir, fold=fold)))
+    top = largest_product(line_label_products(spark, sf_dir, fold=fold))
     return top.select("fold", rounded("top", 9).alias("top"))
 
 
@@ -477,7 +515,7 @@ def o3_best_point(spark, sf_dir):
 
 @register
 def m1_linear_grid(spark, sf_dir):
-    top = largest_product(label_products(line_products(spark, sf_dir, fold=key_fold("l_orderkey", 3))))
+    top = largest_product(line_label_products(spark, sf_dir, fold=key_fold("l_orderkey", 3)))
     return penalty_grid(top, 0.2, 100).select("fold", "lambda_idx", rounded("lambda", 8).alias("lambda"))
 
 
@@ -584,6 +622,17 @@ def m10_transform(spark, sf_dir):
     return model.transform(rows).select("l_orderkey", "l_linenumber", rounded("prediction", 3).alias("prediction"))
 
 
+WIDE_WEIGHTS = [((i * 7) % 11 - 5) / 8 for i in range(192)]  # some are zero
+
+
+@register
+def m10_transform_wide(spark, sf_dir):
+    """A model of 192 features, more than generated code takes."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.concat("embedding", F.reverse("embedding"), "embedding").alias("features"))
+    scored = predict(rows, "features", WIDE_WEIGHTS, 0.25)
+    return scored.select("vec_id", rounded("prediction", 6).alias("prediction"))
+
+
 def document_path(spark, sf_dir) -> DataFrame:
     rows = labelled_documents(spark, sf_dir)
     return logistic_path(rows, "quality", ["log_size", "blank_share"], [0.9], **LOGISTIC_TIGHT)
@@ -610,11 +659,8 @@ def m13_logistic_model(spark, sf_dir):
 
 @register
 def m14_param_grid(spark, sf_dir):
-    estimator = ElasticNetPathRegressor()
-    alphas = sorted(round(r["alpha"], 6) for r in discount_alphas(spark, sf_dir).collect())  # 11 values
-    maps = PathParamGridBuilder().addGrid(estimator.elasticNetParam, alphas).build_with_index(estimator.lambdaIndex, 5)
-    rows = [(i, m[estimator.elasticNetParam], m[estimator.lambdaIndex]) for i, m in enumerate(maps)]
-    return spark.createDataFrame(rows, "position int, alpha double, lambda_idx int")
+    alphas = discount_alphas(spark, sf_dir).select(rounded("alpha", 6).alias("alpha")).distinct()
+    return number_rows(grid_points(alphas, 5), [F.col("alpha"), F.col("lambda_idx")], "position")
 
 
 @register
