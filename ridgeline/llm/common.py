@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ridgeline.session import materialize, ship_package
+from ridgeline.session import materialize, scratch_path, ship_package
 
-__all__ = ["arrow_map", "documents", "fresh", "materialize", "pack", "shipped_file", "table"]
+__all__ = ["arrow_map", "bucketed", "documents", "fresh", "materialize", "pack", "shipped_file", "table"]
 
 # Objects that a Python worker builds once from a broadcast, by the digest of what they are built from.
 _BUILT: dict[tuple[str, str], object] = {}
@@ -55,6 +56,19 @@ def arrow_map(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch]
     return frame.toDF(*[f"c{i}" for i in range(len(frame.columns))]).mapInArrow(batches, schema)
 
 
+def bucketed(rows: DataFrame, column: str) -> DataFrame:
+    """Stores rows in the shared folder, dealt out by a column for good, so that joins on it need no shuffle."""
+    spark = rows.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = rows.write.format("parquet").option("path", scratch_path(spark, "bucketed")).option("compression", "zstd")
+    writer.bucketBy(buckets, column).sortBy(column).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018 - resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 class shipped_file:  # noqa: N801 - reads like a function
     """A small driver-side file as a broadcast; ``build(make)`` gives what a worker makes from it, made once.
 

@@ -23,14 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import arrow_map, materialize, pack
+from ridgeline.llm.common import arrow_map, bucketed, materialize, pack
 from ridgeline.session import ship_package
 
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")  # after A-Z are in lower case
 SHARD_BYTES = 32 << 20
 SHARD_DOCS = 60_000
 BLOCK_DOCS = 64
-QUERY_TERMS = 1 << 20  # terms of the queries that a task takes at once
+BLOCK_TERMS = 1 << 20  # query terms in a block of queries
+GROUP_BLOCKS = 8  # blocks that visit the shards together
+POSTINGS = 1 << 19  # postings weighed at once
 UNIT = 1e6
 NO_ID = np.iinfo(np.int64).max
 
@@ -121,33 +123,65 @@ def _query_terms(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array([len(p) // 8 for p in packed], pa.int64())], ["query", "terms", "size"])
 
 
+def _query_block(table: pa.Table) -> pa.Table:
+    """A block of queries turned round: its distinct terms, and for each the queries that ask for it."""
+    numbers = table.column("query").to_numpy().astype("<i8")
+    terms = [np.frombuffer(x.as_py(), "<u8") for x in table.column("terms")]
+    query = np.repeat(np.arange(len(terms)), [len(x) for x in terms])
+    every = np.concatenate(terms)
+    order = np.lexsort((query, every))
+    every, query = every[order], query[order]
+    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    columns = {
+        "block": table.column("block").slice(0, 1),
+        "numbers": pa.array([numbers.tobytes()], pa.binary()),
+        "terms": pa.array([every[starts].astype("<u8").tobytes()], pa.binary()),
+        "starts": pa.array([np.append(starts, len(every)).astype("<i8").tobytes()], pa.binary()),
+        "asking": pa.array([query.astype("<i4").tobytes()], pa.binary()),
+    }
+    return pa.table(columns)
+
+
 class Shard:
     """An index with the contribution of each posting, ready to be searched."""
 
     def __init__(self, row: dict, weights: np.ndarray, mean: float, k1: float, b: float):
         read = lambda name, kind: np.frombuffer(row[name], kind)
         self.ids, self.terms, self.starts, self.docs = read("ids", "<i8"), read("terms", "<u8"), read("starts", "<i8"), read("docs", "<u2")
-        times = read("times", "<i4").astype(np.float64)
+        times = read("times", "<i4")
         norm = k1 * (1 - b + b * read("lengths", "<i8") / (mean or 1.0))
-        weight = np.repeat(weights, np.diff(self.starts))
-        self.impacts = np.rint(weight * (times * (k1 + 1) / (times + norm[self.docs])) * UNIT)
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))
+        self.impacts = np.empty(len(term), np.int32)
+        for at in range(0, len(term), POSTINGS):
+            some = slice(at, at + POSTINGS)
+            tf = times[some].astype(np.float64)
+            self.impacts[some] = np.rint(weights[term[some]] * (tf * (k1 + 1) / (tf + norm[self.docs[some]])) * UNIT)
         self.size = len(self.ids)
         self.blocks = -(-self.size // BLOCK_DOCS)
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
-        block = self.docs // BLOCK_DOCS
+        block = self.docs // np.uint16(BLOCK_DOCS)
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.empty(0, np.int64)
         self.block_begin = np.append(new, len(term))  # postings of a term in a block
         self.block = block[new].astype(np.int64)
-        self.block_most = np.maximum.reduceat(self.impacts, new) if len(new) else np.empty(0)
+        self.block_most = np.maximum.reduceat(self.impacts, new) if len(new) else np.empty(0, np.int32)
         self.block_starts = np.searchsorted(new, self.starts)  # blocks of a term
 
+    def lists(self, terms: np.ndarray, starts: np.ndarray, asking: np.ndarray, queries: int) -> list[np.ndarray]:
+        """For each query of a block the places of its terms in the index."""
+        if not len(self.terms):
+            return [np.empty(0, np.int64)] * queries
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        known = np.flatnonzero(self.terms[at] == terms)
+        counts = np.diff(starts)[known]
+        query = np.concatenate([asking[b:e] for b, e in zip(starts[known].tolist(), starts[known + 1].tolist())] or [np.empty(0, np.int32)])
+        place = np.repeat(at[known], counts)
+        order = np.argsort(query, kind="stable")
+        return np.split(place[order], np.searchsorted(query[order], np.arange(1, queries)))
+
     def _cut(self, values: list[np.ndarray], begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         return [np.concatenate([x[b:e] for b, e in zip(begin.tolist(), end.tolist())]) for x in values]
 
-    def search(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """The k best documents with any of the terms: places and scores; and how many blocks were scored."""
-        at = np.searchsorted(self.terms, terms)
-        at = at[(at < len(self.terms)) & (self.terms[np.minimum(at, max(len(self.terms) - 1, 0))] == terms)] if len(self.terms) else at[:0]
+    def search(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The k best documents for terms at some places of the index: documents, scores, and blocks scored."""
         if not len(at):
             return np.empty(0, np.int64), np.empty(0), 0
         first, last = self.block_starts[at], self.block_starts[at + 1]
@@ -182,17 +216,27 @@ class Shard:
         return place, scores[place], done
 
 
-def _search(k: int, mean: float, k1: float, b: float, batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows pair a shard with a block of queries."""
+def _search(k: int, mean: float, k1: float, b: float, row: dict, more: list[dict]) -> pa.Table:
+    """One shard for some blocks of queries; among those rows is the one with the weights of the shard's terms."""
+    weights = next(np.frombuffer(x["weights"], "<f8") for x in more if x["weights"] is not None)
+    shard = Shard(row, weights, mean, k1, b)
     out: list[list[np.ndarray]] = [[], [], []]
-    for row in batch.to_pylist():
-        shard = Shard(row, np.frombuffer(row["weights"], "<f8"), mean, k1, b)
-        for number, terms in zip(row["queries"], row["query_terms"]):
-            place, score, _ = shard.search(np.frombuffer(terms, "<u8"), k)
+    for block in more:
+        if block["numbers"] is None:
+            continue
+        numbers, terms, starts, asking = (np.frombuffer(block[n], kind) for n, kind in (("numbers", "<i8"), ("terms", "<u8"), ("starts", "<i8"), ("asking", "<i4")))
+        for number, at in zip(numbers.tolist(), shard.lists(terms, starts, asking, len(numbers))):
+            place, score, _ = shard.search(at, k)
             for column, values in zip(out, (np.full(len(place), number), shard.ids[place], score.astype(np.int64))):
                 column.append(values)
-    columns = [np.concatenate([np.empty(0, np.int64), *x]) for x in out]
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query", "doc", "score"])
+    columns = [pa.array(np.concatenate([np.empty(0, np.int64), *x]), pa.int64()) for x in out]
+    return pa.table(columns, names=["query", "doc", "score"])
+
+
+def _for_each_shard(blocks: DataFrame, index: DataFrame) -> DataFrame:
+    """Each block of queries once for each shard."""
+    numbers = [r["shard"] for r in index.select("shard").collect()]  # one number for 32 MB of text
+    return blocks.withColumn("shard", F.explode(F.array(*[F.lit(n).cast("long") for n in numbers]) if numbers else F.array().cast("array<bigint>")))
 
 
 def top_k(
@@ -218,7 +262,7 @@ def top_k(
     spark = docs.sparkSession
     ship_package(spark)
     rows = pack(docs, id=F.col(f"`{id_col}`").cast("long"), text=text_col)
-    index = materialize(rows.mapInArrow(_index, SHARD_SCHEMA), "index")
+    index = bucketed(rows.mapInArrow(_index, SHARD_SCHEMA), "shard")
     total, words = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
     total, words = total or 0, words or 0
     # document frequencies over all shards: a sum for each term, reduced by shard before the shuffle
@@ -236,25 +280,27 @@ def top_k(
     weights = materialize(weights.groupBy("shard").applyInArrow(in_order, "shard long, weights binary"), "weights")
     asked = pack(queries, query=F.col(f"`{query_id_col}`").cast("long"), text=query_text_col).where("query is not null")
     asked = materialize(arrow_map(asked, _query_terms, "query long, terms binary, size long").where("size > 0"), "queries")
-    blocks = (asked.agg(F.sum("size")).first()[0] or 0) // QUERY_TERMS + 1
-    asked = asked.groupBy(F.pmod(F.xxhash64("query", "terms"), F.lit(blocks)).alias("block")).agg(
-        F.collect_list("query").alias("queries"), F.collect_list("terms").alias("query_terms")
-    )
-    # every block asks every shard, by an equal join on the shard
-    ready = index.join(weights, "shard").drop("n_docs", "n_words")
-    shards = index.select("shard").distinct()
-    asked = materialize(asked, "query-blocks")
-    pairs = shards.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).join(asked, "block")
-    pairs = ready.join(pairs.select(F.col("shard").alias("at"), "queries", "query_terms"), F.col("shard") == F.col("at")).drop("at")
+    blocks = (asked.agg(F.sum("size")).first()[0] or 0) // BLOCK_TERMS + 1
+    dealt = asked.select("query", "terms", F.pmod(F.xxhash64("query", "terms"), F.lit(blocks)).cast("long").alias("block"))
+
+    def query_block(table: pa.Table) -> pa.Table:
+        return _query_block(table)
+
+    kind = "block long, numbers binary, terms binary, starts binary, asking binary"
+    dealt = materialize(dealt.groupBy("block").applyInArrow(query_block, kind), "query-blocks")
+    # every block asks every shard: blocks go to the shards, which stay where they are stored
     mean = words / total if total else 0.0
-    names = ["ids", "lengths", "terms", "starts", "docs", "times", "weights", "queries", "query_terms"]
 
-    def search(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for at in range(batch.num_rows):  # one shard and one block at a time
-                yield _search(k, mean, k1, b, batch.slice(at, 1))
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [_search(k, mean, k1, b, row, right.to_pylist()) for row in left.to_pylist()]
+        return pa.concat_tables(found) if found else pa.table({n: pa.array([], pa.int64()) for n in ("query", "doc", "score")})
 
-    best = pairs.select(*names).mapInArrow(search, "query long, doc long, score long")
+    best = None
+    for first in range(0, blocks, GROUP_BLOCKS):
+        own = dealt.where(F.col("block").between(first, first + GROUP_BLOCKS - 1)).drop("block")
+        own = _for_each_shard(own, index).unionByName(weights, allowMissingColumns=True)
+        part = index.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(search, "query long, doc long, score long")
+        best = part if best is None else best.unionByName(part)
     best = best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
     best = best.where(F.col("place") <= k)
     doc: Column = F.when(F.col("doc") != F.lit(int(NO_ID)), F.col("doc"))

@@ -18,7 +18,6 @@ for each part.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import pack
-from ridgeline.session import scratch_path, ship_package
+from ridgeline.llm.common import bucketed, pack
+from ridgeline.session import ship_package
 
 GRAM = 20
 PART_BYTES = 4 << 20
@@ -430,7 +429,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     ship_package(spark)
     rows = pack(docs, id=F.col(f"`{id_col}`").cast("long"), text=text_col)
-    parts = _bucketed(rows.mapInArrow(_pack_parts, "part long, data binary, ids array<long>, ends array<long>, size long"))
+    parts = bucketed(rows.mapInArrow(_pack_parts, "part long, data binary, ids array<long>, ends array<long>, size long"), "part")
     total = parts.agg(F.sum("size")).first()[0] or 0
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SLOT_BYTES + 1)
 
@@ -512,7 +511,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     slot_rows = parts.select("part", "data", "ids", "ends").mapInArrow(send_hashes, "part long, slot long, hashes binary")
     answer = "part long, slot long, answer binary"
-    first = _bucketed(slot_rows.groupBy("slot").applyInArrow(shared, answer))
+    first = bucketed(slot_rows.groupBy("slot").applyInArrow(shared, answer), "part")
     sides = lambda x: parts.select("part", "data", "ids", "ends").groupBy("part").cogroup(x.groupBy("part"))
     stretches = sides(first).applyInArrow(send_stretches, "part long, slot long, heads binary, texts binary")
     second = stretches.groupBy("slot").applyInArrow(sorted_out, answer)
@@ -527,16 +526,3 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 _RESULT = [pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary()]
-
-
-def _bucketed(rows: DataFrame) -> DataFrame:
-    """Stores rows in the shared folder, dealt out by part for good, so that joins on part need no shuffle."""
-    spark = rows.sparkSession
-    name = f"parts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = rows.write.format("parquet").option("path", scratch_path(spark, "parts")).option("compression", "zstd")
-    writer.bucketBy(buckets, "part").sortBy("part").saveAsTable(name)
-    out = spark.table(name)
-    out.schema  # noqa: B018 - resolved before the name goes; the files stay
-    spark.sql(f"DROP TABLE {name}")
-    return out
