@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ridgeline.operators.design import MAX_PARTIALS, Design
-from ridgeline.operators.moments import _typed
+from ridgeline.operators.moments import _typed, merge_salts
 from ridgeline.operators.scatter import BLOCK_CELLS, row_blocks
 
 ANCHORED_SCHEMA = (
@@ -123,4 +123,7 @@ def merge_anchored(partials: DataFrame) -> DataFrame:
                 total = part if total is None else total.merge(part)
         yield _write(keys[0].as_py(), keys[1].as_py(), total)
 
+    if (salts := merge_salts(partials)) > 1:
+        salted = partials.withColumn("salt", F.spark_partition_id() % salts)
+        partials = salted.groupBy("fold", "chunk", "salt").applyInArrow(_typed(merge), ANCHORED_SCHEMA)
     return partials.groupBy("fold", "chunk").applyInArrow(_typed(merge), ANCHORED_SCHEMA)

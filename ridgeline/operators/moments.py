@@ -8,6 +8,7 @@ Slot 0 is the label and slots 1..p are the features. Two ways give the same tabl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ MOMENT_SCHEMA = "fold int, " + SCATTER_FIELDS
 COLUMN_LIMIT = 12  # beyond this many features matrix products on batches are faster
 CODEGEN_FIELDS = "spark.sql.codegen.maxFields"
 WIDTH_LIMIT = 8192  # a full matrix beyond this (512 MB per task and fold) is left to the lazy path
+ONE_LEVEL = 64  # partials that one reducer may add up
 ILL_CONDITIONED = 1e4  # |mean| / std above this loses more than 8 digits in plain sums
 
 
@@ -112,7 +114,10 @@ def block_moments(frame: Design) -> DataFrame:
 
 
 def merge_moments(partials: DataFrame, key: str, schema: str) -> DataFrame:
-    """Add up partial moments per key and band; a reducer holds one band at a time."""
+    """Add up partial moments per key and band; a reducer holds one band at a time.
+
+    Many partials are added up in two levels, so that a reducer reads about the square root of them.
+    """
 
     def merge(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Scatter | None = None
@@ -121,9 +126,22 @@ def merge_moments(partials: DataFrame, key: str, schema: str) -> DataFrame:
                 total = part if total is None else total.merge(part)
         yield write_scatters({key: [keys[0].as_py()]}, [(keys[1].as_py(), total)])
 
+    if (salts := merge_salts(partials)) > 1:
+        salted = partials.withColumn("salt", F.spark_partition_id() % salts)
+        partials = salted.groupBy(key, "block", "salt").applyInArrow(_typed(merge), schema)
     return partials.groupBy(key, "block").applyInArrow(_typed(merge), schema)
 
 
+def merge_salts(partials: DataFrame) -> int:
+    """Groups of a first merge level: the square root of the tasks, or one level for few of them."""
+    plan = partials._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "InMemory" in plan:  # counting its tasks would run it
+        tasks = int(partials.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    else:
+        tasks = partials.rdd.getNumPartitions()
+    return math.isqrt(tasks) if tasks > ONE_LEVEL else 1
+
+
 def _typed(function):
     """Mark a keyed function as streaming, whatever the module's annotation style."""
     function.__annotations__ = {

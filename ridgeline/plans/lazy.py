@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ridgeline.operators.anchored import anchored_products, read_anchored
+from ridgeline.operators.anchored import Anchored, anchored_products, read_anchored
 from ridgeline.operators.design import Design, cache_packed, design
 from ridgeline.operators.moments import _typed
 from ridgeline.plans.descent import PathConfig, lambda_grid, sweep
@@ -46,17 +46,28 @@ def lazy_path(
     features: Column | str | Sequence[Column | str],
     alphas: Sequence[float] = (0.01,),
     *,
+    fold: Column | str | None = None,
+    num_folds: int = 0,
     handle_invalid: str = "error",
     **options,
 ) -> DataFrame:
-    """Elastic-net paths with sparse weights (``indices, weights, width``), one per alpha."""
+    """Elastic-net paths with sparse weights (``indices, weights, width``), one per alpha.
+
+    With ``fold`` there is also one per (held-out fold, alpha); fold -1 trains on all rows.
+    """
     configs = [PathConfig(alpha=float(a), **options) for a in alphas]
-    return lazy_cells(design(df, label, features, None, handle_invalid), configs)
+    if fold is None:
+        num_folds = 0
+    elif num_folds < 2:
+        raise ValueError("num_folds must be at least 2 when a fold column is given")
+    return lazy_cells(design(df, label, features, fold, handle_invalid, num_folds or None), configs, num_folds)
 
 
-def lazy_cells(frame: Design, configs: Sequence[PathConfig]) -> DataFrame:
-    """One sparse path per configuration; all of them share the products."""
-    configs = list(configs)
+def lazy_cells(frame: Design, configs: Sequence[PathConfig], num_folds: int = 0) -> DataFrame:
+    """One sparse path per training set and configuration; all of them share the products of each fold."""
+    numbered = list(enumerate(configs))
+    cells = [(held, i, config) for held in range(-1, num_folds) for i, config in numbered]
+    configs = [config for _, _, config in cells]
     if any(c.entry != "full" for c in configs):
         raise ValueError("the lazy path always checks every feature before it keeps a point")
     spark = frame.rows.sparkSession
@@ -67,9 +78,11 @@ def lazy_cells(frame: Design, configs: Sequence[PathConfig]) -> DataFrame:
     try:
         table = materialize(anchored_products(frame, [0]).withColumn("part", F.lit(0)), "products")
         while any(p.index < configs[i].num_lambdas for i, p in progress.items()):
-            replies = _solve(table, configs, progress, groups).collect()
-            if not replies:
-                break
+            replies = _solve(table, cells, progress, groups).collect()
+            answered = {reply["cell"] for reply in replies}
+            for i, p in progress.items():
+                if p.index < configs[i].num_lambdas and i not in answered:
+                    raise ValueError("no rows to train on" + ("" if cells[i][0] < 0 else f" when fold {cells[i][0]} is held out"))
             wanted: set[int] = set()
             for reply in replies:
                 row = reply["payload"]
@@ -114,43 +127,45 @@ def spread_out(width: int, indices: Sequence[int], values: Sequence[float]) -> n
 
 
 def _solve(
-    table: DataFrame, configs: list[PathConfig], progress: dict[int, Progress], groups: list[list[int]]
+    table: DataFrame, cells: list[tuple[int, int, PathConfig]], progress: dict[int, Progress], groups: list[list[int]]
 ) -> DataFrame:
-    open_cells = [i for i, p in progress.items() if p.index < configs[i].num_lambdas]
+    open_cells = [i for i, p in progress.items() if p.index < cells[i][2].num_lambdas]
     states = {i: progress[i] for i in open_cells}
     known = [f for g in groups for f in g]
 
     def solve(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = keys[0].as_py()
-        parts: dict[int, list] = {}
+        # products of the folds of a training set add up chunk by chunk
+        chunks: dict[int, dict[int, Anchored]] = {}
         for batch in batches:
             part = batch.column("part").to_pylist()
             for i, item in read_anchored(batch):
-                parts.setdefault(part[i], []).append(item)
-        if not parts:
+                own = chunks.setdefault(part[i], {})
+                own[item.start] = own[item.start].merge(item) if item.start in own else item
+        if not chunks:
             return
-        for items in parts.values():
-            items.sort(key=lambda a: a.start)
+        parts = {part: [own[start] for start in sorted(own)] for part, own in chunks.items()}
         first = parts[0]
         n = first[0].n
         mean = np.concatenate([a.mean for a in first])
         std = np.concatenate([a.std for a in first])
         columns = np.concatenate([np.concatenate([a.c for a in parts[p]], axis=1) for p in sorted(parts)])
         anchors = np.array([0] + [f + 1 for f in known])
-        config = configs[number]
+        held, cell, config = cells[number]
         if not config.fit_intercept:
             columns = columns + n * np.outer(mean[anchors], mean)
         inverse = np.divide(1.0, std, out=np.zeros_like(std), where=std > 0)
         products = columns * inverse[anchors][:, None] * inverse[None, :] / n
-        replies = list(_advance(number, config, states[number], known, products[:, 1:], n, mean, std))
+        replies = list(_advance(number, held, cell, config, states[number], known, products[:, 1:], n, mean, std))
         yield pa.RecordBatch.from_pylist(replies, schema=_REPLY_ARROW)
 
-    cells = table.withColumn("cell", F.explode(F.array(*[F.lit(i) for i in open_cells])))
-    spread = cells.repartition(len(open_cells), "cell")
+    wanted = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(cells[i][0]).alias("held")) for i in open_cells])
+    spread = table.withColumn("of", F.explode(wanted)).where("fold <> of.held").withColumn("cell", F.col("of.cell")).drop("of")
+    spread = spread.repartition(len(open_cells), "cell")
     return spread.groupBy("cell").applyInArrow(_typed(solve), REPLY_SCHEMA)
 
 
-def _advance(number, config, state, known, products, n, mean, std) -> Iterator[dict]:
+def _advance(number, held, cell, config, state, known, products, n, mean, std) -> Iterator[dict]:
     """Solve grid points until one needs a feature whose products are not there yet."""
     xy, columns = products[0], products[1:]  # columns[k] holds xx of feature known[k]
     order = np.argsort(known) if known else np.zeros(0, dtype=int)
@@ -179,8 +194,8 @@ def _advance(number, config, state, known, products, n, mean, std) -> Iterator[d
             "point",
             index,
             passes,
-            fold=-1,
-            cell=number,
+            fold=held,
+            cell=cell,
             alpha=config.alpha,
             **{"lambda": lam},
             intercept=intercept,

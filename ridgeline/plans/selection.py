@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ridgeline.operators.design import Design, design
 from ridgeline.operators.metrics import average_metric, best_point, fold_metrics
+from ridgeline.operators.scatter import row_blocks
+from ridgeline.plans.lazy import lazy_path
 from ridgeline.plans.linear import ALL_ROWS, elastic_net_path
 from ridgeline.session import materialize
 
@@ -36,14 +41,63 @@ def cross_validate(
     """Fit all folds and the final model from shared moments, and score from held-out moments.
 
     Penalties are derived per fold, so a grid point is an index; ``shared_lambdas=True`` makes
-    it a value. ``metric`` is ``mse``, ``rmse`` or ``r2``.
+    it a value. ``metric`` is ``mse``, ``rmse``, ``r2`` or ``mae``. ``mode="lazy"`` is for wide input. It
+    and ``mae`` take one more pass, which scores the held-out rows with all points of their fold.
     """
-    if metric not in ("mse", "rmse", "r2"):
-        raise ValueError("metric must be mse, rmse or r2")
-    path = elastic_net_path(df, label, features, alphas, fold=fold, num_folds=num_folds, **options)
+    if metric not in ("mse", "rmse", "r2", "mae"):
+        raise ValueError("metric must be mse, rmse, r2 or mae")
+    lazy = options.get("mode") == "lazy"
+    if lazy:
+        wide = {k: v for k, v in options.items() if k != "mode"}
+        path = lazy_path(df, label, features, alphas, fold=fold, num_folds=num_folds, **wide)
+    else:
+        path = elastic_net_path(df, label, features, alphas, fold=fold, num_folds=num_folds, **options)
     path = materialize(path, "path")  # small, and read by every table below
-    metrics = fold_metrics(path)
+    if lazy or metric == "mae":
+        frame = design(df, label, features, fold, options.get("handle_invalid", "error"), num_folds)
+        sums = materialize(held_out_sums(frame, path), "held-out")
+        scored = path.drop("test_n", "test_sse", "test_sst").join(sums, ["fold", "cell", "lambda_idx"], "left")
+        metrics = fold_metrics(scored)
+        if metric == "mae":
+            mae = sums.select("fold", "cell", "lambda_idx", (F.col("test_sae") / F.col("test_n")).alias("mae"))
+            metrics = metrics.join(mae, ["fold", "cell", "lambda_idx"])
+    else:
+        metrics = fold_metrics(path)
     averaged = average_metric(metrics, metric)
     best = best_point(averaged, metric)
     model = path.where(path["fold"] == ALL_ROWS).join(best.select("cell", "lambda_idx"), ["cell", "lambda_idx"])
     return CrossValidation(path, metrics, averaged, best, model)
+
+
+def held_out_sums(frame: Design, path: DataFrame) -> DataFrame:
+    """``test_n, test_sse, test_sae, test_sst`` of every path point on the rows of its fold, from one pass.
+
+    The points travel to the tasks as their nonzero weights. A task sums up before the shuffle, so a fold
+    of any size is one row for each point and task.
+    """
+    sparse = "indices" in path.columns
+    points: dict[int, list] = {}
+    for row in path.where("fold >= 0").select("fold", "cell", "lambda_idx", "intercept", "weights", *(["indices"] if sparse else [])).collect():
+        weights = np.array(row["weights"], float)
+        used = np.array(row["indices"], int) if sparse else np.flatnonzero(weights)
+        points.setdefault(row["fold"], []).append((row["cell"], row["lambda_idx"], row["intercept"], used, weights if sparse else weights[used]))
+    sent = path.sparkSession.sparkContext.broadcast(points)
+    columns = frame.columns
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {fold: np.zeros((len(own), 2)) for fold, own in sent.value.items()}
+        for batch in batches:
+            for fold, rows in row_blocks(batch, columns):
+                for key in np.unique(fold).astype(int).tolist():
+                    own = rows[fold == key]
+                    for i, (_, _, intercept, used, weights) in enumerate(sent.value.get(key, ())):
+                        error = own[:, 0] - intercept - own[:, 1:][:, used] @ weights
+                        totals[key][i] += error @ error, np.abs(error).sum()
+        rows = [(fold, cell, index, *totals[fold][i]) for fold, own in sent.value.items() for i, (cell, index, *_) in enumerate(own)]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["fold", "cell", "lambda_idx", "sse", "sae"])
+
+    errors = frame.rows.mapInArrow(score, "fold int, cell int, lambda_idx int, sse double, sae double")
+    errors = errors.groupBy("fold", "cell", "lambda_idx").agg(F.sum("sse").alias("test_sse"), F.sum("sae").alias("test_sae"))
+    labels = frame.rows.groupBy("fold").agg(F.count(F.lit(1)).alias("test_n"), (F.var_pop("label") * F.count(F.lit(1))).alias("test_sst"))
+    return errors.join(labels, "fold")  # one row for a fold

@@ -347,6 +347,15 @@ SELECT CAST(lambda_idx AS INTEGER) AS lambda_idx, CAST(feature AS INTEGER) AS fe
         "m16_cross_validation": line_path(both, all_folds)
         + held_out()
         + f" SELECT alpha, lambda_idx, {r('rmse', 4)} AS rmse, {r('r2', 8)} AS r2 FROM scores",
+        "m16_cross_validation_mae": line_path(both, all_folds)
+        + f""", errors AS MATERIALIZED (SELECT p.fold, p.alpha, p.lambda_idx,
+  avg(abs(d.y - p.intercept - ({' + '.join(f'p.weights[{i}] * d.x{i}' for i in range(1, 6))}))) AS mae
+  FROM path p JOIN d ON d.f = p.fold GROUP BY ALL)
+SELECT alpha, CAST(lambda_idx AS INTEGER) AS lambda_idx, {r('avg(mae)', 4)} AS mae FROM errors GROUP BY alpha, lambda_idx""",
+        "m16_cross_validation_lazy": line_path(both, all_folds)
+        + held_out()
+        + f" SELECT alpha, lambda_idx, {r('rmse', 4)} AS rmse, {r('r2', 8)} AS r2 FROM scores",
+        "m5_path_lazy_folds": line_path(both, all_folds) + tidy(),
         "m16_refit_model": line_path(both, all_folds)
         + held_out()
         + ", best AS (SELECT alpha AS a, lambda_idx AS k FROM scores ORDER BY rmse, alpha, lambda_idx LIMIT 1)"

@@ -687,6 +687,29 @@ def m16_cross_validation(spark, sf_dir):
     return averaged.select("alpha", "lambda_idx", rounded("rmse", 4).alias("rmse"), rounded("r2", 8).alias("r2"))
 
 
+@register
+def m16_cross_validation_mae(spark, sf_dir):
+    cv = cross_validate(
+        lineitem(spark, sf_dir), "charge", FEATURES, [0.5, 1.0], key_fold("l_orderkey", 3), 3, metric="mae", **TIGHT
+    )
+    return cv.averaged.select("alpha", "lambda_idx", rounded("mae", 4).alias("mae"))
+
+
+@register
+def m16_cross_validation_lazy(spark, sf_dir):
+    rows = lineitem(spark, sf_dir).withColumn("wide", F.array(*FEATURES))
+    cv = cross_validate(rows, "charge", "wide", [0.5, 1.0], key_fold("l_orderkey", 3), 3, mode="lazy", **TIGHT)
+    averaged = average_metric(cv.metrics, "rmse").join(average_metric(cv.metrics, "r2"), ["cell", "alpha", "lambda_idx"])
+    return averaged.select("alpha", "lambda_idx", rounded("rmse", 4).alias("rmse"), rounded("r2", 8).alias("r2"))
+
+
+@register
+def m5_path_lazy_folds(spark, sf_dir):
+    rows = lineitem(spark, sf_dir).withColumn("wide", F.array(*FEATURES))
+    path = lazy_path(rows, "charge", "wide", [0.5, 1.0], fold=key_fold("l_orderkey", 3), num_folds=3, **TIGHT)
+    return tidy_path(densify(path))
+
+
 @register
 def m16_refit_model(spark, sf_dir):
     return tidy_path(line_cv(spark, sf_dir).model)
