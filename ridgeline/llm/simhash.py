@@ -166,7 +166,7 @@ def _batch(u, v, trie=None, prints=None, part=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["u", "v", "trie", "print", "part"])
 
 
-def _walk_tries(bits: int, limit: int, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walk_tries(bits: int, limit: int, chunk: int, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by trie and fingerprint. A trie over ``limit`` is handed on in parts instead of being walked."""
     trie, prints = np.empty(0, np.int64), np.empty(0, np.uint64)
     handed, part = None, 0  # the large trie being handed on
@@ -184,7 +184,7 @@ def _walk_tries(bits: int, limit: int, source: Iterator[pa.RecordBatch]) -> Iter
     for batch in source:
         trie = np.concatenate([trie, batch.column(0).to_numpy()])
         prints = np.concatenate([prints, batch.column(1).to_numpy().view(np.uint64)])
-        if len(trie) < CHUNK_ROWS and handed is None:
+        if len(trie) < chunk and handed is None:
             continue
         while len(trie):
             if handed is not None:
@@ -220,7 +220,7 @@ def _walk_parts(bits: int, table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(*forest(u, v)).select(["u", "v"])])
 
 
-def near_fingerprints(prints: DataFrame, bits: int = 4, limit: int = LARGE_TRIE) -> DataFrame:
+def near_fingerprints(prints: DataFrame, bits: int = 4, limit: int = LARGE_TRIE, chunk: int = CHUNK_ROWS) -> DataFrame:
     """Links ``u, v`` that connect all fingerprints (distinct longs, column ``print``) at ``bits`` or fewer bits.
 
     Not every near pair has a link of its own, but each is connected by links between near pairs.
@@ -237,7 +237,7 @@ def near_fingerprints(prints: DataFrame, bits: int = 4, limit: int = LARGE_TRIE)
     rows = prints.select(F.explode(keys).alias("trie"), "print")
     rows = rows.repartition("trie").sortWithinPartitions("trie", F.col("print") < 0, "print")  # unsigned order
     schema = "u long, v long, trie long, print long, part long"
-    out = materialize(rows.mapInArrow(partial(_walk_tries, bits, limit), schema), "near-prints")
+    out = materialize(rows.mapInArrow(partial(_walk_tries, bits, limit, chunk), schema), "near-prints")
     large = out.where("trie is not null").select("trie", "print", "part")
     parts = large.groupBy("trie").agg(F.max("part").alias("last"))
     split = large.join(parts, "trie").select(

@@ -12,14 +12,16 @@ places, so only suffixes that begin near equal anchors have to be sorted against
    agree in all bytes are repeats; the smallest id among them keeps its string.
 4. Each part hears which of its strings are repeats and cuts the bytes they cover.
 
-What is shuffled grows with the text (about one byte in three), and a string that very many documents share is sent once
-for each part.
+What is shuffled grows with the text, and a string that very many documents share is sent once for each part. An anchor
+that more than ``hot_parts`` parts have stands for no stretch: its strings are dealt out one by one, each by its own
+hash, so a common piece of text among all kinds of other text does not meet in one place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ GRAM = 20
 PART_BYTES = 4 << 20
 STEP = 1 << 18
 STRINGS = 1 << 17  # strings sorted at once
+HOT_PARTS = 256
 SLOT_BYTES = 6 << 20  # text whose anchors one reducer takes
 SHALLOW_WORDS = 3
 BITS = 48
@@ -123,7 +126,8 @@ def deep_shallow(group: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarr
         a, b = here[pair], here[pair + 1]
         same = (rows[a, deep:] == rows[b, deep:]).all(axis=1)
         both = np.stack([a[same], b[same]], 1)
-        yield both.ravel(), np.repeat(np.arange(len(both)), 2)
+        if len(both):
+            yield both.ravel(), np.repeat(np.arange(len(both)), 2)
     for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
         own = here[start : start + size]
         _, kind = blind_trie([row.tobytes() for row in rows[own, deep:]])
@@ -232,7 +236,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 # ---------------------------------------------------------------- steps
 
 
-def _pack_parts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_parts(part_bytes: int, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of a task, packed into parts in the order they come."""
     context = TaskContext.get()
     part = (context.partitionId() if context else 0) << 32
@@ -253,7 +257,7 @@ def _pack_parts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in source:
         for number, text in zip(batch.column(0), batch.column(1)):
             raw = (text.as_py() or "").encode()
-            if texts and size + len(raw) > PART_BYTES:
+            if texts and size + len(raw) > part_bytes:
                 yield packed()
                 part += 1
                 texts, ids, size = [], [], 0
@@ -295,12 +299,18 @@ class Part:
     def entries(self, answers: dict[int, bytes], slots: int, width: int) -> Entries:
         """Stretches of the anchors that other documents have too."""
         hashes, shared = self.distinct()
+        hot = np.zeros(len(hashes), bool)
         for slot, own in _by_slot(hashes, slots):
-            if slot in answers:
-                bits = np.unpackbits(np.frombuffer(answers[slot], np.uint8), count=own.stop - own.start)
-                shared[own] |= bits.astype(bool)
-        use = np.flatnonzero(shared[np.searchsorted(hashes, self.anchors.hash)]) if len(hashes) else np.empty(0, np.int64)
+            size = own.stop - own.start
+            bits = np.unpackbits(np.frombuffer(answers[slot], np.uint8), count=2 * size).astype(bool)
+            shared[own] |= bits[:size]
+            hot[own] = bits[size:]
         a = self.anchors
+        at = np.searchsorted(hashes, a.hash)
+        use = np.flatnonzero(shared[at] & ~hot[at])
+        if hot.any():
+            a = self._with_strings(np.flatnonzero(hot[at]), width)
+            use = np.concatenate([use, np.arange(len(self.anchors.first), len(a.first))])
         # equal stretches of equal anchors are one entry, with the smallest rank
         longest = 2 * width
         padded = np.concatenate([self.data, np.zeros(longest, np.uint8)])
@@ -321,27 +331,45 @@ class Part:
             order = use[sort]
             keys = [a.hash[order], a.place[order], a.count[order], sketch[sort]]
             new = np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
-        return Entries(order, np.cumsum(new) - 1 if len(new) else new.astype(np.int64), order[new] if len(new) else order)
+        return Entries(a, order, np.cumsum(new) - 1 if len(new) else new.astype(np.int64), order[new] if len(new) else order)
+
+    def _with_strings(self, hot: np.ndarray, width: int) -> Anchors:
+        """The anchors, and after them each string of the hot ones with the hash of the whole string."""
+        a = self.anchors
+        counts = a.count[hot]
+        first = np.repeat(a.first[hot], counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        words = np.lib.stride_tricks.as_strided(padded, (len(self.data), 8), (1, 1))
+        mixed = np.zeros(len(first), np.uint64)
+        for at in [*range(0, width - 8, 8), width - 8]:
+            for begin in range(0, len(first), STEP):
+                some = slice(begin, begin + STEP)
+                mixed[some] = (mixed[some] ^ words[first[some] + at].copy().view("<u8").ravel()) * np.uint64(0x9E3779B97F4A7C15)
+                mixed[some] ^= mixed[some] >> np.uint64(29)
+        mixed = mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)
+        one, none = np.ones(len(first), np.int64), np.zeros(len(first), np.int64)
+        both = ((a.first, first), (a.count, one), (a.place, none), (a.hash, mixed), (a.doc, np.repeat(a.doc[hot], counts)))
+        return Anchors(*(np.concatenate(x) for x in both))
 
 
 @dataclass
 class Entries:
     """Anchors that take part, sorted; the entry of each; and the anchor that stands for each entry."""
 
+    anchors: Anchors
     anchor: np.ndarray
     entry: np.ndarray
     lead: np.ndarray
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Per part of a slot: a bit for each of its hashes that another part sent too."""
+def _shared(hot_parts: int, table: pa.Table) -> pa.Table:
+    """Per part of a slot: a bit for each of its hashes that another part sent too, then a bit for each hot one."""
     own = [_unpacked(raw.as_py()) for raw in table.column("hashes")]
-    every = np.sort(np.concatenate(own))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    every, parts = np.unique(np.concatenate(own), return_counts=True)
     bits = []
     for hashes in own:
-        at = np.minimum(np.searchsorted(twice, hashes), max(len(twice) - 1, 0))
-        bits.append(np.packbits(twice[at] == hashes if len(twice) else np.zeros(len(hashes), bool)).tobytes())
+        count = parts[np.searchsorted(every, hashes)]
+        bits.append(np.packbits(np.concatenate([count > 1, count > hot_parts])).tobytes())
     return pa.table({"part": table.column("part"), "slot": table.column("slot"), "answer": pa.array(bits, pa.binary())})
 
 
@@ -415,7 +443,14 @@ def _in_groups(group: np.ndarray, weight: np.ndarray, most: int = STRINGS) -> It
         yield slice(int(begin), int(end))
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
+def cut_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 50,
+    part_bytes: int = PART_BYTES,
+    hot_parts: int = HOT_PARTS,
+) -> DataFrame:
     """Per row: its id, ``n_bytes``, ``spans`` (begin, end) of the removed bytes, and ``kept``, the other bytes.
 
     A byte goes if a ``width``-byte string covers it that also starts in a document with a smaller id; strings are
@@ -429,7 +464,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     ship_package(spark)
     rows = pack(docs, id=F.col(f"`{id_col}`").cast("long"), text=text_col)
-    parts = bucketed(rows.mapInArrow(_pack_parts, "part long, data binary, ids array<long>, ends array<long>, size long"), "part")
+    parts = bucketed(rows.mapInArrow(partial(_pack_parts, part_bytes), "part long, data binary, ids array<long>, ends array<long>, size long"), "part")
     total = parts.agg(F.sum("size")).first()[0] or 0
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SLOT_BYTES + 1)
 
@@ -446,7 +481,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(arrays, ["part", "slot", "hashes"])
 
     def shared(table: pa.Table) -> pa.Table:
-        return _shared(table)
+        return _shared(hot_parts, table)
 
     def heard(table: pa.Table) -> dict[int, bytes]:
         return dict(zip(table.column("slot").to_pylist(), table.column("answer").to_pylist()))
@@ -455,7 +490,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         number, slot_of, heads, texts = [], [], [], []
         for row in left.to_pylist():
             part = Part.of(row, width)
-            a, lead = part.anchors, part.entries(heard(right), slots, width).lead
+            entries = part.entries(heard(right), slots, width)
+            a, lead = entries.anchors, entries.lead
             head = np.zeros(len(lead), STRETCH)
             head["hash"], head["rank"] = a.hash[lead], part.rank[a.doc[lead]]
             head["place"], head["count"] = a.place[lead], a.count[lead]
@@ -477,7 +513,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = {"id": [], "n_bytes": [], "spans": [], "kept": []}
         for row in left.to_pylist():
             part = Part.of(row, width)
-            a, entries = part.anchors, part.entries(heard(right), slots, width)
+            entries = part.entries(heard(right), slots, width)
+            a = entries.anchors
             masks = np.zeros(len(entries.lead), np.uint64)
             answers = heard(more)
             for slot, own in _by_slot(a.hash[entries.lead], slots):

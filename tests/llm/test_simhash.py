@@ -5,7 +5,6 @@ import random
 import numpy as np
 import xxhash
 
-from ridgeline.llm import simhash
 from ridgeline.llm.components import components
 from ridgeline.llm.simhash import fingerprint, keep_one_of_each, near_fingerprints, simhash_components
 
@@ -68,7 +67,7 @@ def test_odd_rows(spark):
     assert simhash_components(frame.limit(0)).count() == 0
 
 
-def test_large_tries_are_walked_in_parts(spark, monkeypatch):
+def test_large_tries_are_walked_in_parts(spark):
     rng = np.random.default_rng(0)
     prints = set(rng.integers(0, 2**64, 200, dtype=np.uint64).tolist())
     for center in rng.integers(0, 2**64, 4, dtype=np.uint64).tolist():
@@ -80,9 +79,8 @@ def test_large_tries_are_walked_in_parts(spark, monkeypatch):
     prints = sorted(prints)
     label = groups(len(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
     frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "print long")
-    monkeypatch.setattr(simhash, "CHUNK_ROWS", 200)
-    for limit in (20, 60_000):
-        root = {r.node & (2**64 - 1): r.root for r in components(near_fingerprints(frame, 3, limit)).collect()}
+    for limit, chunk in ((20, 50), (100, 100), (60_000, 150_000)):
+        root = {r.node & (2**64 - 1): r.root for r in components(near_fingerprints(frame, 3, limit, chunk)).collect()}
         got = [root.get(p, p) for p in prints]
         assert len(set(zip(got, label))) == len(set(got)) == len(set(label))
 

@@ -7,7 +7,6 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ridgeline.llm import suffix
 from ridgeline.llm.suffix import NO_ID, blind_trie, cut_repeats, deep_shallow
 
 
@@ -31,8 +30,8 @@ def expected(rows, width=50):
     return sorted(out, key=str)
 
 
-def result(frame):
-    rows = cut_repeats(frame).collect()
+def result(frame, **options):
+    rows = cut_repeats(frame, **options).collect()
     return sorted([(r.doc_id, r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows], key=str)
 
 
@@ -58,7 +57,7 @@ def test_deep_shallow_finds_equal_suffixes():
     assert all((label[i] == label[j]) == (keys[i] == keys[j]) for i in range(len(rows)) for j in range(len(rows)))
 
 
-def test_odd_rows(spark, monkeypatch):
+def test_odd_rows(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdef éß\n") for _ in range(300)) for _ in range(6)]
     rows = [(1, None), (2, ""), (3, "x" * 49), (4, "x" * 50), (5, "x" * 9000), (0, "ab" * 40)]
@@ -67,8 +66,9 @@ def test_odd_rows(spark, monkeypatch):
         rows.append((rng.choice([i, i, i, None, 5]), rng.choice([text, text, text, "", text + text, "ab " * rng.randint(1, 60)])))
     frame = spark.createDataFrame([(*r, "p", 0) for r in rows], "doc_id long, text string, part string, n_bytes int")
     assert result(frame) == expected(rows)
-    monkeypatch.setattr(suffix, "PART_BYTES", 2000)  # parts are cut on the driver's side of the closure too
-    assert result(frame.repartition(3)) == expected(rows)
+    assert result(frame.repartition(3), part_bytes=2000) == expected(rows)
+    # all that parts share is dealt out string by string
+    assert result(frame.repartition(4), part_bytes=1000, hot_parts=1) == expected(rows)
     assert result(frame.limit(0)) == []
 
 
