@@ -168,7 +168,7 @@ def _views(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
 
 def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
     text, meta = _views(batch.columns[2:])
-    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (text, meta)]
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel().astype(np.float32))) for x in (text, meta)]
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc", "label", "text", "meta"])
 
 
@@ -204,11 +204,11 @@ def train(
     # at most labelled + unlabelled rows of two numbers, so they may be sent to every task
     rows = rows.join(F.broadcast(sample), F.col("doc") == F.col("key")).select("doc", "label", "text", "source", "lang", "chars")
     kind = rows.schema["doc"].dataType.simpleString()
-    got = arrow_map(rows, _features, f"doc {kind}, label int, text array<double>, meta array<double>")
+    got = arrow_map(rows, _features, f"doc {kind}, label int, text array<float>, meta array<float>")
     got = got.orderBy(F.xxhash64("doc"), "doc", "text").limit(labelled + unlabelled).toArrow()  # bounded likewise
     if not got.num_rows:
         return QualityModel()
-    dense = lambda name: np.array(got.column(name).combine_chunks().flatten()).reshape(got.num_rows, -1)
+    dense = lambda name: np.array(got.column(name).combine_chunks().flatten(), np.float64).reshape(got.num_rows, -1)
     return co_train(dense("text"), dense("meta"), got.column("label").to_numpy(), rounds, sure, ridge, most=unlabelled // 8)
 
 
