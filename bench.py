@@ -27,6 +27,26 @@ HEADLINE = (
 )
 
 
+def wide_rows(spark, sf_dir: str, table: str, key: str, width: int):
+    """Hashed features for the rows of a table."""
+    from ridgeline.sources.synthetic import synthetic_rows
+
+    ids = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key)
+    return synthetic_rows(ids, key, width, weights=[1.0, -0.5, 0.25] + [0.0] * (width - 3))
+
+
+def path_1000(spark, sf_dir: str):
+    from ridgeline import elastic_net_path
+
+    return elastic_net_path(wide_rows(spark, sf_dir, "part", "p_partkey", 1000), "label", "features", [0.9], num_lambdas=20)
+
+
+def path_10000_lazy(spark, sf_dir: str):
+    from ridgeline import lazy_path
+
+    return lazy_path(wide_rows(spark, sf_dir, "supplier", "s_suppkey", 10000), "label", "features", [0.9], num_lambdas=10, lambda_shrink=0.3)
+
+
 def main() -> None:
     root = os.path.dirname(os.path.abspath(__file__))
     sys.path.insert(0, root)
@@ -44,12 +64,12 @@ def main() -> None:
         spark__driver__memory="12g",
     )
     spark.sparkContext.setLogLevel("ERROR")
-    queries = all_queries()
+    queries = all_queries() | {"path_1000": path_1000, "path_10000_lazy": path_10000_lazy}
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm):  # start the JVM's compilers and the Python workers outside the timing
         queries["m5_path_blocks"](spark, warm).collect()
     seconds = {}
-    for name in HEADLINE:
+    for name in (*HEADLINE, "path_1000", "path_10000_lazy"):
         begin = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - begin, 3)

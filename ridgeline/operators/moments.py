@@ -40,6 +40,8 @@ def moments(frame: Design, mode: str = "auto") -> DataFrame:
     by_columns = frame.names is not None and len(frame.names) <= COLUMN_LIMIT
     if mode == "columns" and frame.names is None:
         raise ValueError("mode 'columns' needs a list of feature columns")
+    if mode == "columns" and len(frame.names) > 4 * COLUMN_LIMIT:
+        raise ValueError(f"mode 'columns' is for {4 * COLUMN_LIMIT} features at most, since one row holds all products: use blocks")
     if mode == "columns" or (mode == "auto" and by_columns):
         return _column_moments(frame)
     return materialize(block_moments(frame), "moments")
@@ -56,13 +58,11 @@ def _column_sums(frame: Design, shift: np.ndarray) -> list:
         sums += [F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for j, b in enumerate(slots) if j >= i]
     # one row per fold and at most a few hundred numbers per row: safe to hold on the driver
     spark, wide = rows.sparkSession, str(2 * len(sums) + 100)
-    before = spark.conf.get(CODEGEN_FIELDS)
-    # the default of 100 fields would turn off code generation for the whole stage
-    spark.conf.set(CODEGEN_FIELDS, max(before, wide, key=int))
-    try:
-        return rows.groupBy("fold").agg(*sums).collect()
-    finally:
-        spark.conf.set(CODEGEN_FIELDS, before)
+    # the default of 100 fields would turn off code generation for the whole stage; the setting is only ever
+    # raised, so that fits in several threads cannot undo each other
+    if int(spark.conf.get(CODEGEN_FIELDS)) < int(wide):
+        spark.conf.set(CODEGEN_FIELDS, wide)
+    return rows.groupBy("fold").agg(*sums).collect()
 
 
 def _column_moments(frame: Design) -> DataFrame:

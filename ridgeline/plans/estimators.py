@@ -32,6 +32,7 @@ from ridgeline.plans.descent import PathConfig
 from ridgeline.plans.lazy import lazy_cells, spread_out
 from ridgeline.plans.linear import solve_cells
 from ridgeline.plans.logistic import LogisticConfig, logistic_cells
+from ridgeline.session import scratch_scope
 
 
 class _PathParams(
@@ -130,6 +131,10 @@ class _PathEstimator(Estimator, _PathParams, DefaultParamsReadable, DefaultParam
         return _FitMultipleIterator(lambda i: models[i], len(models))
 
     def _fit_all(self, dataset: DataFrame, stages: list) -> list[Model]:
+        with scratch_scope(dataset.sparkSession):  # models hold all that is needed
+            return self._fit_stages(dataset, stages)
+
+    def _fit_stages(self, dataset: DataFrame, stages: list) -> list[Model]:
         for stage in stages:
             stage._check_index()
         # one scan per distinct input, one path per distinct configuration on it

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +44,32 @@ def shared_folder(spark: SparkSession) -> str:
     return configured
 
 
+_SCOPES = threading.local()  # per thread, the lists of paths of the scopes it is in
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for paths in getattr(_SCOPES, "open", ()):
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what this thread wrote to fresh paths within it; nothing lazy may outlive it."""
+    if not hasattr(_SCOPES, "open"):
+        _SCOPES.open = []
+    scopes, paths = _SCOPES.open, []
+    scopes.append(paths)
+    try:
+        yield
+    finally:
+        scopes.pop()
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def materialize(table: DataFrame, name: str) -> DataFrame:

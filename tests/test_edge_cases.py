@@ -133,3 +133,40 @@ def test_estimators_follow_their_own_parameters(spark, monkeypatch):
     classes = rows.withColumn("label", (F.sin(F.col("id") * 7) > 0).cast("double"))
     hasty = ElasticNetPathClassifier(numLambdas=3, lambdaIndex=2, tol=1e-12, maxRounds=1).fit(classes)
     assert hasty.converged is False
+
+
+def test_fits_leave_nothing_behind(spark):
+    import os
+
+    from ridgeline.session import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    rows = line(spark).select(F.array("a", "b").alias("features"), F.col("y").alias("label"))
+    before = set(os.listdir(folder))
+    ElasticNetPathRegressor(numLambdas=4, lambdaIndex=3, gramMode="lazy").fit(rows)
+    ElasticNetPathRegressor(numLambdas=4, lambdaIndex=3).fit(rows)
+    assert set(os.listdir(folder)) == before
+
+
+def test_wide_lazy_folds_equal_full_ones(spark):
+    ids = spark.range(150).withColumn("fold", (F.col("id") % 3).cast("int"))
+    wide = F.transform(F.sequence(F.lit(0), F.lit(299)), lambda j: F.sin(F.col("id") * (j + 1) * 0.37))
+    rows = ids.withColumn("x", wide).withColumn("y", F.get("x", F.lit(3)) * 2 - F.get("x", F.lit(200)) + F.sin("id") / 10)
+    options = {"num_lambdas": 6, "lambda_shrink": 0.3, "tol": 1e-12, "max_iter": 3000}
+    full = cross_validate(rows, "y", "x", [0.9], "fold", 3, metric="mae", **options)
+    lazy = cross_validate(rows, "y", "x", [0.9], "fold", 3, metric="mae", mode="lazy", **options)
+    values = lambda cv: [r["mae"] for r in cv.averaged.orderBy("lambda_idx").collect()]
+    assert np.allclose(values(full), values(lazy), rtol=1e-7)
+
+
+def test_partials_are_added_up_in_two_levels(spark):
+    from ridgeline.operators.design import design
+    from ridgeline.operators.moments import block_moments, merge_salts
+
+    rows = spark.range(0, 1800, numPartitions=600).select(F.sin("id").alias("y"), F.array(F.cos("id"), F.sin(F.col("id") * 2)).alias("x"))
+    assert merge_salts(rows) == 24
+    plan = block_moments(design(rows, "y", "x"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") + plan.count("FlatMapGroupsInPandas") >= 2 or plan.count("Exchange") >= 2
+    two = block_moments(design(rows, "y", "x")).first()
+    one = block_moments(design(rows.coalesce(4), "y", "x")).first()
+    assert two["n"] == one["n"] == 1800 and np.allclose(two["c"], one["c"])
