@@ -27,12 +27,12 @@ from ridgeline.llm.common import arrow_map, bucketed, materialize, pack
 from ridgeline.session import ship_package
 
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")  # after A-Z are in lower case
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 SHARD_DOCS = 60_000
 BLOCK_DOCS = 64
-BLOCK_TERMS = 1 << 20  # query terms in a block of queries
-GROUP_BLOCKS = 8  # blocks that visit the shards together
-POSTINGS = 1 << 19  # postings weighed at once
+BLOCK_TERMS = 1 << 19  # query terms in a block of queries
+GROUP_BLOCKS = 4  # blocks that visit the shards together
+POSTINGS = 1 << 18  # postings weighed at once
 UNIT = 1e6
 NO_ID = np.iinfo(np.int64).max
 
@@ -79,15 +79,20 @@ def _shard(shard: int, ids: list[int | None], found: list[tuple[np.ndarray, np.n
         put(hashes[starts], "<u8"),
         put(np.append(starts, len(hashes)), "<i8"),
         put(doc, "<u2"),
-        put(times, "<i4"),
+        put(np.minimum(times, MANY), "u1"),
+        put(np.stack([np.flatnonzero(times >= MANY), times[times >= MANY]], 1), "<i8"),
         pa.array([len(ids)], pa.int64()),
         pa.array([int(length.sum())], pa.int64()),
     ]
     return pa.RecordBatch.from_arrays(arrays, SHARD_NAMES)
 
 
-SHARD_NAMES = ["shard", "ids", "lengths", "terms", "starts", "docs", "times", "n_docs", "n_words"]
-SHARD_SCHEMA = "shard long, ids binary, lengths binary, terms binary, starts binary, docs binary, times binary, n_docs long, n_words long"
+SHARD_NAMES = ["shard", "ids", "lengths", "terms", "starts", "docs", "times", "often", "n_docs", "n_words"]
+SHARD_SCHEMA = (
+    "shard long, ids binary, lengths binary, terms binary, starts binary, docs binary, times binary, often binary, "
+    "n_docs long, n_words long"
+)
+MANY = 255  # a term that is in a document so often has its place and number in ``often``
 
 
 def _index(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,13 +153,16 @@ class Shard:
     def __init__(self, row: dict, weights: np.ndarray, mean: float, k1: float, b: float):
         read = lambda name, kind: np.frombuffer(row[name], kind)
         self.ids, self.terms, self.starts, self.docs = read("ids", "<i8"), read("terms", "<u8"), read("starts", "<i8"), read("docs", "<u2")
-        times = read("times", "<i4")
+        times = read("times", "u1")
+        often = read("often", "<i8").reshape(-1, 2)
         norm = k1 * (1 - b + b * read("lengths", "<i8") / (mean or 1.0))
         term = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))
         self.impacts = np.empty(len(term), np.int32)
         for at in range(0, len(term), POSTINGS):
             some = slice(at, at + POSTINGS)
             tf = times[some].astype(np.float64)
+            here = often[(often[:, 0] >= at) & (often[:, 0] < at + POSTINGS)]
+            tf[here[:, 0] - at] = here[:, 1]
             self.impacts[some] = np.rint(weights[term[some]] * (tf * (k1 + 1) / (tf + norm[self.docs[some]])) * UNIT)
         self.size = len(self.ids)
         self.blocks = -(-self.size // BLOCK_DOCS)
@@ -239,6 +247,12 @@ def _for_each_shard(blocks: DataFrame, index: DataFrame) -> DataFrame:
     return blocks.withColumn("shard", F.explode(F.array(*[F.lit(n).cast("long") for n in numbers]) if numbers else F.array().cast("array<bigint>")))
 
 
+def _views(table: pa.Table) -> list[dict]:
+    """Rows of binary columns without copies."""
+    names = [f.name for f in table.schema if pa.types.is_binary(f.type)]
+    return [{n: table.column(n)[i].as_buffer() for n in names} for i in range(table.num_rows)]
+
+
 def top_k(
     docs: DataFrame,
     queries: DataFrame,
@@ -292,7 +306,7 @@ def top_k(
     mean = words / total if total else 0.0
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [_search(k, mean, k1, b, row, right.to_pylist()) for row in left.to_pylist()]
+        found = [_search(k, mean, k1, b, row, _views(right)) for row in _views(left)]
         return pa.concat_tables(found) if found else pa.table({n: pa.array([], pa.int64()) for n in ("query", "doc", "score")})
 
     best = None

@@ -32,7 +32,7 @@ def expected(docs, queries, k):
 def test_odd_rows(spark, monkeypatch):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(60)] + ["É", "Zé", "7"]
-    docs = [(0, None), (1, ""), (2, " .,"), (3, "w1 " * 20_000), (None, "w1 w2 é"), (None, "w1 w2 é")]
+    docs = [(0, None), (1, ""), (2, " .,"), (3, "w1 " * 20_000 + "w2 " * 255), (None, "w1 w2 é"), (None, "w1 w2 é")]
     docs += [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(len(words))], k=rng.randint(1, 60)))) for i in range(4, 400)]
     docs += docs[-8:]  # repeated rows tie
     queries = [(i, t) for i, t in docs if i is not None and i % 20 == 0 and i]
