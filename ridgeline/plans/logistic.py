@@ -238,13 +238,7 @@ def one_round(
         bands = add_bands(batches)
         width = len(beta) + 1
         joined = np.concatenate([bands[key] for key in sorted(bands)]).reshape(width, width + 1)
-        # move from the common scale to the standardized scale of this cell's training rows
-        move = np.zeros((width, width))
-        move[0, 0] = 1.0
-        move[1:, 0] = -shift * inverse
-        move[np.arange(1, width), np.arange(1, width)] = inverse
-        gram = move @ joined[:, :width] @ move.T
-        target = move @ joined[:, width]
+        gram, target = rescaled(joined[:, :width], joined[:, width], shift, inverse)
         new0, new = penalized_step(gram, target, n, beta0, beta, lam, config)
         distance = relative_change(beta0, beta, new0, new, config)
         next0, after = None, None
@@ -280,6 +274,17 @@ def one_round(
                 cell.beta0, cell.beta = row["next0"], np.array(row["next"])
 
 
+def rescaled(
+    gram: np.ndarray, target: np.ndarray, shift: np.ndarray, inverse: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Products of features on the common scale as those of ``(feature - shift) * inverse``; slot 0 is the constant."""
+    gram, target = gram.copy(), target.copy()
+    gram[1:] = (gram[1:] - shift[:, None] * gram[0]) * inverse[:, None]
+    gram[:, 1:] = (gram[:, 1:] - gram[:, :1] * shift) * inverse
+    target[1:] = (target[1:] - shift * target[0]) * inverse
+    return gram, target
+
+
 def penalized_step(
     gram: np.ndarray,
     target: np.ndarray,

@@ -125,3 +125,49 @@ def test_classifier_inside_spark_cross_validator(binary):
     ).fit(binary)
     assert len(fitted.avgMetrics) == 6 and max(fitted.avgMetrics) > 0.8
     assert fitted.bestModel.numFeatures == 10
+
+
+def row_by_row(x, y, lambdas, alpha, tol, max_iter=100):
+    """Plain loops over penalties, reweighting rounds, passes and features, with a residual for each row."""
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    beta, beta0, points = np.zeros(z.shape[1]), np.log(y.mean() / (1 - y.mean())), []
+    beta0 = 0.0  # frozen
+    for lam in lambdas:
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.maximum(beta0 + z @ beta, -100)))
+            sure = (p < 1e-5) | (1 - p < 1e-5)
+            w = np.where(sure, 1e-5, p * (1 - p))
+            r = (y - np.where(sure, np.round(p), p)) / w
+            new, constant = beta.copy(), 0.0
+            for _ in range(max_iter):
+                change = 0.0
+                for j in range(len(new)):
+                    wxr, wxx = (w * z[:, j] * r).mean(), (w * z[:, j] ** 2).mean()
+                    move = (w * r).sum() / w.sum()
+                    constant += move
+                    r = r - move
+                    u = wxr + wxx * new[j]
+                    value = np.sign(u) * max(abs(u) - lam * alpha, 0) / (wxx + lam * (1 - alpha))
+                    r = r - z[:, j] * (value - new[j])
+                    change += abs(value - new[j])
+                    new[j] = value
+                if change <= tol * np.abs(new).sum():
+                    break
+            distance = np.abs(new - beta).sum() / (np.abs(beta).sum() + 1e-4)
+            beta = new
+            if distance <= tol:
+                break
+        points.append(beta.copy())
+    return np.array(points)
+
+
+def test_default_tolerances_follow_plain_loops(binary):
+    path = logistic_path(binary, "label", "features", [0.8], num_lambdas=25, freeze_intercept=True, carry_step=False)
+    rows = sorted(path.collect(), key=lambda r: r["lambda_idx"])
+    lambdas = [r["lambda"] for r in rows]
+    assert np.allclose(np.divide(lambdas[1:], lambdas[:-1]), 0.93)
+    data = binary.select("features", "label").collect()
+    x, y = np.array([r["features"].toArray() if hasattr(r["features"], "toArray") else r["features"] for r in data]), np.array([r["label"] for r in data])
+    expected = row_by_row(x, y, lambdas, 0.8, tol=0.01)
+    assert np.abs(expected[-1]).max() > 0
+    assert np.allclose([r["beta"] for r in rows], expected, atol=1e-8)
