@@ -52,6 +52,23 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf_dir, "embeddings"), limit=0.98)
 
 
+EMBEDDING = """
+WITH RECURSIVE fine AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id, b.vec_id AS other FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reached AS (
+    SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.other FROM reached r JOIN links l ON r.other = l.vec_id
+), lowest AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+), counted AS (SELECT vec_id, count(*) AS n FROM links GROUP BY vec_id)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM lowest LEFT JOIN counted USING (vec_id)
+"""
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -195,4 +212,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op5_mixing": f"{mixing_sql()}\n{MIXING}", "op7_chat_format": CHAT, "op8_top_k_search": SEARCH, "op10_line_dedup": LINE_DEDUP}
+    return {"op3_embedding_dedup": EMBEDDING, "op5_mixing": f"{mixing_sql()}\n{MIXING}", "op7_chat_format": CHAT, "op8_top_k_search": SEARCH, "op10_line_dedup": LINE_DEDUP}
