@@ -150,7 +150,7 @@ def drop_repeated_lines(
     """All rows and columns of ``docs``, the texts without repeated lines, and two counts.
 
     A line whose key (stripped of blanks, A-Z lower-cased) has ``min_chars`` code points or more and is in
-    ``min_docs`` documents or more stays only in the document with the largest id that has it. A null text has one
+    ``min_docs`` documents or more stays only in the document with the largest id (a number) that has it. A null text has one
     empty line and stays null. Each row counts as one document. Rows with one id are parts of one document when lines
     are dropped: all of them keep a line that their id owns. A null id is smaller than every other id, and lines that
     only rows without id have stay everywhere. An empty table gives an empty result. ``n_lines`` and ``n_dropped``
