@@ -43,12 +43,14 @@ def tempered_targets(cells: DataFrame, dim: str, temper: float) -> DataFrame:
     return cells.groupBy(F.col(dim).alias(f"{dim}_")).agg(F.pow(F.sum("own"), F.lit(temper)).alias("wanted"))
 
 
-def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], rounds: int) -> DataFrame:
+def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], rounds: int, share: float | None = None) -> DataFrame:
     """Adds ``weight`` to cells with ``own``: scaled so that each margin in turn is as wanted.
 
-    ``targets`` holds for each dimension ``<dim>_, wanted``, in any unit. Values without a target get nothing.
+    ``targets`` holds for each dimension ``<dim>_, wanted``, in any unit. Values without a target get nothing. With
+    ``share`` the weights add up to that share of all, and none exceeds the cell's own: what such cells cannot give,
+    the next rounds ask from the other cells of the same value.
     """
-    total = cells.agg(F.sum("own")).first()[0] or 0.0
+    total = (cells.agg(F.sum("own")).first()[0] or 0.0) * (1.0 if share is None else share)
     scaled = {}
     for dim in dims:
         # only values that occur can be met
@@ -56,17 +58,68 @@ def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], round
         known = targets[dim].join(here, F.col(f"{dim}_").eqNullSafe(F.col("here")), "left_semi")
         all_wanted = known.agg(F.sum("wanted")).first()[0] or 0.0
         scaled[dim] = materialize(known.select(f"{dim}_", (F.col("wanted") / F.lit(all_wanted) * F.lit(total)).alias("wanted")), f"target-{dim}")
-    now = cells.withColumn("weight", F.col("own"))
+    now = cells.withColumn("weight", F.col("own") * F.lit(1.0 if share is None else share))
     for _ in range(rounds):
         for dim in dims:
             margin = now.groupBy(F.col(dim).alias(f"{dim}_")).agg(F.sum("weight").alias("sum"))
             margin = margin.join(scaled[dim].withColumnRenamed(f"{dim}_", "of"), F.col(f"{dim}_").eqNullSafe(F.col("of")), "left")
             margin = margin.select(f"{dim}_", F.coalesce(F.try_divide("wanted", "sum"), F.lit(0.0)).alias("factor"))
-            now = _joined(now, margin, dim).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            scaled_weight = F.col("weight") * F.col("factor")
+            weight = scaled_weight if share is None else F.least(scaled_weight, F.col("own"))
+            now = _joined(now, margin, dim).withColumn("weight", weight).drop("factor")
         now = materialize(now, "raked")  # a round is one job, and later rounds never repeat it
     return now
 
 
+def _wanted(cells: DataFrame, names: list[str], inner: list[str], targets: dict[str, DataFrame] | None, temper: float) -> dict[str, DataFrame]:
+    wanted = {}
+    for name, dim in zip(names, inner):
+        if targets is not None:
+            value, weight = targets[name].columns[:2]
+            wanted[dim] = targets[name].select(F.col(value).alias(f"{dim}_"), F.col(weight).cast("double").alias("wanted"))
+        else:
+            wanted[dim] = tempered_targets(cells, dim, temper)
+    return wanted
+
+
+def _cells(docs: DataFrame, dims: dict[str, Column], inner: list[str], tokens: Column) -> DataFrame:
+    rows = docs.select(*[c.alias(i) for c, i in zip(dims.values(), inner)], tokens.cast("double").alias("tokens"))
+    return materialize(rows.groupBy(*inner).agg(F.coalesce(F.sum("tokens"), F.lit(0.0)).alias("own")), "cells")
+
+
+def shortfalls(
+    docs: DataFrame,
+    dims: dict[str, Column],
+    tokens: Column,
+    share: float,
+    targets: dict[str, DataFrame] | None = None,
+    temper: float = 0.9,
+    rounds: int = 8,
+) -> DataFrame:
+    """``margin, value, own, wanted, expected, shortfall`` in tokens, for each value of each margin that ``mix`` rakes.
+
+    ``wanted`` is 0 for values without a target; values with a target that do not occur have no row. A shortfall is
+    what a value lacks since its documents are all wanted already, or since the rounds ended; negative if it has more.
+    """
+    names = list(dims)
+    inner = [f"dim{i}" for i in range(len(names))]
+    cells = _cells(docs, dims, inner, tokens)
+    wanted = _wanted(cells, names, inner, targets, temper)
+    raked = rake(cells, inner, wanted, rounds, share)
+    total = (cells.agg(F.sum("own")).first()[0] or 0.0) * share
+    out = None
+    for name, dim in zip(names, inner):
+        margin = raked.groupBy(F.col(dim).alias("value")).agg(F.sum("own").alias("own"), F.sum("weight").alias("expected"))
+        aim = margin.where("own > 0").join(wanted[dim], F.col("value").eqNullSafe(F.col(f"{dim}_"))).select(f"{dim}_", "wanted")
+        scale = F.lit(total) / F.lit(aim.agg(F.sum("wanted")).first()[0] or 1.0)
+        margin = margin.join(aim, F.col("value").eqNullSafe(F.col(f"{dim}_")), "left")
+        aimed = F.coalesce(F.col("wanted") * scale, F.lit(0.0))
+        value = F.col("value").cast("string").alias("value")
+        margin = margin.select(F.lit(name).alias("margin"), value, "own", aimed.alias("wanted"), "expected", (aimed - F.col("expected")).alias("shortfall"))
+        out = margin if out is None else out.unionByName(margin)
+    return out
+
+
 def mix(
     docs: DataFrame,
     dims: dict[str, Column],
@@ -79,12 +132,16 @@ def mix(
     seed: str = "",
     probability: str = "probability",
     sampled: str = "sampled",
+    share: float | None = None,
 ) -> DataFrame:
     """``docs`` with the probability of each row, and whether it is sampled.
 
     ``dims`` are the margins by name; null is a value of its own. Without ``targets`` the wanted share of a value is
     its share of all tokens to the power ``temper``, which lifts small sources. Probabilities are proportional to
-    calibrated over own weight, and one for the cell that is wanted most, so the expected margins are the targets.
+    calibrated over own weight. With ``share``, that share of all tokens is expected to be sampled, less what the
+    margins lack because a cell cannot be sampled more than whole (see ``shortfalls``); no rare cell changes the others
+    much. Without it the probability is one for the cell that is wanted most, however small that cell is, so the
+    expected margins are exactly the targets but the total may be small.
     Documents of cells without any token have probability one. A row is sampled if a number made from its id (from its
     text where the id is null) is below its probability: the same on every run, and the same for rows with one id.
     An empty table gives an empty result; columns named like the two results are replaced.
@@ -92,17 +149,10 @@ def mix(
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {probability.lower(), sampled.lower()}])
     names = list(dims)
     inner = [f"dim{i}" for i in range(len(names))]
-    rows = docs.select(*[dims[n].alias(i) for n, i in zip(names, inner)], tokens.cast("double").alias("tokens"))
-    cells = materialize(rows.groupBy(*inner).agg(F.coalesce(F.sum("tokens"), F.lit(0.0)).alias("own")), "cells")
-    wanted = {}
-    for name, dim in zip(names, inner):
-        if targets is not None:
-            value, weight = targets[name].columns[:2]
-            wanted[dim] = targets[name].select(F.col(value).alias(f"{dim}_"), F.col(weight).cast("double").alias("wanted"))
-        else:
-            wanted[dim] = tempered_targets(cells, dim, temper)
-    raked = rake(cells, inner, wanted, rounds).withColumn("ratio", F.try_divide("weight", "own"))
-    most = raked.agg(F.max("ratio")).first()[0]
+    cells = _cells(docs, dims, inner, tokens)
+    wanted = _wanted(cells, names, inner, targets, temper)
+    raked = rake(cells, inner, wanted, rounds, share).withColumn("ratio", F.try_divide("weight", "own"))
+    most = raked.agg(F.max("ratio")).first()[0] if share is None else 1.0
     chance = fresh(docs.columns, "chance")
     rate = F.coalesce(F.try_divide("ratio", F.lit(most).cast("double")), F.lit(1.0))
     at = [fresh(docs.columns, f"at_{i}") for i in inner]
