@@ -7,7 +7,7 @@ places, so only suffixes that begin near equal anchors have to be sorted against
 1. Texts are packed into parts of a few megabytes, stored once and bucketed by part, so no later step moves them.
 2. Each part sends the hashes of its anchors, each once, and hears which of them other parts have too.
 3. For those, it sends the stretch of text whose strings the anchor stands for. Equal stretches are one for a part.
-   Where stretches differ, the suffixes that begin in them are sorted: a multikey quicksort over 8-byte words goes to a
+   Where stretches differ, the suffixes that begin in them are sorted: a lexicographic sort by 8-byte words goes to a
    shallow depth and leaves aside what is alone, then a blind trie orders each group that still agrees. Neighbours that
    agree in all bytes are repeats; the smallest id among them keeps its string.
 4. Each part hears which of its strings are repeats and cuts the bytes they cover.
