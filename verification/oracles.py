@@ -340,8 +340,6 @@ SELECT CAST(lambda_idx AS INTEGER) AS lambda_idx, CAST(feature AS INTEGER) AS fe
         + f" SELECT CAST(i - 1 AS INTEGER) AS feature, "
         f"{r('beta0 - beta[1] * m[1] / sd[1] - beta[2] * m[2] / sd[2]', 4)} AS intercept, "
         f"{r('beta[i] / sd[i]', 4)} AS weight FROM path, range(1, 3) AS t(i) WHERE lambda_idx = 4",
-        "m14_param_grid": "SELECT CAST(row_number() OVER (ORDER BY alpha, k) - 1 AS INTEGER) AS position, alpha, "
-        f"CAST(k AS INTEGER) AS lambda_idx FROM {SPLIT_ALPHAS}, range(5) AS t(k)",
         "m15_key_split": "SELECT CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS part, count(*) AS n, "
         f"min(l_orderkey) AS first_key, {r('avg(charge)', 5)} AS mean_charge FROM ({LINES}) GROUP BY 1",
         "m16_cross_validation": line_path(both, all_folds)
@@ -363,10 +361,6 @@ SELECT alpha, CAST(lambda_idx AS INTEGER) AS lambda_idx, {r('avg(mae)', 4)} AS m
         "m17_regression_metrics": f"""WITH e AS (SELECT l_orderkey % 3 AS fold, charge AS y, charge - {FIXED_SCORE} AS r FROM ({LINES}))
 SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, {r('avg(r * r)', 2)} AS mse, {r('sqrt(avg(r * r))', 4)} AS rmse,
   {r('avg(abs(r))', 4)} AS mae, {r('1 - avg(r * r) / var_pop(y)', 9)} AS r2 FROM e GROUP BY fold""",
-        "m18_explain_params": """SELECT name, value, true AS explained FROM (VALUES ('elasticNetParam', '0.5'),
-('featuresCol', 'features'), ('fitIntercept', 'True'), ('handleInvalid', 'error'), ('labelCol', 'charge'), ('lambdaIndex', '7'),
-('lambdaShrink', '0.001'), ('maxIter', '1000'), ('numLambdas', '20'), ('predictionCol', 'prediction'),
-('tol', '1e-13')) AS t(name, value)""",
         "m19_differences": f"""WITH a AS (
   SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN c_acctbal + 0.5::DOUBLE ELSE c_acctbal END AS v
   FROM customer WHERE c_custkey % 7 <> 3),

@@ -22,7 +22,6 @@ from ridgeline.operators.gram import cross_products, direct_label_products, feat
 from ridgeline.operators.grid import PathParamGridBuilder, grid_points, logistic_grid, penalty_grid
 from ridgeline.operators.metrics import average_metric, best_point, fold_metrics, regression_metrics
 from ridgeline.operators.moments import moments
-from ridgeline.operators.ranking import number_rows
 from ridgeline.operators.scoring import order_of_weights, pick_point, predict, residuals, weights_to_input_scale
 from ridgeline.operators.split import key_fold, key_split
 from ridgeline.operators.standardize import column_stats, standardize_columns
@@ -657,12 +656,6 @@ def m13_logistic_model(spark, sf_dir):
     return long.select("feature", rounded("intercept", 4).alias("intercept"), rounded("w", 4).alias("weight"))
 
 
-@register
-def m14_param_grid(spark, sf_dir):
-    alphas = discount_alphas(spark, sf_dir).select(rounded("alpha", 6).alias("alpha")).distinct()
-    return number_rows(grid_points(alphas, 5), [F.col("alpha"), F.col("lambda_idx")], "position")
-
-
 @register
 def m15_key_split(spark, sf_dir):
     train, test = key_split(lineitem(spark, sf_dir), "l_orderkey", 5, 0)
@@ -730,15 +723,6 @@ def m17_regression_metrics(spark, sf_dir):
     )
 
 
-@register
-def m18_explain_params(spark, sf_dir):
-    model = regressor(elasticNetParam=0.5).fit(assembled(spark, sf_dir))
-    lines = [line.split(": ", 1) for line in model.explainParams().splitlines()]
-    explained = {name for name, _ in lines}
-    rows = [(p.name, str(model.getOrDefault(p)), p.name in explained) for p in model.params]
-    return spark.createDataFrame(rows, "name string, value string, explained boolean")
-
-
 @register
 def m19_differences(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"))
