@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.bpe import codec_digest
+from ridgeline.llm.centroids import cluster
 from ridgeline.llm.chat import rotate_perspectives
 from ridgeline.llm.common import documents, table
 from ridgeline.llm.embedding import embedding_duplicates
 from ridgeline.llm.lines import drop_repeated_lines
 from ridgeline.llm.mixing import layout_topic, mix, word_count
+from ridgeline.llm.packing import pack_documents
 from ridgeline.llm.quality import score, train
 from ridgeline.llm.search import top_k
 from ridgeline.llm.simhash import simhash_components
 from ridgeline.llm.suffix import cut_repeats
 from ridgeline.llm.token_count import token_counts
+from ridgeline.llm.whitening import whiten
 
 # DuckDB: blanks are \x20 and \x09 to \x0D
 LINE_DEDUP = """
@@ -207,9 +210,66 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+CLUSTERS, CLUSTER_ROUNDS = 16, 3
+
+
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"), k=CLUSTERS, rounds=CLUSTER_ROUNDS, dim=64, scale=64, seed="1:")
+
+
+def clustering_sql() -> str:
+    """The same rounds in DuckDB, with plain squared distances."""
+    finite = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    parts = [
+        f"""kept AS MATERIALIZED (
+    SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings WHERE len(embedding) = 64 AND {finite})""",
+        f"""c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS k, x AS c FROM kept QUALIFY k < {CLUSTERS})""",
+    ]
+    for turn in range(CLUSTER_ROUNDS + 1):
+        parts.append(
+            f"""a{turn} AS MATERIALIZED (
+    SELECT place, vec_id, x, k, d FROM (
+        SELECT *, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM kept, c{turn})
+    QUALIFY row_number() OVER (PARTITION BY place ORDER BY d, k) = 1)"""
+        )
+        if turn < CLUSTER_ROUNDS:  # the sum is taken down to a multiple of the count before it is divided
+            parts.append(
+                f"""c{turn + 1} AS MATERIALIZED (
+    SELECT k, coalesce(m, c) AS c FROM c{turn} LEFT JOIN (
+        SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM (
+            SELECT k, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n
+            FROM (SELECT k, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM a{turn}) GROUP BY k, i) GROUP BY k) USING (k))"""
+            )
+    last = CLUSTER_ROUNDS
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} USING (k)
+"""
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), most=32, scale=64)
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=4096, closing=1)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op3_embedding_dedup": EMBEDDING, "op5_mixing": f"{mixing_sql()}\n{MIXING}", "op7_chat_format": CHAT, "op8_top_k_search": SEARCH, "op10_line_dedup": LINE_DEDUP}
+    return {
+        "op3_embedding_dedup": EMBEDDING,
+        "op5_mixing": f"{mixing_sql()}\n{MIXING}",
+        "op7_chat_format": CHAT,
+        "op8_top_k_search": SEARCH,
+        "op10_line_dedup": LINE_DEDUP,
+        "op11_centroid_clustering": clustering_sql(),
+    }
