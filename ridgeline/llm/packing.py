@@ -18,6 +18,8 @@ length and number.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -34,19 +36,34 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import materialize, pack, ship_package, shipped_file
 
-KNOWN_ENTRIES = 400_000  # runs, and words, whose ids a Python worker remembers; a full memory is emptied
+KNOWN_ENTRIES = 800_000  # words whose ids a Python worker remembers (some 200 MB); a full memory is emptied
 KNOWN_LENGTH = 64  # longer ones are encoded anew each time
-BATCH = 256  # documents that look up their unknown runs together
-# The words of the vocabulary's own splitter, and the characters that normalization leaves as they are.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BEYOND = "[^\x00-ɏ]|İ"
-
-
-class RunEncoder:
-    """Ids of texts by the tokenizers library, which encodes each run or word between white space once.
-
-    White space ends a word of these vocabularies and is then dropped, so the ids of a text are those of its runs, one
-    after another. Runs of characters that normalization keeps are cut into words first, since words repeat more often.
+BATCH = 256  # documents that look up their unknown words together
+# Plain characters are those that normalization leaves as they are or lowers one by one.
+PLAIN_END = 0x180  # whose lower forms are plain too
+BEYOND = re.compile(f"[^\\x00-{chr(PLAIN_END - 1)}]|\u0130")
+
+
+def plain_words() -> re.Pattern:
+    """The words of plain, lowered text: contractions, runs of letters, single numbers, runs of other characters."""
+    kinds: dict[str, list[str]] = {"letter": [], "number": [], "space": []}
+    for char in map(chr, range(PLAIN_END)):
+        # the separators of information are white space to Python, but not to Unicode
+        space = char.isspace() and not "\x1c" <= char <= "\x1f"
+        kind = "space" if space else {"L": "letter", "N": "number"}.get(unicodedata.category(char)[0])
+        if kind:
+            kinds[kind].append(re.escape(char))
+    letter, number, space = ("".join(kinds[k]) for k in ("letter", "number", "space"))
+    # The contractions that the vocabulary's own splitter knows.
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
+
+
+class WordEncoder:
+    """Ids of texts by the tokenizers library, which encodes each word between white space once.
+
+    White space ends a word of these vocabularies and is then dropped, and case is folded, so the ids of a text are
+    those of its lowered words, one after another. Runs of other than plain characters, and runs with special strings,
+    are encoded whole.
     """
 
     def __init__(self, content: bytes):
@@ -57,77 +74,68 @@ class RunEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.of_run: dict[str, bytes] = {}
-        self.of_word: dict[str, bytes] = {}
-        self.words, self.beyond = regex.compile(WORDS), regex.compile(BEYOND)
+        self.known: dict[str, bytes] = {}
+        self.words = plain_words()
         self.spaces = regex.compile(r"\s+")
 
-    def runs(self, text: str) -> list[str]:
-        # str.split() also parts at four control characters that are not white space here
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return [r for r in self.spaces.split(text) if r]
-        return text.split()
-
-    def _whole(self, run: str) -> bytes:
-        return np.array(self.library.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_words(self, words: set[str]) -> dict[str, bytes]:
-        """One call for many words; the library says which id belongs to which word."""
-        ordered = list(words)
-        encoded = self.library.encode(" ".join(ordered), add_special_tokens=False)
-        data, of = np.array(encoded.ids, "<u4").tobytes(), np.array(encoded.word_ids)
-        edges = [0, *(4 * (np.flatnonzero(np.diff(of)) + 1)).tolist(), len(data)]
-        if len(edges) != len(ordered) + 1:
-            raise ValueError("the vocabulary does not keep words apart")
-        return dict(zip(ordered, (data[a:b] for a, b in zip(edges, edges[1:]))))
-
-    def learn(self, runs: set[str]) -> dict[str, bytes]:
-        """Ids of runs that are not remembered; short ones are remembered from now on."""
-        out: dict[str, bytes] = {}
-        parts: dict[str, list[str]] = {}
-        for run in runs:
-            if (not run.isascii() and self.beyond.search(run)) or ("<" in run and any(s in run for s in self.special)):
-                out[run] = self._whole(run)
+    def _odd(self, text: str) -> bool:
+        return (not text.isascii() and BEYOND.search(text) is not None) or any(s in text for s in self.special)
+
+    def units(self, text: str) -> list[str]:
+        """Lowered plain words, and odd runs as they are."""
+        if not self._odd(text):
+            return self.words.findall(text.lower())
+        out: list[str] = []
+        for run in self.spaces.split(text):
+            if self._odd(run):
+                out.append(run)
             else:
-                lowered = run.lower()
-                parts[run] = [lowered] if lowered.isalpha() else self.words.findall(lowered)
-        known = {}
-        missing = set()
-        for words in parts.values():
-            for word in words:
-                found = self.of_word.get(word)
-                if found is None:
-                    missing.add(word)
-                else:
-                    known[word] = found
-        if missing:
-            learnt = self._learn_words(missing)
-            known |= learnt
-            if len(self.of_word) + len(learnt) > KNOWN_ENTRIES:
-                self.of_word.clear()
-            self.of_word.update((w, ids) for w, ids in learnt.items() if len(w) <= KNOWN_LENGTH)
-        for run, words in parts.items():
-            out[run] = b"".join([known[w] for w in words])
-        if len(self.of_run) + len(out) > KNOWN_ENTRIES:
-            self.of_run.clear()
-        self.of_run.update((r, ids) for r, ids in out.items() if len(r) <= KNOWN_LENGTH)
+                out += self.words.findall(run.lower())
+        return out
+
+    def learn(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of units that are not remembered; short ones are remembered from now on."""
+        odd = {u for u in units if self._odd(u)}
+        out = {u: np.array(self.library.encode(u, add_special_tokens=False).ids, "<u4").tobytes() for u in odd}
+        words = list(units - odd)
+        if words:  # one call for many; the library says which id belongs to which word
+            encoded = self.library.encode(" ".join(words), add_special_tokens=False)
+            data, of = np.array(encoded.ids, "<u4").tobytes(), np.array(encoded.word_ids)
+            edges = [0, *(4 * (np.flatnonzero(np.diff(of)) + 1)).tolist(), len(data)]
+            if len(edges) != len(words) + 1:
+                raise ValueError("the vocabulary does not keep words apart")
+            out.update(zip(words, (data[a:b] for a, b in zip(edges, edges[1:]))))
+        if len(self.known) + len(out) > KNOWN_ENTRIES:
+            self.known.clear()
+        self.known.update((u, ids) for u, ids in out.items() if len(u) <= KNOWN_LENGTH)
         return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        runs = [self.runs(text) for text in texts]
-        found = [list(map(self.of_run.get, own)) for own in runs]
-        unknown = {run for own, got in zip(runs, found) if None in got for run, ids in zip(own, got) if ids is None}
+        units = [self.units(text) for text in texts]
+        found = [list(map(self.known.get, own)) for own in units]
+        gaps = [list(_places(got, None)) for got in found]
+        unknown = {own[i] for own, places in zip(units, gaps) for i in places}
         learnt = self.learn(unknown) if unknown else {}
-        for own, got in zip(runs, found):
-            yield b"".join([learnt[run] if ids is None else ids for run, ids in zip(own, got)]) if None in got else b"".join(got)
+        for own, got, places in zip(units, found, gaps):
+            for i in places:
+                got[i] = learnt[own[i]]
+            yield b"".join(got)
+
+
+def _places(values: list, wanted: object) -> Iterator[int]:
+    """Where a value stands in a list, without a look at each entry in Python."""
+    at = -1
+    for _ in range(values.count(wanted)):
+        at = values.index(wanted, at + 1)
+        yield at
 
 
 PIECES = "piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
 def _pieces(file: shipped_file, limit: int, closing: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder, end = file.build(RunEncoder), np.array([closing], "<u4").tobytes()
+    encoder, end = file.build(WordEncoder), np.array([closing], "<u4").tobytes()
     part, places = TaskContext.get().partitionId(), Counter()
     names = [f.split()[0] for f in PIECES.split(", ")]
     for batch in batches:
@@ -397,6 +405,7 @@ def pack_documents(
     length or ends a pattern, so there are less than ``4 * limit`` groups, of less than ``sqrt(2 * limit)`` lengths
     each; this bounds the broadcast (60 MB for 4,096 tokens, some 100 KB in practice) at any number of documents.
     """
+    # first numbers grow with tasks, so they are joined by a sort on both sides, never sent to every task
     spark = docs.sparkSession
     pieces = token_pieces(docs, vocabulary, limit, closing, id_col, text_col)
     counts = materialize(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("pieces")), "piece-counts")
@@ -404,7 +413,7 @@ def pack_documents(
     plan = spark.sparkContext.broadcast(pack_lengths(histogram, limit, units, most))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(F.col("length").alias("of_length"), F.col("part").alias("of_part"), F.coalesce(F.sum("pieces").over(before), F.lit(0)).alias("first"))
-    placed = pieces.join(first, (F.col("length") == F.col("of_length")) & (F.col("part") == F.col("of_part")))
+    placed = pieces.join(first.hint("merge"), (F.col("length") == F.col("of_length")) & (F.col("part") == F.col("of_part")))
     numbered = placed.select("id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("place")).alias("number"))
     kind = pieces.schema["id"].dataType.simpleString()
 

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ridgeline.llm.packing import SHIFT, RunEncoder, class_patterns, nonnegative_fit, pack_documents, pack_lengths
+from ridgeline.llm.packing import SHIFT, WordEncoder, class_patterns, nonnegative_fit, pack_documents, pack_lengths
 from ridgeline.llm.queries import op13_best_fit_packing
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -81,7 +81,7 @@ def test_encoder_equals_library():
     rng = random.Random(6)
     pool = [chr(c) for c in [*range(1, 0x250), 0x301, 0x345, 0x3A3, 0x2028, 0x1E9E, 0xFB01, 0x1F600]] + [" "] * 150 + list("'stremvld") * 20
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
-    encoder = RunEncoder(open(VOCABULARY, "rb").read())
+    encoder = WordEncoder(open(VOCABULARY, "rb").read())
     library = Tokenizer.from_file(VOCABULARY)
     got = list(encoder.encode(texts[:2000])) + list(encoder.encode(texts[2000:]))
     assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
