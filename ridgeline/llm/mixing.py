@@ -9,7 +9,7 @@ shuffle, so a source with a third of all rows is no heavier than another, and on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import fresh, materialize
@@ -33,50 +33,66 @@ def layout_topic(text: Column, marks: list[tuple[str, str]], sizes: list[tuple[s
     return F.lit(longest) if out is None else out.otherwise(longest)
 
 
-def _joined(cells: DataFrame, margin: DataFrame, dim: str) -> DataFrame:
-    """An equi-join on a dimension whose null is a value like others; Spark broadcasts the margin if it is small."""
-    return cells.join(margin, cells[dim].eqNullSafe(margin[f"{dim}_"]), "left").drop(f"{dim}_")
-
-
 def tempered_targets(cells: DataFrame, dim: str, temper: float) -> DataFrame:
     """A margin's shares to the power ``temper``, before they are scaled to one."""
     return cells.groupBy(F.col(dim).alias(f"{dim}_")).agg(F.pow(F.sum("own"), F.lit(temper)).alias("wanted"))
 
 
-def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], rounds: int, share: float | None = None) -> DataFrame:
-    """Adds ``weight`` to cells with ``own``: scaled so that each margin in turn is as wanted.
-
-    ``targets`` holds for each dimension ``<dim>_, wanted``, in any unit. Values without a target get nothing. With
-    ``share`` the weights add up to that share of all, and none exceeds the cell's own: what such cells cannot give,
-    the next rounds ask from the other cells of the same value.
-    """
-    total = (cells.agg(F.sum("own")).first()[0] or 0.0) * (1.0 if share is None else share)
-    scaled = {}
+def _with_targets(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], total: float) -> DataFrame:
+    """Cells with ``of_<dim>``, what all cells of their value are wanted to weigh; stored, so that rounds need no join."""
+    out = cells
     for dim in dims:
         # only values that occur can be met
         here = cells.where("own > 0").select(F.col(dim).alias("here")).distinct()
         known = targets[dim].join(here, F.col(f"{dim}_").eqNullSafe(F.col("here")), "left_semi")
         all_wanted = known.agg(F.sum("wanted")).first()[0] or 0.0
-        scaled[dim] = materialize(known.select(f"{dim}_", (F.col("wanted") / F.lit(all_wanted) * F.lit(total)).alias("wanted")), f"target-{dim}")
-    now = cells.withColumn("weight", F.col("own") * F.lit(1.0 if share is None else share))
+        own = known.select(f"{dim}_", (F.col("wanted") / F.lit(all_wanted) * F.lit(total)).alias(f"of_{dim}"))
+        out = out.join(own, out[dim].eqNullSafe(own[f"{dim}_"]), "left").drop(f"{dim}_")
+    return materialize(out, "wanted-cells")
+
+
+def rake(
+    cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], rounds: int, share: float | None = None, tolerance: float = 0.0
+) -> tuple[DataFrame, float]:
+    """Cells with ``own`` get ``weight``, scaled so that each margin in turn is as wanted; also the last movement.
+
+    ``targets`` holds for each dimension ``<dim>_, wanted``, a row for each value, in any unit. Values without a target
+    get nothing. With ``share`` the weights add up to that share of all, and none exceeds the cell's own: what such
+    cells cannot give, the next rounds ask from the other cells of the same value. Rounds end when no weight moves by
+    more than ``tolerance`` of the cell's own weight, at the latest after ``rounds``.
+
+    The sum of a margin is a window over the cells of its value, so a round is one job without any join; the job
+    itself reports how far weights moved.
+    """
+    total = (cells.agg(F.sum("own")).first()[0] or 0.0) * (1.0 if share is None else share)
+    now = _with_targets(cells, dims, targets, total)
+    kept = now.columns
+    now = now.withColumn("weight", F.col("own") * F.lit(1.0 if share is None else share))
+    moved = 0.0
     for _ in range(rounds):
+        turn = now.withColumn("was", F.col("weight"))
         for dim in dims:
-            margin = now.groupBy(F.col(dim).alias(f"{dim}_")).agg(F.sum("weight").alias("sum"))
-            margin = margin.join(scaled[dim].withColumnRenamed(f"{dim}_", "of"), F.col(f"{dim}_").eqNullSafe(F.col("of")), "left")
-            margin = margin.select(f"{dim}_", F.coalesce(F.try_divide("wanted", "sum"), F.lit(0.0)).alias("factor"))
-            scaled_weight = F.col("weight") * F.col("factor")
-            weight = scaled_weight if share is None else F.least(scaled_weight, F.col("own"))
-            now = _joined(now, margin, dim).withColumn("weight", weight).drop("factor")
-        now = materialize(now, "raked")  # a round is one job, and later rounds never repeat it
-    return now
+            factor = F.coalesce(F.try_divide(F.col(f"of_{dim}"), F.sum("weight").over(Window.partitionBy(dim))), F.lit(0.0))
+            weight = F.col("weight") * factor
+            turn = turn.withColumn("weight", weight if share is None else F.least(weight, F.col("own")))
+        seen = Observation()
+        movement = F.max(F.try_divide(F.abs(F.col("weight") - F.col("was")), F.col("own")))
+        now = materialize(turn.observe(seen, movement.alias("moved")).select(*kept, "weight"), "raked")
+        moved = seen.get["moved"] or 0.0
+        if moved <= tolerance:
+            break
+    return now.drop(*[f"of_{dim}" for dim in dims]), moved
 
 
 def _wanted(cells: DataFrame, names: list[str], inner: list[str], targets: dict[str, DataFrame] | None, temper: float) -> dict[str, DataFrame]:
     wanted = {}
     for name, dim in zip(names, inner):
         if targets is not None:
-            value, weight = targets[name].columns[:2]
-            wanted[dim] = targets[name].select(F.col(value).alias(f"{dim}_"), F.col(weight).cast("double").alias("wanted"))
+            value, weight = (F.col(f"`{c}`") for c in targets[name].columns[:2])
+            weight = weight.cast("double")
+            refused = F.raise_error(F.lit(f"a target of {name} is null or negative")).cast("double")
+            rows = targets[name].select(value.alias(f"{dim}_"), F.when(weight >= 0, weight).otherwise(refused).alias("wanted"))
+            wanted[dim] = rows.groupBy(f"{dim}_").agg(F.sum("wanted").alias("wanted"))  # a value named twice wants both
         else:
             wanted[dim] = tempered_targets(cells, dim, temper)
     return wanted
@@ -95,9 +111,11 @@ def shortfalls(
     targets: dict[str, DataFrame] | None = None,
     temper: float = 0.9,
     rounds: int = 8,
+    tolerance: float = 0.0,
 ) -> DataFrame:
-    """``margin, value, own, wanted, expected, shortfall`` in tokens, for each value of each margin that ``mix`` rakes.
+    """``margin, value, own, wanted, expected, shortfall, moved``, for each value of each margin that ``mix`` rakes.
 
+    All but ``moved`` are tokens; ``moved`` is the largest movement of a probability in the last round.
     ``wanted`` is 0 for values without a target; values with a target that do not occur have no row. A shortfall is
     what a value lacks since its documents are all wanted already, or since the rounds ended; negative if it has more.
     """
@@ -105,7 +123,7 @@ def shortfalls(
     inner = [f"dim{i}" for i in range(len(names))]
     cells = _cells(docs, dims, inner, tokens)
     wanted = _wanted(cells, names, inner, targets, temper)
-    raked = rake(cells, inner, wanted, rounds, share)
+    raked, moved = rake(cells, inner, wanted, rounds, share, tolerance)
     total = (cells.agg(F.sum("own")).first()[0] or 0.0) * share
     out = None
     for name, dim in zip(names, inner):
@@ -117,7 +135,7 @@ def shortfalls(
         value = F.col("value").cast("string").alias("value")
         margin = margin.select(F.lit(name).alias("margin"), value, "own", aimed.alias("wanted"), "expected", (aimed - F.col("expected")).alias("shortfall"))
         out = margin if out is None else out.unionByName(margin)
-    return out
+    return out.withColumn("moved", F.lit(moved))
 
 
 def mix(
@@ -133,11 +151,14 @@ def mix(
     probability: str = "probability",
     sampled: str = "sampled",
     share: float | None = None,
+    tolerance: float = 0.0,
 ) -> DataFrame:
     """``docs`` with the probability of each row, and whether it is sampled.
 
     ``dims`` are the margins by name; null is a value of its own. Without ``targets`` the wanted share of a value is
-    its share of all tokens to the power ``temper``, which lifts small sources. Probabilities are proportional to
+    its share of all tokens to the power ``temper``, which lifts small sources. A value named twice in ``targets`` wants
+    the sum; a null or negative target fails. Raking ends when no probability moves by more than ``tolerance``, at the
+    latest after ``rounds``. Probabilities are proportional to
     calibrated over own weight. With ``share``, that share of all tokens is expected to be sampled, less what the
     margins lack because a cell cannot be sampled more than whole (see ``shortfalls``); no rare cell changes the others
     much. Without it the probability is one for the cell that is wanted most, however small that cell is, so the
@@ -151,7 +172,7 @@ def mix(
     inner = [f"dim{i}" for i in range(len(names))]
     cells = _cells(docs, dims, inner, tokens)
     wanted = _wanted(cells, names, inner, targets, temper)
-    raked = rake(cells, inner, wanted, rounds, share).withColumn("ratio", F.try_divide("weight", "own"))
+    raked = rake(cells, inner, wanted, rounds, share, tolerance)[0].withColumn("ratio", F.try_divide("weight", "own"))
     most = raked.agg(F.max("ratio")).first()[0] if share is None else 1.0
     chance = fresh(docs.columns, "chance")
     rate = F.coalesce(F.try_divide("ratio", F.lit(most).cast("double")), F.lit(1.0))

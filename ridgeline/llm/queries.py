@@ -83,6 +83,7 @@ TOPIC_MARKS = [("license", "Licensed under"), ("table", " | "), ("symbols", "%%%
 TOPIC_SIZES = [("short", 1000), ("medium", 5000)]
 MIX_TEMPER = 0.9
 MIX_ROUNDS = 8
+MIX_SHARE = 0.65  # of all tokens that op5 and the pipeline keep
 
 
 def mixing_dims() -> dict[str, Column]:
@@ -92,7 +93,7 @@ def mixing_dims() -> dict[str, Column]:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = mixing_dims()
-    mixed = mix(documents(spark, sf_dir), dims, word_count(F.col("text")), temper=MIX_TEMPER, rounds=MIX_ROUNDS)
+    mixed = mix(documents(spark, sf_dir), dims, word_count(F.col("text")), temper=MIX_TEMPER, rounds=MIX_ROUNDS, share=MIX_SHARE)
     return mixed.select("doc_id", "source", "lang", dims["topic"].alias("topic"), F.round("probability", 9).alias("probability"), "sampled")
 
 
@@ -103,21 +104,21 @@ def mixing_sql(docs: str = "documents") -> str:
     word = "'[^\\x09-\\x0D\\x20]+'"
     parts = [
         f"d AS (SELECT *, CASE {cases} ELSE 'long' END AS topic, coalesce(len(regexp_extract_all(text, {word})), 0) AS words FROM {docs})",
-        "c0 AS (SELECT source, lang, topic, CAST(sum(words) AS DOUBLE) AS own, CAST(sum(words) AS DOUBLE) AS weight FROM d GROUP BY ALL)",
+        f"c0 AS (SELECT source, lang, topic, CAST(sum(words) AS DOUBLE) AS own, CAST(sum(words) AS DOUBLE) * {MIX_SHARE}::DOUBLE AS weight FROM d GROUP BY ALL)",
     ]
     for dim in ("source", "lang", "topic"):
         shares = f"(SELECT {dim}, pow(sum(own), {MIX_TEMPER}) AS s FROM c0 GROUP BY {dim} HAVING sum(own) > 0)"
-        parts.append(f"t_{dim} AS (SELECT {dim}, s / sum(s) OVER () * (SELECT sum(own) FROM c0) AS wanted FROM {shares})")
+        parts.append(f"t_{dim} AS (SELECT {dim}, s / sum(s) OVER () * (SELECT sum(own) * {MIX_SHARE}::DOUBLE FROM c0) AS wanted FROM {shares})")
     last = "c0"
     for turn in range(MIX_ROUNDS):
         for dim in ("source", "lang", "topic"):
             step = f"c{turn + 1}_{dim}"
             parts.append(
-                f"{step} AS MATERIALIZED (SELECT c.* EXCLUDE (weight), weight * coalesce(wanted / nullif(sum(weight) OVER (PARTITION BY c.{dim}), 0), 0) AS weight "
+                f"{step} AS MATERIALIZED (SELECT c.* EXCLUDE (weight), least(own, weight * coalesce(wanted / nullif(sum(weight) OVER (PARTITION BY c.{dim}), 0), 0)) AS weight "
                 f"FROM {last} c LEFT JOIN t_{dim} t ON c.{dim} IS NOT DISTINCT FROM t.{dim})"
             )
             last = step
-    parts.append(f"p AS (SELECT source, lang, topic, coalesce(weight / nullif(own, 0) / (SELECT max(weight / nullif(own, 0)) FROM {last}), 1.0) AS probability FROM {last})")
+    parts.append(f"p AS (SELECT source, lang, topic, coalesce(weight / nullif(own, 0), 1.0) AS probability FROM {last})")
     parts.append(
         "mixed AS (SELECT d.*, probability, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / pow(16, 13) < probability AS sampled FROM d JOIN p "
         "ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic)"
