@@ -8,6 +8,6 @@ from ridgeline.plans.estimators import (  # noqa: F401
 )
 from ridgeline.plans.lazy import lazy_path  # noqa: F401
 from ridgeline.plans.linear import elastic_net_path  # noqa: F401
-from ridgeline.plans.logistic import logistic_path  # noqa: F401
+from ridgeline.plans.logistic import logistic_path, sparse_logistic_path  # noqa: F401
 from ridgeline.plans.selection import cross_validate  # noqa: F401
 from ridgeline.session import get_session, shared_folder, ship_package  # noqa: F401

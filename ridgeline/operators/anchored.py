@@ -17,6 +17,7 @@ ANCHORED_SCHEMA = (
     "fold int, chunk int, start int, n double, anchor_mean array<double>, mean array<double>, "
     "low array<double>, high array<double>, square array<double>, c array<double>"
 )
+FLUSH_BYTES = 128 << 20  # partials that a map task gathers before it hands them on
 _LISTS = ("anchor_mean", "mean", "low", "high", "square", "c")
 
 
@@ -56,8 +57,9 @@ class Anchored:
             self.c + other.c + factor * np.outer(anchor_shift, shift),
         )
 
-    def chunks(self) -> Iterator[tuple[int, Anchored]]:
-        step = max(1, BLOCK_CELLS // (len(self.anchor_mean) + 4))
+    def chunks(self, step: int | None = None) -> Iterator[tuple[int, Anchored]]:
+        """Cut by slots; with a given ``step`` the chunks of all tables of one input have the same slots."""
+        step = step or max(1, BLOCK_CELLS // (len(self.anchor_mean) + 4))
         for number, start in enumerate(range(0, len(self.mean), step)):
             cut = slice(start, start + step)
             yield number, Anchored(
@@ -94,20 +96,30 @@ def _write(fold: int, chunk: int, item: Anchored) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["fold", "chunk", "start", "n", *_LISTS])
 
 
-def anchored_products(frame: Design, anchors: Sequence[int]) -> DataFrame:
-    """Products of all slots with the anchor slots (0 = label), one row per chunk of slots."""
+def anchored_products(frame: Design, anchors: Sequence[int], step: int | None = None) -> DataFrame:
+    """Products of all slots with the anchor slots (0 = label), one row per chunk of slots.
+
+    A map task holds partials of ``FLUSH_BYTES`` besides the one it works on, however many folds there are.
+    """
     columns, chosen = frame.columns, np.asarray(list(anchors), dtype=int)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, Anchored] = {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for key, total in totals.items():
+                for chunk, item in total.chunks(step):
+                    yield _write(key, chunk, item)
+            totals.clear()
+
         for batch in batches:
             for fold, rows in row_blocks(batch, columns):
                 for key in np.unique(fold).astype(int).tolist():
                     part = Anchored.of(rows[fold == key], chosen)
+                    if key not in totals and totals and 8 * (len(totals) + 1) * part.c.size > FLUSH_BYTES:
+                        yield from flushed()
                     totals[key] = totals[key].merge(part) if key in totals else part
-        for key, total in totals.items():
-            for chunk, item in total.chunks():
-                yield _write(key, chunk, item)
+        yield from flushed()
 
     partials = frame.rows.coalesce(MAX_PARTIALS).mapInArrow(partial, ANCHORED_SCHEMA)
     return merge_anchored(partials)

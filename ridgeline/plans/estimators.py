@@ -349,7 +349,7 @@ class ElasticNetPathClassifier(_PathEstimator, HasRawPredictionCol, HasProbabili
 
     def _paths(self, dataset: DataFrame, configs: list) -> DataFrame:
         label, features = self.getLabelCol(), self.getFeaturesCol()
-        return logistic_cells(dataset, label, features, configs, handle_invalid=self.getHandleInvalid())
+        return logistic_cells(dataset, label, features, configs, handle_invalid=self.getHandleInvalid(), mode="auto")
 
     def _model(self, row) -> ElasticNetPathClassificationModel:
         return ElasticNetPathClassificationModel(row["weights"], row["intercept"], row["lambda"])

@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ridgeline.operators.anchored import anchored_products, merge_anchored
-from ridgeline.operators.design import cache_packed, design
+from ridgeline.operators.design import Design, cache_packed, design
 from ridgeline.operators.grid import LOGISTIC_STEP
 from ridgeline.operators.moments import _typed
 from ridgeline.operators.scatter import BLOCK_CELLS
 from ridgeline.operators.weighted import SALTS, State, add_bands, merge_bands, weighted_partials
+from ridgeline.plans.active_logistic import active_logistic_cells
 from ridgeline.plans.descent import GRID_ALPHA_FLOOR
+from ridgeline.plans.lazy import densify
 from ridgeline.plans.linear import ALL_ROWS
 
 LOGISTIC_SCHEMA = (
@@ -24,6 +26,7 @@ LOGISTIC_SCHEMA = (
 )
 STEP_SCHEMA = "cell int, beta0 double, beta array<double>, distance double, next0 double, next array<double>"
 STATE_CELLS = 2**26  # doubles of weighted products that one task may hold: 512 MB
+FULL_WIDTH = 256  # features whose products are all added up, unless asked otherwise
 DENOMINATOR_GUARD = 1e-4  # fixed value in the relative change of a reweighting step
 
 
@@ -124,11 +127,18 @@ def logistic_path(
     fold: Column | str | None = None,
     num_folds: int = 0,
     handle_invalid: str = "error",
+    mode: str = "auto",
+    journal: str | None = None,
     **options,
 ) -> DataFrame:
-    """Fit a path of penalized logistic models for a 0/1 label, one per (fold, alpha) cell."""
+    """Fit a path of penalized logistic models for a 0/1 label, one per (fold, alpha) cell.
+
+    ``mode="full"`` adds up weighted products of all features, ``mode="active"`` those of active features and checks
+    the gradient of all others; ``auto`` takes the latter beyond ``FULL_WIDTH`` features. With ``journal``, a folder
+    that all executors share, a stopped fit of active features goes on from its last finished round.
+    """
     configs = [LogisticConfig(alpha=float(a), **options) for a in alphas]
-    return logistic_cells(df, label, features, configs, fold, num_folds, handle_invalid)
+    return logistic_cells(df, label, features, configs, fold, num_folds, handle_invalid, mode, journal)
 
 
 def logistic_cells(
@@ -139,7 +149,53 @@ def logistic_cells(
     fold: Column | str | None = None,
     num_folds: int = 0,
     handle_invalid: str = "error",
+    mode: str = "full",
+    journal: str | None = None,
 ) -> DataFrame:
+    """Paths with dense ``weights`` and ``beta``; see ``sparse_logistic_path`` for features beyond counting."""
+    frame, num_folds = logistic_design(df, label, features, fold, num_folds, handle_invalid)
+    if mode not in ("auto", "full", "active"):
+        raise ValueError("mode must be auto, full or active")
+    if mode == "active" or (mode == "auto" and first_width(frame) > FULL_WIDTH):
+        return densify(active_logistic_cells(frame, configs, num_folds, STATE_CELLS, journal))
+    return full_cells(frame, configs, num_folds)
+
+
+def sparse_logistic_path(
+    df: DataFrame,
+    label: Column | str,
+    features: Column | str | Sequence[Column | str],
+    alphas: Sequence[float] = (1.0,),
+    *,
+    fold: Column | str | None = None,
+    num_folds: int = 0,
+    handle_invalid: str = "error",
+    journal: str | None = None,
+    **options,
+) -> DataFrame:
+    """The path of active features with sparse weights (``indices, weights, width``), for any number of features."""
+    configs = [LogisticConfig(alpha=float(a), **options) for a in alphas]
+    frame, num_folds = logistic_design(df, label, features, fold, num_folds, handle_invalid)
+    return active_logistic_cells(frame, configs, num_folds, STATE_CELLS, journal)
+
+
+def first_width(frame: Design) -> int:
+    """Number of features, of the first row if it is an array; an empty input has none."""
+    if frame.width is not None:
+        return frame.width
+    first = frame.rows.select(F.size("features").alias("width")).first()
+    return 0 if first is None else first["width"]
+
+
+def logistic_design(
+    df: DataFrame,
+    label: Column | str,
+    features: Column | str | Sequence[Column | str],
+    fold: Column | str | None,
+    num_folds: int,
+    handle_invalid: str,
+) -> tuple[Design, int]:
+    """The checked input, and its number of folds (0 without a fold)."""
     if fold is None:
         num_folds = 0
     elif num_folds < 2:
@@ -147,8 +203,12 @@ def logistic_cells(
     target = (F.col(label) if isinstance(label, str) else label).cast("double")
     unknown = F.raise_error(F.lit("a logistic label must be 0 or 1")).cast("double")
     target = F.when(target.isNull() | F.isnan(target) | target.isin(0.0, 1.0), target).otherwise(unknown)
-    frame = design(df, target, features, fold, handle_invalid, num_folds or None)
-    spark = df.sparkSession
+    return design(df, target, features, fold, handle_invalid, num_folds or None), num_folds
+
+
+def full_cells(frame: Design, configs: Sequence[LogisticConfig], num_folds: int) -> DataFrame:
+    """One job for each reweighting round of all cells, over products of all features."""
+    spark = frame.rows.sparkSession
     frame, held = cache_packed(frame)
     rows = frame.rows
     try:
