@@ -21,6 +21,7 @@ class Design:
     rows: DataFrame
     names: tuple[str, ...] | None  # None: features is an array whose width the data decides
     packed: bool = False  # rows are binary blocks, see pack()
+    known_width: int | None = None  # of an array, once a row has been read
 
     @property
     def width(self) -> int | None:
@@ -124,3 +125,13 @@ def cache_packed(frame: Design) -> tuple[Design, list[DataFrame]]:
         spread = cached.repartition(max(1, min(cores, cached.count())))
         held.append(spread.persist(StorageLevel.MEMORY_AND_DISK))
     return Design(held[-1], None, packed=True), held
+
+
+def first_width(frame: Design) -> int:
+    """Number of features, of the first row if it is an array; an empty input has none."""
+    if frame.width is not None:
+        return frame.width
+    if frame.known_width is None:  # one row is read once, however often this is asked
+        first = frame.rows.select(F.size("features").alias("width")).first()
+        object.__setattr__(frame, "known_width", 0 if first is None else first["width"])
+    return frame.known_width

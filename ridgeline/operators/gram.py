@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ridgeline.operators.anchored import anchored_products, read_anchored
 from ridgeline.operators.design import Design
-from ridgeline.operators.moments import _typed
 from ridgeline.operators.scatter import Scatter, read_scatters
 
 GRAM_SCHEMA = "fold int, i int, j int, value double"
@@ -22,8 +21,9 @@ def cross_products(table: DataFrame) -> DataFrame:
     Each band of the moment table is scaled on its own, so the work and the output are spread
     like the table. Only the diagonal, one small vector per fold, is shared with every band.
     """
-    diagonal = table.select("fold", "start", "n", "mean", "low", "high", "c").groupBy("fold")
-    deviations = diagonal.applyInArrow(_typed(_deviations), "fold int, std array<double>")
+    diagonal = table.mapInArrow(_diagonals, "fold int, start int, std array<double>").groupBy("fold")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "std"))), lambda p: p["std"])
+    deviations = diagonal.agg(F.flatten(parts).alias("std"))  # p numbers for each fold
     joined = table.join(deviations, "fold")
 
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,16 +50,12 @@ def cross_products(table: DataFrame) -> DataFrame:
     return joined.mapInArrow(scaled, GRAM_SCHEMA)
 
 
-def _deviations(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    std: np.ndarray | None = None
+def _diagonals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, band in read_scatters(batch):
-            std = np.zeros(len(band.mean)) if std is None else std
-            depth = band.c.shape[0]
-            std[band.start : band.start + depth] = _band_std(band)
-    yield pa.RecordBatch.from_pydict(
-        {"fold": pa.array([keys[0].as_py()], pa.int32()), "std": pa.array([std], pa.list_(pa.float64()))}
-    )
+        rows = [(fold, band.start, _band_std(band)) for fold, (_, band) in zip(batch.column("fold").to_pylist(), read_scatters(batch))]
+        if rows:
+            kinds = (pa.int32(), pa.int32(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["fold", "start", "std"])
 
 
 def _band_std(band: Scatter) -> np.ndarray:

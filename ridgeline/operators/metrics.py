@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-LARGER_IS_BETTER = ("r2",)
+LARGER_IS_BETTER = ("r2", "accuracy", "auc")
 
 
 def regression_metrics(df: DataFrame, label: Column | str, prediction: Column | str, *by: str) -> DataFrame:

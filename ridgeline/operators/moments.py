@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ridgeline.operators.design import MAX_PARTIALS, Design
+from ridgeline.operators.design import MAX_PARTIALS, Design, cache_packed, first_width
 from ridgeline.operators.scatter import (
     SCATTER_FIELDS,
     Scatter,
+    band_rows,
     read_scatters,
     row_blocks,
     write_scatters,
@@ -28,7 +29,8 @@ from ridgeline.session import materialize
 MOMENT_SCHEMA = "fold int, " + SCATTER_FIELDS
 COLUMN_LIMIT = 12  # beyond this many features matrix products on batches are faster
 CODEGEN_FIELDS = "spark.sql.codegen.maxFields"
-WIDTH_LIMIT = 8192  # a full matrix beyond this (512 MB per task and fold) is left to the lazy path
+WIDTH_LIMIT = 8192  # a task holds a full matrix up to this (512 MB); wider ones are added up stripe by stripe
+FLUSH_BYTES = 512 << 20  # partials that a map task gathers before it hands them on
 ONE_LEVEL = 64  # partials that one reducer may add up
 ILL_CONDITIONED = 1e4  # |mean| / std above this loses more than 8 digits in plain sums
 
@@ -44,7 +46,27 @@ def moments(frame: Design, mode: str = "auto") -> DataFrame:
         raise ValueError(f"mode 'columns' is for {4 * COLUMN_LIMIT} features at most, since one row holds all products: use blocks")
     if mode == "columns" or (mode == "auto" and by_columns):
         return _column_moments(frame)
-    return materialize(block_moments(frame), "moments")
+    width = first_width(frame) + 1
+    if width <= WIDTH_LIMIT:
+        return materialize(block_moments(frame), "moments")
+    # stripes of the matrix, one after another over the same cached rows
+    packed, cached = cache_packed(frame)
+    try:
+        parts = None
+        for start, stop in stripes(width):
+            own = block_moments(packed, start, stop)
+            parts = own if parts is None else parts.unionByName(own)
+        return materialize(parts, "moments")
+    finally:
+        for table in cached:
+            table.unpersist()
+
+
+def stripes(width: int) -> list[tuple[int, int]]:
+    """Rows of a matrix too large for a task, in pieces of whole bands within ``FLUSH_BYTES``."""
+    step = band_rows(width)
+    depth = max(1, FLUSH_BYTES // (8 * width * step)) * step
+    return [(start, min(start + depth, width)) for start in range(0, width, depth)]
 
 
 def _column_sums(frame: Design, shift: np.ndarray) -> list:
@@ -92,20 +114,15 @@ def _column_moments(frame: Design) -> DataFrame:
     return frame.rows.sparkSession.createDataFrame(pa.Table.from_batches([batch]), MOMENT_SCHEMA)
 
 
-def block_moments(frame: Design) -> DataFrame:
-    """Matrix products per Arrow batch, one partial per task and fold, merged per band."""
+def block_moments(frame: Design, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Matrix products per Arrow batch, partials of task and fold merged per band; of the matrix only some rows.
+
+    A map task gathers ``FLUSH_BYTES`` at most besides the fold it works on, so many folds hand on partials earlier.
+    """
     columns = frame.columns
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, Scatter] = {}
-        for batch in batches:
-            for fold, rows in row_blocks(batch, columns):
-                if rows.shape[1] > WIDTH_LIMIT:
-                    raise ValueError(f"{rows.shape[1]} columns are too wide for a full matrix: use lazy_path or gramMode='lazy'")
-                for key in np.unique(fold).astype(int).tolist():
-                    part = Scatter.of(rows[fold == key])
-                    totals[key] = totals[key].merge(part) if key in totals else part
-        for key, total in totals.items():
+        for key, total in gathered(batches, columns, start, stop):
             for block, band in total.blocks():
                 yield write_scatters({"fold": [key]}, [(block, band)])
 
@@ -113,6 +130,23 @@ def block_moments(frame: Design) -> DataFrame:
     return merge_moments(partials, "fold", MOMENT_SCHEMA)
 
 
+def gathered(
+    batches: Iterator[pa.RecordBatch], columns: list[str], start: int = 0, stop: int | None = None, budget: int | None = None
+) -> Iterator[tuple[int, Scatter]]:
+    """Moments by fold; all of them are handed on before they would hold more than the budget."""
+    budget = FLUSH_BYTES if budget is None else budget
+    totals: dict[int, Scatter] = {}
+    for batch in batches:
+        for fold, rows in row_blocks(batch, columns):
+            for key in np.unique(fold).astype(int).tolist():
+                part = Scatter.of(rows[fold == key], start, stop)
+                if key not in totals and totals and 8 * part.c.size * (len(totals) + 1) > budget:
+                    yield from totals.items()
+                    totals = {}
+                totals[key] = totals[key].merge(part) if key in totals else part
+    yield from totals.items()
+
+
 def merge_moments(partials: DataFrame, key: str, schema: str) -> DataFrame:
     """Add up partial moments per key and band; a reducer holds one band at a time.
 

@@ -29,12 +29,13 @@ class Scatter:
     c: np.ndarray
 
     @classmethod
-    def of(cls, rows: np.ndarray) -> Scatter:
+    def of(cls, rows: np.ndarray, start: int = 0, stop: int | None = None) -> Scatter:
+        """Moments of some rows; of the matrix only the rows from ``start`` to ``stop``."""
         slots = np.array(rows.T, dtype=float, order="C")  # reductions run along contiguous memory
         mean = slots.mean(axis=1)
         low, high = slots.min(axis=1), slots.max(axis=1)
         slots -= mean[:, None]
-        return cls(0, float(len(rows)), mean, low, high, slots @ slots.T)
+        return cls(start, float(len(rows)), mean, low, high, slots[start:stop] @ slots[start:].T)
 
     def merge(self, other: Scatter) -> Scatter:
         """Pairwise update of count, mean and scatter; no large sums are subtracted."""
@@ -53,12 +54,16 @@ class Scatter:
         )
 
     def blocks(self) -> Iterator[tuple[int, Scatter]]:
-        """Cut a whole matrix into row bands, so that reducers share the work."""
-        width = len(self.mean)
-        step = max(1, BLOCK_CELLS // width)
-        for number, start in enumerate(range(0, width, step)):
-            band = self.c[start : start + step, start:]
-            yield number, Scatter(start, self.n, self.mean, self.low, self.high, band)
+        """Cut into row bands, so that reducers share the work; a stripe starts at the first row of a band."""
+        step = band_rows(len(self.mean))
+        for first in range(0, self.c.shape[0], step):
+            band = self.c[first : first + step, first:]
+            yield (self.start + first) // step, Scatter(self.start + first, self.n, self.mean, self.low, self.high, band)
+
+
+def band_rows(width: int) -> int:
+    """Rows of the matrix in one shuffled band."""
+    return max(1, BLOCK_CELLS // width)
 
 
 def whole(bands: Iterable[Scatter]) -> Scatter | None:

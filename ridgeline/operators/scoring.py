@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ridgeline.functions import dot
 from ridgeline.functions.scalar import checked_width
+from ridgeline.operators.ranking import number_rows
 
 EXPRESSION_LIMIT = 128  # more weights go through one matrix product per batch, with the same results
 
@@ -84,6 +85,21 @@ def order_of_weights(weights: Column | str) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["feature"])
 
 
+def order_of_sparse_weights(path: DataFrame) -> DataFrame:
+    """``fold, cell, lambda_idx, feature, weight, position`` of the nonzero weights of paths with ``indices``.
+
+    Positions as in ``order_of_weights``; features of weight zero come after them in feature order and have no row.
+    Weights are ranked as rows of one range-partitioned sort, so no point is sorted in one place.
+    """
+    key = ["fold", "cell", "lambda_idx"]
+    entries = path.select(*key, F.explode(F.arrays_zip("indices", "weights")).alias("e"))
+    entries = entries.select(*key, F.col("e.indices").alias("feature"), F.col("e.weights").alias("weight")).where("weight <> 0")
+    order = [*map(F.col, key), F.abs("weight").desc(), F.col("feature")]
+    ranked = number_rows(entries, order, "_rank")
+    first = ranked.groupBy(*key).agg(F.min("_rank").alias("_first"))
+    return ranked.join(first, key).select(*key, "feature", "weight", (F.col("_rank") - F.col("_first")).alias("position"))
+
+
 def weights_to_input_scale(
     path: DataFrame,
     stats: DataFrame,

@@ -9,10 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ridgeline.operators.design import design
-from ridgeline.operators.moments import MOMENT_SCHEMA, _typed, merge_moments, moments
+from ridgeline.operators.design import Design, design, first_width
+from ridgeline.operators.moments import MOMENT_SCHEMA, WIDTH_LIMIT, _typed, merge_moments, moments
 from ridgeline.operators.scatter import Scatter, read_scatters, whole
 from ridgeline.plans.descent import PathConfig, PathPoint, lambda_grid, original_scale, scale, solve_path
+from ridgeline.session import materialize
 
 ALL_ROWS = -1  # fold number of the cell that trains on every row
 NO_ROWS = 2  # role of the record that only says that a cell is wanted
@@ -39,7 +40,8 @@ def elastic_net_path(
     """Fit one path per alpha, and with ``fold`` also one per (held-out fold, alpha).
 
     Fold -1 trains on all rows. Rows of fold k are held out of cell k, and the cell reports
-    its squared error on them. ``options`` are the fields of :class:`PathConfig`.
+    its squared error on them. ``options`` are the fields of :class:`PathConfig`. With ``mode="auto"``, features from
+    ``WIDTH_LIMIT`` on are left to the path of active features.
     """
     configs = [PathConfig(alpha=float(a), **options) for a in alphas]
     if fold is None:
@@ -47,9 +49,27 @@ def elastic_net_path(
     elif num_folds < 2:
         raise ValueError("num_folds must be at least 2 when a fold column is given")
     frame = design(df, label, features, fold, handle_invalid, num_folds or None)
+    if mode == "auto" and first_width(frame) >= WIDTH_LIMIT:
+        return active_cells(frame, configs, num_folds, shared_lambdas)
     return solve_cells(moments(frame, mode), configs, num_folds, shared_lambdas)
 
 
+def active_cells(frame: Design, configs: Sequence[PathConfig], num_folds: int, shared_lambdas: bool) -> DataFrame:
+    """The same result for features whose full matrix is too large for a task, by way of active features."""
+    from ridgeline.plans.lazy import densify, lazy_cells
+    from ridgeline.plans.selection import held_out_sums
+
+    path = lazy_cells(frame, configs, num_folds, shared_lambdas)
+    if num_folds:
+        sums = materialize(held_out_sums(frame, path).drop("test_sae"), "held-out")
+        path = path.join(sums, ["fold", "cell", "lambda_idx"], "left")
+    else:
+        path = path.withColumns({"test_n": F.lit(None), "test_sse": F.lit(None), "test_sst": F.lit(None)})
+    names = [f.split()[0] for f in PATH_SCHEMA.split(", ")]
+    kinds = {"test_n": "bigint", "test_sse": "double", "test_sst": "double"}
+    return densify(path).select(*[F.col(c).cast(kinds[c]) if c in kinds else c for c in names])
+
+
 def training_cells(table: DataFrame, num_folds: int, wide: bool) -> DataFrame:
     """Give every fold's moments to the cells that train on it (role 0) or test on it (role 1)."""
     folds = F.sequence(F.lit(ALL_ROWS), F.lit(num_folds - 1)) if num_folds else F.array(F.lit(ALL_ROWS))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ridgeline.operators.anchored import anchored_products, merge_anchored
-from ridgeline.operators.design import Design, cache_packed, design
+from ridgeline.operators.design import Design, cache_packed, design, first_width
 from ridgeline.operators.grid import LOGISTIC_STEP
 from ridgeline.operators.moments import _typed
 from ridgeline.operators.scatter import BLOCK_CELLS
@@ -179,14 +179,6 @@ def sparse_logistic_path(
     return active_logistic_cells(frame, configs, num_folds, STATE_CELLS, journal)
 
 
-def first_width(frame: Design) -> int:
-    """Number of features, of the first row if it is an array; an empty input has none."""
-    if frame.width is not None:
-        return frame.width
-    first = frame.rows.select(F.size("features").alias("width")).first()
-    return 0 if first is None else first["width"]
-
-
 def logistic_design(
     df: DataFrame,
     label: Column | str,

@@ -151,6 +151,117 @@ path AS MATERIALIZED (
   FROM steps s, c WHERE s.t > 0 AND s.t % {sweeps * 3} = 0)"""
 
 
+EMBEDDED = """SELECT vec_id AS k, vec_id % 3 AS f, CASE WHEN label = 3 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS y,
+  list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings"""
+JUDGED = """SELECT l.doc_id AS k, l.doc_id % 3 AS f, CAST(l.quality AS DOUBLE) AS y, [ln(CAST(length(d.text) AS DOUBLE)),
+  CAST(length(d.text) - length(replace(d.text, ' ', '')) AS DOUBLE) / length(d.text)] AS v
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
+
+
+def array_columns(rows: str, width: int, folds: list[int]) -> str:
+    """CTEs up to ``z``: the standardized values of every feature of every training set, as a list."""
+    train = ", ".join(f"({k})" for k in folds)
+    return f"""WITH RECURSIVE d AS MATERIALIZED ({rows}),
+cols AS (
+  SELECT t.fold, i, avg(v[i]) AS m, stddev_samp(v[i]) AS s, CAST(count(*) AS DOUBLE) AS n, avg(y) AS my, stddev_samp(y) AS sy,
+    list(v[i] ORDER BY k) AS vs, list(y ORDER BY k) AS ys
+  FROM d, (VALUES {train}) AS t(fold), range(1, {width + 1}) AS g(i) WHERE d.f <> t.fold GROUP BY t.fold, i),
+z AS MATERIALIZED (SELECT * EXCLUDE (vs), list_transform(vs, lambda x: (x - m) / s) AS z FROM cols)"""
+
+
+def array_path(rows: str, width: int, alphas: list[float], folds: list[int], lambdas: int, shrink: float, steps: int, momentum: float) -> str:
+    """CTEs up to ``path`` as in ``line_path``, for array features: accelerated proximal steps of all coefficients."""
+    values = ", ".join(f"(CAST({a} AS DOUBLE))" for a in alphas)
+    lam = f"(c.top / c.alpha * exp((s.t // {steps} + 1) * ln({shrink}) / {lambdas}))"
+    return f"""{array_columns(rows, width, folds)},
+gram AS (
+  SELECT a.fold, a.i, list(list_dot_product(a.z, b.z) / a.n ORDER BY b.i) AS line FROM z a JOIN z b ON a.fold = b.fold GROUP BY a.fold, a.i),
+cells AS MATERIALIZED (
+  SELECT z.fold, any_value(z.my) AS my, any_value(z.sy) AS sy, list(z.m ORDER BY z.i) AS mx, list(z.s ORDER BY z.i) AS sx,
+    list(list_dot_product(z.z, list_transform(z.ys, lambda y: (y - z.my) / z.sy)) / z.n ORDER BY z.i) AS xy, list(line ORDER BY z.i) AS xx,
+    max(list_sum(list_transform(line, lambda x: abs(x)))) AS bound
+  FROM z JOIN gram g ON z.fold = g.fold AND z.i = g.i GROUP BY z.fold),
+grid AS MATERIALIZED (SELECT *, list_max(list_transform(xy, lambda x: abs(x))) AS top FROM cells, (VALUES {values}) AS a(alpha)),
+steps AS (
+  SELECT fold, alpha, 0 AS t, list_transform(xy, lambda x: CAST(0 AS DOUBLE)) AS b, list_transform(xy, lambda x: CAST(0 AS DOUBLE)) AS o FROM grid
+  UNION ALL
+  SELECT fold, alpha, t + 1, list_transform(g, lambda v: sign(v) * greatest(abs(v) - lam * alpha / bound, 0) / (1 + lam * (1 - alpha) / bound)), b
+  FROM (
+    SELECT fold, alpha, t, b, lam, bound, list_transform(range(1, {width + 1}), lambda i: y[i] + (xy[i] - list_dot_product(xx[i], y)) / bound) AS g
+    FROM (
+      SELECT s.fold, s.alpha, s.t, s.b, {lam} AS lam, c.bound, c.xy, c.xx,
+        list_transform(list_zip(s.b, s.o), lambda p: p[1] + {momentum} * (p[1] - p[2])) AS y
+      FROM steps s JOIN grid c ON s.fold = c.fold AND s.alpha = c.alpha WHERE s.t < {lambdas * steps}))),
+points AS MATERIALIZED (
+  SELECT s.fold, s.alpha, s.t // {steps} - 1 AS lambda_idx, s.b AS beta, g.top / g.alpha * exp((s.t // {steps}) * ln({shrink}) / {lambdas}) AS lam,
+    g.my, g.mx, list_transform(range(1, {width + 1}), lambda i: s.b[i] * g.sy / g.sx[i]) AS weights
+  FROM steps s JOIN grid g ON s.fold = g.fold AND s.alpha = g.alpha WHERE s.t > 0 AND s.t % {steps} = 0),
+path AS MATERIALIZED (SELECT *, my - list_dot_product(weights, mx) AS intercept FROM points)"""
+
+
+def array_held_out() -> str:
+    """Held-out error of every point of ``array_path``, from the rows."""
+    return """,
+errors AS MATERIALIZED (
+  SELECT p.fold, p.alpha, p.lambda_idx, avg((d.y - p.intercept - list_dot_product(p.weights, d.v)) ** 2) AS mse, var_pop(d.y) AS var
+  FROM path p JOIN d ON d.f = p.fold GROUP BY ALL),
+scores AS MATERIALIZED (
+  SELECT alpha, CAST(lambda_idx AS INTEGER) AS lambda_idx, avg(sqrt(mse)) AS rmse, avg(1 - mse / var) AS r2
+  FROM errors GROUP BY alpha, lambda_idx)"""
+
+
+def array_logistic(
+    rows: str, width: int, alphas: list[float], folds: list[int], lambdas: int, ratio: float, steps: int, momentum: float
+) -> str:
+    """CTEs up to ``path`` of logistic minimisers; ``ratio`` is the step of the penalty grid."""
+    values = ", ".join(f"(CAST({a} AS DOUBLE))" for a in alphas)
+    lam = f"(c.top / c.alpha * pow({ratio}::DOUBLE, s.t // {steps} + 1))"
+    zeros = "list_transform(range(1, {n}), lambda i: CAST(0 AS DOUBLE))".format(n=width + 2)
+    return f"""{array_columns(rows, width, folds)},
+pairs AS (SELECT a.fold, a.i, list_sum(list(abs(list_dot_product(a.z, b.z) / a.n))) AS line FROM z a JOIN z b ON a.fold = b.fold GROUP BY a.fold, a.i),
+cells AS MATERIALIZED (
+  SELECT z.fold, any_value(n) AS n, any_value(ys) AS ys, list(z.z ORDER BY z.i) AS zc, list(m ORDER BY z.i) AS mx, list(s ORDER BY z.i) AS sx,
+    max(abs(list_dot_product(z.z, list_transform(ys, lambda y: y - my)) / n)) AS top, greatest(max(line), 1) / 4 AS bound
+  FROM z JOIN pairs p ON z.fold = p.fold AND z.i = p.i GROUP BY z.fold),
+grid AS MATERIALIZED (
+  SELECT *, list_transform(range(1, len(ys) + 1), lambda r: list_concat([CAST(1 AS DOUBLE)], list_transform(zc, lambda c: c[r]))) AS zr
+  FROM cells, (VALUES {values}) AS a(alpha)),
+steps AS (
+  SELECT fold, alpha, 0 AS t, {zeros} AS b, {zeros} AS o FROM grid
+  UNION ALL
+  SELECT fold, alpha, t + 1, list_concat([g[1]], list_transform(g[2:], lambda v: sign(v) * greatest(abs(v) - lam * alpha / bound, 0) / (1 + lam * (1 - alpha) / bound))), b
+  FROM (
+    SELECT fold, alpha, t, b, lam, bound,
+      list_concat([y[1] + list_sum(res) / n / bound], list_transform(range(1, {width + 1}), lambda i: y[i + 1] + list_dot_product(zc[i], res) / n / bound)) AS g
+    FROM (
+      SELECT fold, alpha, t, b, y, lam, bound, n, zc, list_transform(range(1, len(ys) + 1), lambda r: ys[r] - 1 / (1 + exp(-list_dot_product(zr[r], y)))) AS res
+      FROM (
+        SELECT s.fold, s.alpha, s.t, s.b, {lam} AS lam, c.bound, c.n, c.zc, c.zr, c.ys,
+          list_transform(list_zip(s.b, s.o), lambda p: p[1] + {momentum} * (p[1] - p[2])) AS y
+        FROM steps s JOIN grid c ON s.fold = c.fold AND s.alpha = c.alpha WHERE s.t < {lambdas * steps})))),
+points AS MATERIALIZED (
+  SELECT s.fold, s.alpha, s.t // {steps} - 1 AS lambda_idx, s.b[1] AS beta0, s.b[2:] AS beta, g.top / g.alpha * pow({ratio}::DOUBLE, s.t // {steps}) AS lam,
+    g.mx, list_transform(range(1, {width + 1}), lambda i: s.b[i + 1] / g.sx[i]) AS weights
+  FROM steps s JOIN grid g ON s.fold = g.fold AND s.alpha = g.alpha WHERE s.t > 0 AND s.t % {steps} = 0),
+path AS MATERIALIZED (SELECT *, beta0 - list_dot_product(weights, mx) AS intercept FROM points)"""
+
+
+def logistic_held_out(bins: int = 64) -> str:
+    """Log loss and hits of every point on its held-out rows, and how many pairs of margin bins a positive wins."""
+    return f""",
+margins AS MATERIALIZED (
+  SELECT p.fold, p.alpha, p.lambda_idx, d.y, p.intercept + list_dot_product(p.weights, d.v) AS m FROM path p JOIN d ON d.f = p.fold),
+scores AS MATERIALIZED (
+  SELECT fold, alpha, lambda_idx, count(*) AS n, sum(y) AS positives, avg(ln(1 + exp(m)) - y * m) AS log_loss,
+    avg(CASE WHEN (m > 0) = (y > 0.5) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS accuracy FROM margins GROUP BY ALL),
+binned AS MATERIALIZED (
+  SELECT fold, alpha, lambda_idx, least(greatest(floor((m + 16) * {bins} / 32), 0), {bins - 1}) AS bin, sum(y) AS p, sum(1 - y) AS q
+  FROM margins GROUP BY ALL),
+areas AS MATERIALIZED (
+  SELECT a.fold, a.alpha, a.lambda_idx, sum(a.p * b.q * CASE WHEN b.bin < a.bin THEN 1 ELSE 0.5 END) AS wins
+  FROM binned a JOIN binned b ON a.fold = b.fold AND a.alpha = b.alpha AND a.lambda_idx = b.lambda_idx AND b.bin <= a.bin GROUP BY ALL)"""
+
+
 def weighted_products() -> str:
     slots = ["CAST(1 AS DOUBLE)", "x1", "x2", "z"]
     margin = "(-0.75::DOUBLE + 0.5::DOUBLE * x1 - 0.25::DOUBLE * x2)"
@@ -195,6 +306,7 @@ def all_oracles() -> dict[str, str]:
     by_fold = "WITH " + line_cells([-1]).replace("(VALUES (-1)) AS t(fold) WHERE d.f <> t.fold", f"{folds3} WHERE d.f = t.fold")
     both = [0.5, 1.0]
     all_folds = [-1, 0, 1, 2]
+    embedded = array_path(EMBEDDED, 64, both, all_folds, 10, 0.05, 400, 0.8)
     gram64 = """WITH e AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) AS t(i)),
 s AS (SELECT *, (v - avg(v) OVER (PARTITION BY i)) / stddev_samp(v) OVER (PARTITION BY i) AS z FROM e)"""
     return {
@@ -251,6 +363,10 @@ WHERE a.lambda_idx = 2 AND b.lambda_idx = 12 AND (a.beta[i] <> 0 OR b.beta[i] <>
             f"SELECT '{c}' AS feature, {profile_columns(c, 5)} FROM lineitem"
             for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber")
         ),
+        "a9_merged_profile": " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, {profile_columns(c, 5)} FROM lineitem"
+            for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber")
+        ),
         "a9_array_profile": f"""WITH e AS (
   SELECT i - 1 AS feature, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) AS t(i))
 SELECT CAST(feature AS INTEGER) AS feature, {profile_columns('v', 7)} FROM e GROUP BY feature""",
@@ -288,6 +404,13 @@ WHERE a.lambda_idx = 2 AND b.lambda_idx = 12 AND (a.beta[i] <> 0 OR b.beta[i] <>
         "a14_gram_blocks": gram64
         + f" SELECT CAST(a.i - 1 AS INTEGER) AS i, CAST(b.i - 1 AS INTEGER) AS j, {r('sum(a.z * b.z) / count(*)', 9)} AS xx "
         "FROM s a JOIN s b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i",
+        "a14_gram_sparse": """WITH e AS (
+  SELECT vec_id % 2 AS fold, vec_id, i, CASE WHEN abs(embedding[i]) > CAST(0.15 AS FLOAT) THEN CAST(embedding[i] AS DOUBLE) ELSE 0 END AS v
+  FROM embeddings, range(1, 65) AS t(i)),
+s AS (SELECT fold, i, avg(v) AS m, stddev_samp(v) AS s, CAST(count(*) AS DOUBLE) AS n FROM e GROUP BY fold, i),
+pairs AS (SELECT a.fold, a.i, b.i AS j, sum(a.v * b.v) AS s FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i WHERE a.v <> 0 AND b.v <> 0 GROUP BY ALL)"""
+        + f""" SELECT CAST(p.fold AS INTEGER) AS fold, CAST(p.i - 1 AS INTEGER) AS i, CAST(p.j - 1 AS INTEGER) AS j,
+  {r('(p.s / a.n - a.m * b.m) / (a.s * b.s)', 9)} AS xx FROM pairs p JOIN s a ON p.fold = a.fold AND p.i = a.i JOIN s b ON p.fold = b.fold AND p.j = b.i""",
         "a15_largest_product": by_fold + f" SELECT CAST(fold AS INTEGER) AS fold, {r('top', 9)} AS top FROM cells",
         "a16_logistic_start_sums": start_sums()
         + " SELECT feature, "
@@ -301,6 +424,10 @@ WHERE a.lambda_idx = 2 AND b.lambda_idx = 12 AND (a.beta[i] <> 0 OR b.beta[i] <>
         + """, w AS (SELECT lambda_idx, i - 1 AS feature, abs(weights[i]) AS size FROM path, range(1, 6) AS t(i))
 SELECT CAST(lambda_idx AS INTEGER) AS lambda_idx, CAST(feature AS INTEGER) AS feature,
   CAST(row_number() OVER (PARTITION BY lambda_idx ORDER BY size DESC, feature) - 1 AS INTEGER) AS position FROM w""",
+        "o1_order_wide": array_path(EMBEDDED, 64, [0.5], all_folds, 10, 0.05, 400, 0.8)
+        + """ SELECT CAST(fold AS INTEGER) AS fold, CAST(lambda_idx AS INTEGER) AS lambda_idx, CAST(i - 1 AS INTEGER) AS feature,
+  CAST(row_number() OVER (PARTITION BY fold, lambda_idx ORDER BY abs(weights[i]) DESC, i) - 1 AS INTEGER) AS position
+FROM path, range(1, 65) AS t(i) WHERE beta[i] <> 0""",
         "o2_pick_point": line_path([0.5]) + tidy("lambda_idx = 7"),
         "o3_best_point": line_path(both, all_folds)
         + held_out()
@@ -314,6 +441,7 @@ SELECT CAST(lambda_idx AS INTEGER) AS lambda_idx, CAST(feature AS INTEGER) AS fe
         "FROM t, range(30) AS g(k)",
         "m5_path": line_path([0.5]) + tidy(),
         "m5_path_folds": line_path(both, all_folds) + tidy(),
+        "m5_path_incremental": line_path([0.5], all_folds) + tidy(),
         "m5_path_blocks": line_path([0.2], all_folds) + tidy(),
         "m5_path_lazy": line_path([0.5]) + tidy(),
         "m6_fit_one": line_path([0.5])
@@ -350,10 +478,30 @@ SELECT CAST(lambda_idx AS INTEGER) AS lambda_idx, CAST(feature AS INTEGER) AS fe
   avg(abs(d.y - p.intercept - ({' + '.join(f'p.weights[{i}] * d.x{i}' for i in range(1, 6))}))) AS mae
   FROM path p JOIN d ON d.f = p.fold GROUP BY ALL)
 SELECT alpha, CAST(lambda_idx AS INTEGER) AS lambda_idx, {r('avg(mae)', 4)} AS mae FROM errors GROUP BY alpha, lambda_idx""",
-        "m16_cross_validation_lazy": line_path(both, all_folds)
-        + held_out()
-        + f" SELECT alpha, lambda_idx, {r('rmse', 4)} AS rmse, {r('r2', 8)} AS r2 FROM scores",
-        "m5_path_lazy_folds": line_path(both, all_folds) + tidy(),
+        "m16_cross_validation_lazy": embedded
+        + array_held_out()
+        + f" SELECT alpha, lambda_idx, {r('rmse', 7)} AS rmse, {r('r2', 7)} AS r2 FROM scores",
+        "m5_path_lazy_folds": embedded
+        + f""" SELECT CAST(fold AS INTEGER) AS fold, alpha, CAST(lambda_idx AS INTEGER) AS lambda_idx, CAST(i - 1 AS INTEGER) AS feature,
+  {r('lam', 8)} AS "lambda", {r('intercept', 6)} AS intercept, {r('weights[i]', 5)} AS weight, {r('beta[i]', 6)} AS beta
+FROM path, range(1, 65) AS t(i)""",
+        "m11_logistic_embeddings": array_logistic(EMBEDDED, 64, [0.9], [-1], 5, 0.05**0.2, 600, 0.85)
+        + f""" SELECT CAST(lambda_idx AS INTEGER) AS lambda_idx, CAST(i - 1 AS INTEGER) AS feature,
+  {r('lam', 8)} AS "lambda", {r('beta0', 5)} AS beta0, {r('beta[i]', 5)} AS beta FROM path, range(1, 65) AS t(i)""",
+        "m11_logistic_default_grid": array_logistic(JUDGED, 2, [0.8], [-1], 30, 0.93, 300, 0.9)
+        + f""" SELECT CAST(lambda_idx AS INTEGER) AS lambda_idx, CAST(i - 1 AS INTEGER) AS feature,
+  {r('lam', 8)} AS "lambda", {r('weights[i]', 5)} AS weight FROM path, range(1, 3) AS t(i)""",
+        "m16_logistic_cv": array_logistic(JUDGED, 2, [0.5, 0.9], all_folds, 5, 0.05**0.2, 500, 0.9)
+        + logistic_held_out()
+        + f""" SELECT CAST(s.fold AS INTEGER) AS fold, s.alpha, CAST(s.lambda_idx AS INTEGER) AS lambda_idx, n, {r('log_loss', 6)} AS log_loss,
+  {r('accuracy', 6)} AS accuracy, {r('wins / (positives * (n - positives))', 4)} AS auc FROM scores s JOIN areas USING (fold, alpha, lambda_idx)""",
+        "m16_logistic_cv_best": array_logistic(EMBEDDED, 64, [0.9], all_folds, 5, 0.05**0.2, 600, 0.85)
+        + logistic_held_out()
+        + f""", averaged AS (SELECT alpha, lambda_idx, avg(log_loss) AS log_loss FROM scores GROUP BY alpha, lambda_idx),
+best AS (SELECT * FROM averaged ORDER BY log_loss, alpha, lambda_idx LIMIT 1)
+SELECT b.alpha, CAST(b.lambda_idx AS INTEGER) AS lambda_idx, {r('b.log_loss', 6)} AS log_loss, {r('p.intercept', 4)} AS intercept,
+  CAST(len(list_filter(p.beta, lambda x: x <> 0)) AS INTEGER) AS features
+FROM best b JOIN path p ON p.fold = -1 AND p.alpha = b.alpha AND p.lambda_idx = b.lambda_idx""",
         "m16_refit_model": line_path(both, all_folds)
         + held_out()
         + ", best AS (SELECT alpha AS a, lambda_idx AS k FROM scores ORDER BY rmse, alpha, lambda_idx LIMIT 1)"

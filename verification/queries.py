@@ -10,6 +10,7 @@ from ridgeline import functions as fn
 from ridgeline import (
     ElasticNetPathRegressor,
     cross_validate,
+    cross_validate_logistic,
     elastic_net_path,
     lazy_path,
     logistic_path,
@@ -22,9 +23,11 @@ from ridgeline.operators.gram import cross_products, direct_label_products, feat
 from ridgeline.operators.grid import PathParamGridBuilder, grid_points, logistic_grid, penalty_grid
 from ridgeline.operators.metrics import average_metric, best_point, fold_metrics, regression_metrics
 from ridgeline.operators.moments import moments
-from ridgeline.operators.scoring import order_of_weights, pick_point, predict, residuals, weights_to_input_scale
+from ridgeline.operators.scoring import order_of_sparse_weights, order_of_weights, pick_point, predict, residuals, weights_to_input_scale
+from ridgeline.operators.sparse import sparse_gram
 from ridgeline.operators.split import key_fold, key_split
 from ridgeline.operators.standardize import column_stats, standardize_columns
+from ridgeline.operators.stored import StoredMoments, StoredProfile
 from ridgeline.operators.weighted import start_sums, weighted_products
 from ridgeline.plans.lazy import densify
 from ridgeline.session import materialize, scratch_path
@@ -47,6 +50,8 @@ LOGISTIC_TIGHT = {
     "max_rounds": 60,
 }
 
+LOGISTIC_BINS = 64  # of the area under the curve
+
 _REGISTRY: dict[str, Query] = {}
 
 
@@ -398,6 +403,20 @@ def a9_array_profile(spark, sf_dir):
     return compact_profile(profile.array_profile(table(spark, sf_dir, "embeddings"), "embedding"), 7)
 
 
+@register
+def a9_merged_profile(spark, sf_dir):
+    """Parts of the lines, stored one by one; one of them is stored twice, and one is taken out and put back."""
+    rows = table(spark, sf_dir, "lineitem")
+    stored = StoredProfile(spark, scratch_path(spark, "profile"))
+    columns = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    for part in (0, 1, 2, 1):
+        stored.add(f"part{part}", rows.where(key_fold("l_orderkey", 4) == part), columns)
+    stored.drop("part0")
+    for part in (3, 0):
+        stored.add(f"part{part}", rows.where(key_fold("l_orderkey", 4) == part), columns)
+    return compact_profile(stored.profile(), 5)
+
+
 @register
 def a10_label_stats(spark, sf_dir):
     stats = profile.label_profile(lineitem(spark, sf_dir), "charge")
@@ -465,6 +484,20 @@ def a14_gram_blocks(spark, sf_dir):
     return feature_products(cross_products(moments(frame, "blocks"))).select("i", "j", rounded("xx", 9).alias("xx"))
 
 
+def thinned(spark, sf_dir) -> DataFrame:
+    """The large components of each vector, as indices and values."""
+    large = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.abs(F.get("embedding", i)) > 0.15)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", large.alias("indices"))
+    values = F.transform("indices", lambda i: F.get("embedding", i).cast("double"))
+    return rows.select("vec_id", F.struct("indices", values.alias("values")).alias("thin"))
+
+
+@register
+def a14_gram_sparse(spark, sf_dir):
+    products = sparse_gram(thinned(spark, sf_dir), "thin", key_fold("vec_id", 2))
+    return products.select("fold", "i", "j", rounded("xx", 9).alias("xx"))
+
+
 @register
 def a15_largest_product(spark, sf_dir):
     fold = key_fold("l_orderkey", 3)
@@ -498,6 +531,13 @@ def o1_order_of_weights(spark, sf_dir):
     return path.select("lambda_idx", F.posexplode(order_of_weights("weights")).alias("position", "feature"))
 
 
+@register
+def o1_order_wide(spark, sf_dir):
+    """The order of the nonzero weights of every point of paths of 64 features."""
+    path = lazy_path(embedded(spark, sf_dir), "y", "embedding", [0.5], fold=key_fold("vec_id", 3), num_folds=3, **EMBEDDED)
+    return order_of_sparse_weights(path).select("fold", "lambda_idx", "feature", "position")
+
+
 @register
 def o2_pick_point(spark, sf_dir):
     return tidy_path(pick_point(line_path(spark, sf_dir), 7))
@@ -539,6 +579,17 @@ def m5_path_folds(spark, sf_dir):
     return tidy_path(line_path(spark, sf_dir, (0.5, 1.0), fold=key_fold("l_orderkey", 3), num_folds=3))
 
 
+@register
+def m5_path_incremental(spark, sf_dir):
+    """Moments of three parts of the lines are stored; then a fourth is added, and all folds are fitted anew."""
+    rows = lineitem(spark, sf_dir)
+    stored = StoredMoments(spark, scratch_path(spark, "stored-moments"), num_folds=3)
+    for part in range(4):
+        own = rows.where(key_fold("l_suppkey", 4) == part)
+        stored.add(f"part{part}", own, "charge", FEATURES, fold=key_fold("l_orderkey", 3))
+    return tidy_path(stored.path([0.5], **TIGHT))
+
+
 @register
 def m5_path_blocks(spark, sf_dir):
     return tidy_path(
@@ -688,19 +739,87 @@ def m16_cross_validation_mae(spark, sf_dir):
     return cv.averaged.select("alpha", "lambda_idx", rounded("mae", 4).alias("mae"))
 
 
+EMBEDDED = {"num_lambdas": 10, "lambda_shrink": 0.05, "tol": 1e-13, "max_iter": 2000}
+
+
+def embedded(spark, sf_dir) -> DataFrame:
+    """Whether a vector is of one class, from its 64 components."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", (F.col("label") == 3).cast("double").alias("y"), "embedding")
+
+
+def tidy_embedded(path) -> DataFrame:
+    long = path.select("fold", "alpha", "lambda_idx", "lambda", "intercept", F.posexplode(F.arrays_zip("weights", "beta")).alias("feature", "of"))
+    return long.select(
+        "fold",
+        "alpha",
+        "lambda_idx",
+        "feature",
+        rounded("lambda", 8).alias("lambda"),
+        rounded("intercept", 6).alias("intercept"),
+        rounded("of.weights", 5).alias("weight"),
+        rounded("of.beta", 6).alias("beta"),
+    )
+
+
 @register
 def m16_cross_validation_lazy(spark, sf_dir):
-    rows = lineitem(spark, sf_dir).withColumn("wide", F.array(*FEATURES))
-    cv = cross_validate(rows, "charge", "wide", [0.5, 1.0], key_fold("l_orderkey", 3), 3, mode="lazy", **TIGHT)
+    cv = cross_validate(embedded(spark, sf_dir), "y", "embedding", [0.5, 1.0], key_fold("vec_id", 3), 3, mode="lazy", **EMBEDDED)
     averaged = average_metric(cv.metrics, "rmse").join(average_metric(cv.metrics, "r2"), ["cell", "alpha", "lambda_idx"])
-    return averaged.select("alpha", "lambda_idx", rounded("rmse", 4).alias("rmse"), rounded("r2", 8).alias("r2"))
+    return averaged.select("alpha", "lambda_idx", rounded("rmse", 7).alias("rmse"), rounded("r2", 7).alias("r2"))
 
 
 @register
 def m5_path_lazy_folds(spark, sf_dir):
-    rows = lineitem(spark, sf_dir).withColumn("wide", F.array(*FEATURES))
-    path = lazy_path(rows, "charge", "wide", [0.5, 1.0], fold=key_fold("l_orderkey", 3), num_folds=3, **TIGHT)
-    return tidy_path(densify(path))
+    path = lazy_path(embedded(spark, sf_dir), "y", "embedding", [0.5, 1.0], fold=key_fold("vec_id", 3), num_folds=3, **EMBEDDED)
+    return tidy_embedded(densify(path))
+
+
+@register
+def m11_logistic_embeddings(spark, sf_dir):
+    """64 features, of which only active ones are multiplied with each other."""
+    path = logistic_path(embedded(spark, sf_dir), "y", "embedding", [0.9], mode="active", **LOGISTIC_TIGHT)
+    long = path.select("lambda_idx", "lambda", "beta0", F.posexplode("beta").alias("feature", "b"))
+    return long.select(
+        "lambda_idx",
+        "feature",
+        rounded("lambda", 8).alias("lambda"),
+        rounded("beta0", 5).alias("beta0"),
+        rounded("b", 5).alias("beta"),
+    )
+
+
+@register
+def m11_logistic_default_grid(spark, sf_dir):
+    """The grid of fixed steps."""
+    path = logistic_path(
+        labelled_documents(spark, sf_dir), "quality", ["log_size", "blank_share"], [0.8], num_lambdas=30, tol=1e-8, inner_tol=1e-11, max_iter=2000, max_rounds=60
+    )
+    long = path.select("lambda_idx", "lambda", F.posexplode("weights").alias("feature", "w"))
+    return long.select("lambda_idx", "feature", rounded("lambda", 8).alias("lambda"), rounded("w", 5).alias("weight"))
+
+
+@register
+def m16_logistic_cv(spark, sf_dir):
+    cv = cross_validate_logistic(
+        labelled_documents(spark, sf_dir), "quality", ["log_size", "blank_share"], [0.5, 0.9], key_fold("doc_id", 3), 3, bins=LOGISTIC_BINS, **LOGISTIC_TIGHT
+    )
+    return cv.metrics.select(
+        "fold",
+        "alpha",
+        "lambda_idx",
+        "n",
+        rounded("log_loss", 6).alias("log_loss"),
+        rounded("accuracy", 6).alias("accuracy"),
+        rounded("auc", 4).alias("auc"),
+    )
+
+
+@register
+def m16_logistic_cv_best(spark, sf_dir):
+    cv = cross_validate_logistic(embedded(spark, sf_dir), "y", "embedding", [0.9], key_fold("vec_id", 3), 3, mode="active", bins=LOGISTIC_BINS, **LOGISTIC_TIGHT)
+    model = cv.model.select("lambda_idx", rounded("intercept", 4).alias("intercept"), F.size("indices").cast("int").alias("features"))
+    return cv.best.select("alpha", "lambda_idx", rounded("log_loss", 6).alias("log_loss")).join(model, "lambda_idx")
 
 
 @register
