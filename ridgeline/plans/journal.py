@@ -20,6 +20,7 @@ class Journal:
 
     def __init__(self, spark: SparkSession, folder: str | None, name: str):
         self.spark = spark
+        self.lasting = folder is not None  # nobody goes on with a fit whose folder is its own
         self.folder = (folder or scratch_path(spark, name)).rstrip("/")
 
     def _path(self, name: str):
@@ -46,13 +47,15 @@ class Journal:
         return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{name}" for name in names])
 
     def save(self, number: int, state: dict) -> None:
+        if not self.lasting:
+            return
         rows = self.spark.range(1, numPartitions=1).select(F.lit(json.dumps(state)).alias("value"))
         rows.write.mode("overwrite").text(f"{self.folder}/{STATE}{number:06d}")
 
     def last(self, settings: list) -> tuple[int, dict] | None:
         """The last finished round, of a fit with the same settings; a folder of another fit fails."""
         path, files = self._path("")
-        if not files.exists(path):
+        if not self.lasting or not files.exists(path):
             return None
         names = sorted((s.getPath().getName() for s in files.listStatus(path)), reverse=True)
         for name in names:

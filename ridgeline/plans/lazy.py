@@ -41,6 +41,7 @@ SCALE_SCHEMA = (
 ACTIVE_SCHEMA = "fold int, n double, anchors array<int>, slots array<int>, anchor_mean array<double>, mean array<double>, c array<double>"
 CHUNK = 512  # slots per row of the product tables
 LOOK_AHEAD = 5  # request features that would pass the threshold this many grid steps later
+FIRST_WINDOW = 16  # points solved ahead at first; twice as many after a round without refusals, half as many after others
 STRONGEST = 64  # features of one chunk that a point may ask for at once; more come in the next rounds
 WINDOW_CELLS = 2**20  # coefficients of candidate points that a check sends to its tasks: 8 MB
 
@@ -134,7 +135,7 @@ class _Fit:
         self.progress = [Progress() for _ in cells]
         self.parts: list[list[int]] = []  # features whose products the tables 1, 2, ... hold
         self.kept: list[tuple[int, int, int, int]] = []  # round, cell, first and last index
-        self.round, self.window = 0, 4
+        self.round, self.window = 0, FIRST_WINDOW
         self.settings = [[held, i, asdict(config)] for held, i, config in cells] + [shared_lambdas, self.width]
         if found := journal.last(self.settings):
             self.round, state = found
@@ -174,7 +175,7 @@ class _Fit:
                 self.kept.append((self.round, number, own[0]["lambda_idx"], stop - 1))
             last = own[min(stop - own[0]["lambda_idx"], len(own) - 1)]  # warm start, of the refused point itself if there is one
             self.progress[number] = Progress(stop, list(last["indices"]), list(last["beta"]))
-        self.window = max(2, self.window // 2) if violated else 2 * self.window
+        self.window = max(8, self.window // 2) if violated else 2 * self.window
         if wanted:
             self._grow(sorted(wanted))
         state = {
@@ -261,7 +262,7 @@ class _Fit:
 
         # a table of a round whose state was not saved before the driver was lost is as good as a new one
         points = self.journal.table(f"points-{self.round}", candidates, CANDIDATE_SCHEMA)
-        return points.select("number", "lambda_idx", "lambda", "indices", "beta").orderBy("number", "lambda_idx").collect()
+        return sorted(points.select("number", "lambda_idx", "lambda", "indices", "beta").collect(), key=lambda r: r[:2])
 
     def _check(self, features: list[int], solved: list) -> tuple[dict[int, int], set[int]]:
         """First refused index of each path, and the features that are to enter for it."""

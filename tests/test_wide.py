@@ -64,13 +64,14 @@ def found(path, held, width):
 def test_ten_thousand_features(spark, tmp_path):
     """No record holds products of the active features with all features, and results are those of plain loops."""
     width = 10_000
-    rows = wide_rows(spark, 150, width).cache()
+    rows = wide_rows(spark, 120, width).cache()
     folder = str(tmp_path / "fit")
-    path = lazy_path(rows, "label", "features", [0.9], fold="fold", num_folds=3, journal=folder, **TIGHT).collect()
+    options = TIGHT | {"num_lambdas": 4, "lambda_shrink": 0.45}
+    path = lazy_path(rows, "label", "features", [0.9], fold="fold", num_folds=3, journal=folder, **options).collect()
     fold, y, x = standardized(rows)
     for held in (-1, 0, 1, 2):
         own = fold != held
-        expected = plain_linear(y[own], x[own], 0.9, TIGHT["num_lambdas"], TIGHT["lambda_shrink"])
+        expected = plain_linear(y[own], x[own], 0.9, options["num_lambdas"], options["lambda_shrink"])
         assert np.abs(found(path, held, width) - expected).max() < 1e-9
     tables = [p.name for p in (tmp_path / "fit").iterdir()]
     active = spark.read.schema(ACTIVE_SCHEMA).parquet(*[f"{folder}/{t}" for t in tables if t.startswith("active-")])
@@ -96,8 +97,8 @@ def test_checks_hold_points_by_chunk(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(lazy, "_fitted_sums", spied)
-    rows = wide_rows(spark, 60, 3000)
-    assert len(lazy_path(rows, "label", "features", [0.9], **TIGHT).collect()) == 6
+    rows = wide_rows(spark, 60, 3000).cache()
+    assert len(lazy_path(rows, "label", "features", [0.9], **TIGHT | {"lambda_shrink": 0.5}).collect()) == 6
     assert sizes and max(sizes) <= 6 * CHUNK
 
 
@@ -159,14 +160,14 @@ def logistic_rows(spark, rows, width):
     return wide_rows(spark, rows, width).withColumn("label", (F.col("label") > 0.1).cast("double"))
 
 
-@pytest.mark.parametrize("options", [{}, {"fit_intercept": False}, {"freeze_intercept": True}])
+@pytest.mark.parametrize("options", [{}, {"fit_intercept": False, "num_lambdas": 3}, {"freeze_intercept": True, "num_lambdas": 3}])
 def test_active_logistic_equals_full(spark, options):
     rows = logistic_rows(spark, 200, 30).cache()
     both = [
-        logistic_path(rows, "label", "features", [0.3, 1.0], fold="fold", num_folds=3, mode=mode, **LOGISTIC, **options).orderBy("fold", "cell", "lambda_idx").collect()
+        logistic_path(rows, "label", "features", [0.3, 1.0], fold="fold", num_folds=3, mode=mode, **LOGISTIC | options).orderBy("fold", "cell", "lambda_idx").collect()
         for mode in ("full", "active")
     ]
-    assert [len(p) for p in both] == [48, 48]
+    assert [len(p) for p in both] == [8 * options.get("num_lambdas", 6)] * 2
     for a, b in zip(*both):
         assert a.asDict().keys() == b.asDict().keys()
         assert (a.fold, a.cell, a.lambda_idx, a.n) == (b.fold, b.cell, b.lambda_idx, b.n) and b.converged
@@ -178,9 +179,10 @@ def test_five_thousand_features(spark):
     """Every point meets the optimality conditions; a task holds the active features squared, and one gradient."""
     width = 5000
     rows = logistic_rows(spark, 200, width).cache()
-    path = sparse_logistic_path(rows, "label", "features", [0.9], fold="fold", num_folds=3, **LOGISTIC).collect()
+    options = LOGISTIC | {"num_lambdas": 3, "lambda_shrink": 0.4, "tol": 1e-9}
+    path = sparse_logistic_path(rows, "label", "features", [0.9], fold="fold", num_folds=3, **options).collect()
     fold, y, x = standardized(rows)
-    assert len(path) == 24 and max(len(r.indices) for r in path) > 10
+    assert len(path) == 12 and max(len(r.indices) for r in path) > 10
     for r in path:
         own = fold != r.fold
         z = (x[own] - x[own].mean(0)) / x[own].std(0, ddof=1)
@@ -188,10 +190,10 @@ def test_five_thousand_features(spark):
         p = 1 / (1 + np.exp(-(x[own] @ weights + r.intercept)))
         beta = weights * x[own].std(0, ddof=1)
         slope = z.T @ (y[own] - p) / own.sum() - r["lambda"] * 0.1 * beta
-        assert r.n == own.sum() and abs((y[own] - p).mean()) < 1e-8
-        assert np.abs(slope).max() <= r["lambda"] * 0.9 + 1e-8
+        assert r.n == own.sum() and abs((y[own] - p).mean()) < 1e-7
+        assert np.abs(slope).max() <= r["lambda"] * 0.9 + 1e-7
         used = np.array(r.indices, dtype=int)
-        assert np.allclose(slope[used], r["lambda"] * 0.9 * np.sign(beta[used]), atol=1e-7)
+        assert np.allclose(slope[used], r["lambda"] * 0.9 * np.sign(beta[used]), atol=1e-6)
 
 
 def test_active_logistic_edge_cases(spark, tmp_path):
