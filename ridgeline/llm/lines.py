@@ -1,7 +1,7 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
 ``LineRuns`` keeps what earlier batches held as runs: tables of (line hash, documents, owner), sorted by hash. A new
-batch is reduced to its own sorted hashes and left-joined with the runs: hashes that no run has are *fresh*,
+batch is reduced to its own sorted hashes and anti-joined with the runs: hashes that no run has are *fresh*,
 and only for them does the batch name an owner. The batch then becomes a run of level 0; when a level
 has ``fanout`` runs they are compacted into one run of the next level. Each hash is rewritten once for each level, so
 the work for a batch does not grow with the number of batches before it.
@@ -79,9 +79,10 @@ class LineRuns:
         own = lines.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("owner"))
         known = self.all()
         if known is not None:
-            # a left join with a flag, since known hashes are counted too; only fresh ones claim an owner
-            seen = known.select("line", F.lit(True).alias("seen")).distinct()
-            own = own.join(seen, "line", "left").select("line", "docs", F.when(F.col("seen").isNull(), F.col("owner")).alias("owner"))
+            own = materialize(own, "line-batch")
+            # only fresh hashes claim an owner; of known ones the documents are counted
+            seen = own.join(known.select("line"), "line", "left_semi").withColumn("owner", F.lit(None).cast(own.schema["owner"].dataType))
+            own = self.new_lines(own).unionByName(seen)
         self._put(0, self._store(own))
 
     def new_lines(self, lines: DataFrame) -> DataFrame:
