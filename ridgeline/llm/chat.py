@@ -28,7 +28,7 @@ BARE = str.maketrans({"|": "_", "<": "_", ">": "_", "\n": "_", "\r": "_"})
 
 
 def speaker_name(role: str | None) -> str:
-    """A name that cannot be taken for markup."""
+    """A name that cannot be taken for markup; speakers that differ in such characters only are shown alike."""
     return (role or "unknown").translate(BARE)
 
 
