@@ -1,27 +1,31 @@
 """A quality classifier by co-training.
 
 Two views of a document are learned apart: its text (byte pairs, word and line statistics), and the metadata of the
-page (source, language, length). In each round both views are fitted, and each labels the documents without label that
-it is sure about; those pseudo-labels go into the training set of the *other* view. Each view is then calibrated on
-labelled rows that no view was fitted on, and the calibrated views are combined to one score.
-
-Fitting takes a bounded sample (``labelled`` and ``unlabelled`` rows, chosen by a hash of the id); scoring is one narrow
-pass over all whole texts.
+page (source, language, length). In each round both views judge all documents without label, and each is then fitted on
+the labelled rows and on what the *other* view is sure about. Those pseudo-labels come from every document: a Newton
+step adds up slopes and curvatures in the tasks that hold the documents' features, so no document is drawn or left out.
+All pseudo-labels of a class together weigh at most as much as the labelled rows of that class, times ``trust``. Each
+view is then calibrated on labelled rows that no view was fitted on, and the calibrated views are combined to one score.
+
+Only labelled rows are bounded (``labelled`` rows, chosen by a hash of the id). Features are stored once; a step reads
+them in one pass, and scoring is one narrow pass over all whole texts.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ridgeline.llm.common import arrow_map, pack
+from ridgeline.llm.common import arrow_map, materialize, pack
 
 PAIRS = 256
 SURFACE = 14
@@ -86,23 +90,57 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) ->
     w = np.zeros(x.shape[1])
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     w[-1] = np.log(rate / (1 - rate))
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-9
     for _ in range(steps):
         p = sigmoid(x @ w)
-        slope = x.T @ (p - y) + penalty * w
-        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty)
-        move = np.linalg.solve(curve, slope)
-        w -= move * min(1.0, 5.0 / max(np.abs(move).max(), 1e-12))
-        if np.abs(move).max() < 1e-7:
+        before = w
+        w = newton(w, x.T @ (p - y), (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x, ridge)
+        if np.abs(w - before).max() < 1e-7:
             break
     return w
 
 
+def newton(w: np.ndarray, slope: np.ndarray, curve: np.ndarray, ridge: float) -> np.ndarray:
+    """A bounded step on a loss with a ridge on all weights but the constant."""
+    penalty = np.full(len(w), ridge)
+    penalty[-1] = 1e-9
+    move = np.linalg.solve(curve + np.diag(penalty), slope + penalty * w)
+    return w - move * min(1.0, 5.0 / max(np.abs(move).max(), 1e-12))
+
+
 def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
+@dataclass
+class Sums:
+    """Slope and curvature of the logistic loss of one view over some rows of one class."""
+
+    rows: float
+    slope: np.ndarray
+    curve: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Sums:
+        x = np.hstack([x, np.ones((len(x), 1))])
+        p = sigmoid(x @ w)
+        return cls(float(len(x)), x.T @ (p - y), (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x)
+
+
+def pseudo_sums(views: list[np.ndarray], teachers: list[np.ndarray], weights: list[np.ndarray], sure: float) -> dict[tuple[int, int], Sums]:
+    """Sums by view and class over rows that the other view's teacher is sure about."""
+    out = {}
+    for i, x in enumerate(views):
+        p = sigmoid(margin(views[1 - i], teachers[1 - i]))
+        for value, chance in ((1, p), (0, 1 - p)):
+            own = x[chance >= sure]
+            out[i, value] = Sums.of(own, np.full(len(own), float(value)), weights[i])
+    return out
+
+
+# Sums over all rows without label, for teachers and weights of both views.
+Pool = Callable[[list[np.ndarray], list[np.ndarray]], dict[tuple[int, int], Sums]]
+
+
 @dataclass
 class QualityModel:
     """Weights of both views, (slope, constant) that calibrate each, and the weights that combine them."""
@@ -123,41 +161,42 @@ class QualityModel:
         return sigmoid(logits[0]), sigmoid(logits[1]), sigmoid(margin(np.stack(logits, 1), self.combined))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int, sure: float, ridge: float, most: int) -> QualityModel:
-    """Fits a model; ``label`` is 1, 0, or -1 for rows without label. One row of each labelled four calibrates."""
-    known = np.flatnonzero(label >= 0)
-    if not len(known):
+def co_train(
+    text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool: Pool, rounds: int, steps: int, ridge: float, trust: float
+) -> QualityModel:
+    """Fits a model on labelled rows (1 or 0) and the sums of ``pool``. One row of each labelled four calibrates."""
+    if not len(label):
         return QualityModel()
-    if len(np.unique(label[known])) < 2 or len(known) < 8:
-        return QualityModel(prior=float(label[known].mean()))
+    if len(np.unique(label)) < 2 or len(label) < 8:
+        return QualityModel(prior=float(label.mean()))
     held = np.zeros(len(label), bool)
     for value in (0, 1):
-        held[known[label[known] == value][1::4]] = True
+        held[np.flatnonzero(label == value)[1::4]] = True
     if len(np.unique(label[held])) < 2:
         held[:] = False
-    pool = label < 0
     views = [text, meta]
-    given = [np.where(held, -1, label).astype(float) for _ in views]
-    weights = [None, None]
-    for turn in range(rounds + 1):
-        for i, x in enumerate(views):
-            rows = given[i] >= 0
-            weights[i] = fit_logistic(x[rows], given[i][rows], ridge)
-        if turn == rounds:
-            break
-        sureness = [sigmoid(margin(x, w)) for x, w in zip(views, weights)]
-        for i, p in enumerate(sureness):
-            other = given[1 - i]
-            for value, chance in ((1.0, p), (0.0, 1 - p)):
-                fit = np.flatnonzero(pool & (other < 0) & (chance >= sure))
-                other[fit[np.argsort(-chance[fit], kind="stable")][:most]] = value
-    check = held if held.any() else label >= 0
+    fitted = [(x[~held], label[~held].astype(float)) for x in views]
+    weights = [fit_logistic(x, y, ridge) for x, y in fitted]
+    given = [0, 0]
+    for _ in range(rounds):
+        teachers = [w.copy() for w in weights]
+        for _ in range(steps):
+            found = pool(teachers, weights)
+            for i, (x, y) in enumerate(fitted):
+                own = Sums.of(x, y, weights[i])
+                slope, curve = own.slope, own.curve
+                for value in (0, 1):
+                    one = found[i, value]
+                    share = min(1.0, trust * float((y == value).sum()) / max(one.rows, 1.0))
+                    slope, curve = slope + share * one.slope, curve + share * one.curve
+                weights[i] = newton(weights[i], slope, curve, ridge)
+            given = [int(found[i, 0].rows + found[i, 1].rows) for i in range(2)]
+    check = held if held.any() else np.ones(len(label), bool)
     truth = label[check].astype(float)
     calibration = [fit_logistic(margin(x[check], w)[:, None], truth, 0.1) for x, w in zip(views, weights)]
     logits = np.stack([margin(margin(x[check], w)[:, None], c) for x, w, c in zip(views, weights, calibration)], 1)
     combined = fit_logistic(logits, truth, 0.1)
-    counts = tuple(int((g[pool] >= 0).sum()) for g in given)
-    return QualityModel(weights[0], weights[1], calibration, combined, float(truth.mean()), counts)
+    return QualityModel(weights[0], weights[1], calibration, combined, float(truth.mean()), tuple(given))
 
 
 def _views(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,34 +221,87 @@ def train(
     chars_col: str = "n_chars",
     label_col: str = "quality",
     labelled: int = 4000,
-    unlabelled: int = 4000,
-    rounds: int = 4,
+    rounds: int = 3,
+    steps: int = 2,
     sure: float = 0.98,
     ridge: float = 0.05,
+    trust: float = 1.0,
 ) -> QualityModel:
-    """Fits the model on at most ``labelled`` rows of ``labels`` (0 or 1) and ``unlabelled`` others.
+    """Fits the model on at most ``labelled`` rows of ``labels`` (0 or 1) and on all other documents.
+
+    The labelled rows are those with the smallest hash of their id, so they are spread evenly and are the same on every
+    run. An id with several labels has their majority, 1 on a tie; null ids and labels are left out. All other rows of
+    ``docs`` take part without label, rows without id too; repeated rows count as often as they are there. Without
+    labels every document scores one; with one kind of label only, or fewer than eight, it scores the share of good
+    labels.
 
-    The rows are those with the smallest hash of their id, so they are spread evenly and are the same on every run. An
-    id with several labels has their majority, 1 on a tie; null ids and labels are left out. Without labels every
-    document scores one; with one kind of label only, or fewer than eight, it scores the share of good labels.
+    A step of a round is one pass over stored features (1.1 KB a document). Its sums have a fixed size, and are added up
+    in two levels.
     """
+    spark = docs.sparkSession
     chosen = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull())
     chosen = chosen.groupBy(F.col(f"`{id_col}`").alias("key")).agg((F.avg(F.col(f"`{label_col}`")) >= 0.5).cast("int").alias("label"))
-    hashed = F.xxhash64("key")
-    known = chosen.orderBy(hashed, "key").limit(labelled)
-    ids = pack(docs, key=id_col).where("key is not null").distinct()
-    others = ids.join(chosen, "key", "left_anti").orderBy(hashed, "key").limit(unlabelled).withColumn("label", F.lit(-1))
-    sample = known.unionByName(others)
+    known = chosen.orderBy(F.xxhash64("key"), "key").limit(labelled)
     rows = pack(docs, doc=id_col, text=text_col, source=source_col, lang=lang_col, chars=chars_col)
-    # at most labelled + unlabelled rows of two numbers, so they may be sent to every task
-    rows = rows.join(F.broadcast(sample), F.col("doc") == F.col("key")).select("doc", "label", "text", "source", "lang", "chars")
+    # at most ``labelled`` rows of two numbers, so they may be sent to every task
+    rows = rows.join(F.broadcast(known), F.col("doc") == F.col("key"), "left").select("doc", "label", "text", "source", "lang", "chars")
     kind = rows.schema["doc"].dataType.simpleString()
-    got = arrow_map(rows, _features, f"doc {kind}, label int, text array<float>, meta array<float>")
-    got = got.orderBy(F.xxhash64("doc"), "doc", "text").limit(labelled + unlabelled).toArrow()  # bounded likewise
+    features = materialize(arrow_map(rows, _features, f"doc {kind}, label int, text array<float>, meta array<float>"), "features")
+    got = features.where("label is not null").orderBy(F.xxhash64("doc"), "doc", "text").limit(labelled).toArrow()  # bounded likewise
     if not got.num_rows:
         return QualityModel()
     dense = lambda name: np.array(got.column(name).combine_chunks().flatten(), np.float64).reshape(got.num_rows, -1)
-    return co_train(dense("text"), dense("meta"), got.column("label").to_numpy(), rounds, sure, ridge, most=unlabelled // 8)
+    others = features.where("label is null").select("text", "meta")
+
+    def pool(teachers: list[np.ndarray], weights: list[np.ndarray]) -> dict[tuple[int, int], Sums]:
+        return _pool_sums(spark, others, teachers, weights, sure)
+
+    return co_train(dense("text"), dense("meta"), got.column("label").to_numpy(), pool, rounds, steps, ridge, trust)
+
+
+SUMS = "view int, value int, salt int, n double, slope array<double>, curve array<double>"
+
+
+def _sum_rows(sums: dict[tuple[int, int], Sums], salt: int) -> pa.RecordBatch:
+    rows = [(i, value, salt, s.rows, s.slope, s.curve.ravel()) for (i, value), s in sums.items()]
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split()[0] for f in SUMS.split(", ")])
+
+
+def _pool_sums(spark, others: DataFrame, teachers: list[np.ndarray], weights: list[np.ndarray], sure: float) -> dict[tuple[int, int], Sums]:
+    """``pseudo_sums`` over all rows of a table of features."""
+
+    def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], Sums] = {}
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            views = [batch.column(i).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1) for i in range(2)]
+            for key, own in pseudo_sums(views, teachers, weights, sure).items():
+                seen = total.get(key)
+                total[key] = own if seen is None else Sums(seen.rows + own.rows, seen.slope + own.slope, seen.curve + own.curve)
+        if total:
+            yield _sum_rows(total, TaskContext.get().partitionId() % 32)
+
+    def add(keys: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in source:
+            for i in range(batch.num_rows):
+                own = [batch.column("n")[i].as_py(), *(batch.column(c)[i].values.to_numpy() for c in ("slope", "curve"))]
+                total = own if total is None else [a + b for a, b in zip(total, own)]
+        salt = keys[2].as_py() if len(keys) > 2 else 0
+        columns = [pa.array([v], pa.int32()) for v in (keys[0].as_py(), keys[1].as_py(), salt)] + [pa.array([total[0]], pa.float64())]
+        columns += [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in total[1:]]
+        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SUMS.split(", ")])
+
+    add.__annotations__ = {"keys": tuple[pa.Scalar, ...], "source": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    sums = others.mapInArrow(work, SUMS)
+    for by in (["view", "value", "salt"], ["view", "value"]):
+        sums = sums.groupBy(*by).applyInArrow(add, SUMS)
+    found = {(i, value): Sums(0.0, np.zeros(len(weights[i])), np.zeros((len(weights[i]),) * 2)) for i in range(2) for value in (0, 1)}
+    for r in sums.collect():  # four rows
+        found[r["view"], r["value"]] = Sums(r["n"], np.array(r["slope"]), np.array(r["curve"]).reshape(len(r["slope"]), -1))
+    return found
 
 
 def _score(model: QualityModel, at: list[int], names: list[str], threshold: float, filtering: bool, batch: pa.RecordBatch) -> pa.RecordBatch:
