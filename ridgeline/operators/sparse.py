@@ -19,17 +19,17 @@ SUM_SCHEMA = "fold int, i int, j int, s double"
 COLUMN = -1  # in place of i: the plain sum of column j
 
 
-def sparse_rows(df: DataFrame, features: str, fold: Column | str | None = None) -> DataFrame:
-    """``fold, indices, values`` from a vector column, or from a struct column with ``indices`` and ``values``."""
+def sparse_rows(df: DataFrame, features: str, fold: Column | str | None = None, *others: str) -> DataFrame:
+    """``fold, indices, values`` from a vector column, or a struct column with ``indices`` and ``values``; and others."""
     key = (F.lit(0) if fold is None else F.col(fold) if isinstance(fold, str) else fold).cast("int").alias("fold")
     if isinstance(df.schema[features].dataType, VectorUDT):
-        rows = df.select(key, F.unwrap_udt(features).alias("v"))
+        rows = df.select(key, F.unwrap_udt(features).alias("v"), *others)
         every = F.when(F.size("v.values") > 0, F.sequence(F.lit(0), F.size("v.values") - 1)).otherwise(F.array().cast("array<int>"))
         indices = F.coalesce("v.indices", every)
     else:
-        rows = df.select(key, F.col(features).alias("v"))
+        rows = df.select(key, F.col(features).alias("v"), *others)
         indices = F.col("v.indices").cast("array<int>")
-    return rows.select("fold", indices.alias("indices"), F.col("v.values").cast("array<double>").alias("values"))
+    return rows.select("fold", indices.alias("indices"), F.col("v.values").cast("array<double>").alias("values"), *others)
 
 
 def _pair_sums(fold: np.ndarray, offsets: np.ndarray, indices: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -137,12 +137,19 @@ class _Fit:
         self.kept: list[tuple[int, int, int, int]] = []  # round, cell, first and last index
         self.round, self.window = 0, FIRST_WINDOW
         self.settings = [[held, i, asdict(config)] for held, i, config in cells] + [shared_lambdas, self.width]
-        if found := journal.last(self.settings):
+        self._resume()
+
+    def _resume(self) -> None:
+        """Goes on from the last finished round, if there is one."""
+        if found := self.journal.last(self.settings):
             self.round, state = found
             self.progress = [Progress(*p) for p in state["progress"]]
             self.parts, self.window = state["parts"], state["window"]
             self.kept = [tuple(k) for k in state["kept"]]
-            learn_scales(self.scales, self.training, self.features)
+            self._learn(self.features)
+
+    def _learn(self, features: Sequence[int]) -> None:
+        learn_scales(self.scales, self.training, features)
 
     @property
     def open(self) -> list[int]:
@@ -190,7 +197,7 @@ class _Fit:
     def _grow(self, fresh: list[int]) -> None:
         """Products of new features, so many at a time that a task's partial stays within its budget."""
         at_once = max(1, FLUSH_BYTES // (16 * (self.width + 1)))
-        learn_scales(self.scales, self.training, fresh)
+        self._learn(fresh)
         for first in range(0, len(fresh), at_once):
             part = fresh[first : first + at_once]
             self.parts.append(part)
