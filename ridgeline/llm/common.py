@@ -42,6 +42,16 @@ def pack(frame: DataFrame, **columns: str | Column) -> DataFrame:
     return frame.select(*(F.col(f"`{c}`").alias(k) if isinstance(c, str) else c.alias(k) for k, c in columns.items()))
 
 
+BATCH_ROWS = 2048  # rows that Spark hands to Python at once: whole texts, so that a worker's memory stays small
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the rows of a batch; the setting is never raised."""
+    if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def arrow_map(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """One output batch for each input batch, columns by position; a task holds one batch at a time."""
     names = schema.names if isinstance(schema, StructType) else None
@@ -53,6 +63,7 @@ def arrow_map(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch]
                 yield out.rename_columns(names) if names else out
 
     ship_package(frame.sparkSession)
+    small_batches(frame.sparkSession)
     return frame.toDF(*[f"c{i}" for i in range(len(frame.columns))]).mapInArrow(batches, schema)
 
 

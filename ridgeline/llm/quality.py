@@ -200,7 +200,9 @@ def co_train(
 
 
 def _views(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
-    text = np.array([text_view(value.as_py()) for value in columns[0]])
+    text = np.empty((len(columns[0]), PAIRS + SURFACE))
+    for i, value in enumerate(columns[0]):
+        text[i] = text_view(value.as_py())
     meta = np.array([meta_view(*row) for row in zip(*(c.to_pylist() for c in columns[1:]))])
     return text, meta
 
