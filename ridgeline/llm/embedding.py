@@ -3,9 +3,10 @@
 Vectors are compared within a label only. Equal vectors are one node with a number of copies. The nodes of a label are
 dealt out to shards of bounded size by a hash, and each shard builds its graph. Then every node asks every shard of its
 label, in blocks of queries. A search starts narrow. It is widened for queries whose whole beam are links, and for the
-whole block until a brute-force audit of some of its queries finds the recall high enough; a beam as wide as the shard
-is exact. Cosines are verified in double precision. A block sends back numbers of links and a forest of links, not the
-pairs, and the forests are joined to components.
+whole block until a brute-force audit finds the recall high enough; a beam as wide as the shard is exact. The audit
+takes queries until it has seen a number of true links to other nodes, if need be all queries of the block, so a block
+never passes on queries without links. Cosines are verified in double precision. A block sends back numbers of links
+and a forest of links, not the pairs, and the forests are joined to components.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,10 @@ BLOCK_ROWS = 1024
 DEGREE = 16  # links of a node in an upper layer; twice as many in the lowest
 BUILD_WIDTH = 48
 FIRST_WIDTH = 64
-AUDITED = 16  # queries of a block that are checked by brute force
+AUDITED = 64  # queries that are checked by brute force at once
+AUDIT_LINKS = 256  # true links to other nodes that end an audit
 AUDIT_RECALL = 0.99
+SLOT_BLOCKS = 8  # blocks of queries that meet a shard in one task
 AT_ONCE = 256
 SPREAD = 4  # beam entries expanded in one step, or an eighth of a wide beam
 SLACK = 1e-4  # single-precision similarities this far below the limit are still verified
@@ -207,17 +209,30 @@ class Graph:
         return cls(node, copies, unit, links)
 
 
-def linked(graph: Graph, unit: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Links of each query: (query, place) pairs with a cosine of ``limit`` or more, and the width that was needed."""
+def audit(graph: Graph, node: np.ndarray, unit: np.ndarray, limit: float) -> tuple[np.ndarray, int]:
+    """The queries checked by brute force, spread over the block, and their number of true links to other nodes."""
+    spread = np.random.default_rng(len(unit)).permutation(len(unit))
+    links, done = 0, 0
+    while done < len(unit) and links < AUDIT_LINKS:
+        own = spread[done : done + AUDITED]
+        true = unit[own] @ graph.unit.T >= limit
+        links += int((true & (graph.node != node[own, None])).sum())
+        done += len(own)
+    return spread[:done], links
+
+
+def linked(graph: Graph, node: np.ndarray, unit: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Links of each query to other nodes: (query, place) pairs with a cosine of ``limit`` or more, and the width needed."""
     size = len(graph.node)
     width = min(FIRST_WIDTH, size)
-    checked = np.unique(np.linspace(0, len(unit) - 1, min(AUDITED, len(unit))).astype(int))
-    truth = (unit[checked] @ graph.unit.T >= limit).sum(axis=1)
+    checked, truth = audit(graph, node, unit, limit)
     while True:
-        found = _links(graph, unit, limit, width)
-        count = np.bincount(found[0], minlength=len(unit))[checked]
-        if width >= size or count.sum() >= AUDIT_RECALL * truth.sum():
-            return *found, width
+        query, place = _links(graph, unit, limit, width)
+        other = graph.node[place] != node[query]
+        query, place = query[other], place[other]
+        count = np.bincount(query, minlength=len(unit))[checked]
+        if width >= size or count.sum() >= AUDIT_RECALL * truth:
+            return query, place, width
         width = min(2 * width, size)
 
 
@@ -267,16 +282,14 @@ def _matrix(column) -> np.ndarray:
     return np.array([np.frombuffer(x.as_py(), "<f8") for x in column])
 
 
-def _search_blocks(limit: float, batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows pair a shard's graph with a block of queries. Gives (node, links) rows and (u, v) rows."""
+def _search_blocks(limit: float, shard: pa.Table, asked: pa.Table) -> pa.Table:
+    """A shard's graph and blocks of queries. Gives (node, links) rows and (u, v) rows."""
     out: list[list[np.ndarray]] = [[], [], [], []]
-    for raw, nodes, units in zip(*(batch.column(i) for i in range(3))):
-        graph = Graph.unpacked(raw.as_py())
+    graph = Graph.unpacked(shard.column("graph")[0].as_py()) if len(asked) else None
+    for nodes, units in zip(asked.column("nodes"), asked.column("units")):
         node = np.frombuffer(nodes.as_py(), "<i8")
         unit = np.frombuffer(units.as_py(), "<f8").reshape(len(node), -1)
-        query, place, _ = linked(graph, unit, limit)
-        other = graph.node[place] != node[query]
-        query, place = query[other], place[other]
+        query, place, _ = linked(graph, node, unit, limit)
         total = np.bincount(query, weights=graph.copies[place], minlength=len(node)).astype(np.int64)
         child, root = forest(node[query], graph.node[place])
         for column, values in zip(out, (node[total > 0], total[total > 0], child, root)):
@@ -285,7 +298,7 @@ def _search_blocks(limit: float, batch: pa.RecordBatch) -> pa.RecordBatch:
     none = lambda n: pa.nulls(n, pa.int64())
     a, b = len(node), len(child)
     arrays = [pa.concat_arrays([pa.array(x, pa.int64()), none(b)]) for x in (node, total)] + [pa.concat_arrays([none(a), pa.array(x, pa.int64())]) for x in (child, root)]
-    return pa.RecordBatch.from_arrays(arrays, ["node", "links", "u", "v"])
+    return pa.table(arrays, names=["node", "links", "u", "v"])
 
 
 def embedding_duplicates(
@@ -328,14 +341,23 @@ def embedding_duplicates(
 
     def block(table: pa.Table) -> pa.Table:
         packed = [pa.array([x], pa.binary()) for x in (table.column("node").to_numpy().astype("<i8").tobytes(), b"".join(table.column("unit").to_pylist()))]
-        return pa.table([table.column("group").slice(0, 1), table.column("shards").slice(0, 1), *packed], names=["group", "shards", "nodes", "units"])
+        named = [table.column(c).slice(0, 1) for c in ("group", "shards", "block")]
+        return pa.table([*named, *packed], names=["group", "shards", "block", "nodes", "units"])
 
     kind = f"group struct<label: {kinds['label']}, wide: int>"
     graphs = materialize(dealt.select("group", "shard", "node", "copies", "unit").groupBy("group", "shard").applyInArrow(build, f"{kind}, shard long, graph binary"), "graphs")
-    blocks = dealt.select("group", "shards", "block", "node", "unit").groupBy("group", "block").applyInArrow(block, f"{kind}, shards long, nodes binary, units binary")
-    asked = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    pairs = graphs.join(asked, ["group", "shard"]).select("graph", "nodes", "units")
-    found = materialize(arrow_map(pairs, partial(_search_blocks, limit), "node long, links long, u long, v long"), "links")
+    blocks = dealt.select("group", "shards", "block", "node", "unit").groupBy("group", "block").applyInArrow(block, f"{kind}, shards long, block long, nodes binary, units binary")
+    # a graph is sent once for several blocks, and a shard with many blocks is searched by many tasks
+    slot = lambda number: F.floor(number / SLOT_BLOCKS)
+    asked = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).withColumn("slot", slot(F.col("block")))
+    shards = graphs.join(sizes.select("group", "blocks"), "group").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), slot(F.col("blocks") - 1))))
+
+    def search(shard: pa.Table, asked: pa.Table) -> pa.Table:
+        return _search_blocks(limit, shard, asked)
+
+    key = ["group", "shard", "slot"]
+    met = shards.select(*key, "graph").groupBy(*key).cogroup(asked.select(*key, "nodes", "units").groupBy(*key))
+    found = materialize(met.applyInArrow(search, "node long, links long, u long, v long"), "links")
     roots = components(found.where("u is not null").select("u", "v"))
     counts = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("others"))
     named = nodes.select("node", "low", "copies").join(roots, "node", "left").join(counts, "node", "left")

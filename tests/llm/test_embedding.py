@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ridgeline.llm.embedding import Graph, embedding_duplicates, linked
+from ridgeline.llm.embedding import AUDIT_LINKS, Graph, audit, embedding_duplicates, linked
 
 SCHEMA = "vec_id long, label int, embedding array<double>, n_links string, node int"
 
@@ -61,8 +61,44 @@ def test_beams_widen_until_a_dense_group_is_whole():
     center = rng.normal(size=32)
     vectors = np.concatenate([center + rng.normal(0, 0.02, (700, 32)), rng.normal(size=(1500, 32))])
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    graph = Graph.unpacked(Graph.build(np.arange(len(unit)), np.ones(len(unit), np.int64), unit).packed())
-    query, place, _ = linked(graph, unit, 0.98)
-    truth = (unit @ unit.T >= 0.98).sum()
+    node = np.arange(len(unit))
+    graph = Graph.unpacked(Graph.build(node, np.ones(len(unit), np.int64), unit).packed())
+    query, place, _ = linked(graph, node, unit, 0.98)
+    truth = (unit @ unit.T >= 0.98).sum() - len(unit)
     assert truth > 100_000 and len(query) >= 0.99 * truth
     assert (np.einsum("nd,nd->n", unit[query], graph.unit[place]) >= 0.98).all()
+    assert (graph.node[place] != node[query]).all()
+
+
+def test_audits_go_on_until_they_have_seen_links():
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(600, 16))
+    unit[1::300] = unit[0::300] + 1e-3  # two pairs
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    node = np.arange(600)
+    graph = Graph.build(node, np.ones(600, np.int64), unit)
+    checked, links = audit(graph, node, unit, 0.98)
+    assert sorted(checked) == list(range(600)) and links == 4  # hits of a query on itself do not count
+    dense = unit[:1] + rng.normal(0, 0.01, (600, 16))
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    checked, links = audit(Graph.build(node, np.ones(600, np.int64), dense), node, dense, 0.98)
+    assert len(checked) < 600 and links >= AUDIT_LINKS
+
+
+def test_links_across_shards_of_thousands(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(12_000, 24))
+    vectors[6_000:9_000] = vectors[:3_000] + rng.normal(0, 0.06, (3_000, 24))
+    vectors[9_000:9_400] = vectors[0] + rng.normal(0, 0.08, (400, 24))
+    frame = spark.createDataFrame([(i, 1, v) for i, v in enumerate(vectors.tolist())], "vec_id long, label int, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    found = {r.vec_id: r for r in embedding_duplicates(frame, shard_rows=4_000, block_rows=512).collect()}
+    links = np.array([found[i].n_links for i in range(12_000)])
+    assert near.sum() > 20_000 and (links <= near.sum(axis=1)).all()
+    assert links.sum() >= 0.99 * near.sum()
+    pairs = [(i, i + 6_000) for i in range(1, 3_000) if near[i, i + 6_000]]
+    assert len(pairs) > 1_000
+    joined = sum(found[a].component_id == found[b].component_id for a, b in pairs)
+    assert joined >= 0.99 * len(pairs)
