@@ -6,7 +6,8 @@ and only for them does the batch name an owner. The batch then becomes a run of
 has ``fanout`` runs they are compacted into one run of the next level. Each hash is rewritten once for each level, so
 the work for a batch does not grow with the number of batches before it.
 
-Batches come in descending order of document ids, so the owner of a line is the largest document that holds it.
+Batches come in descending order of document ids, so the owner of a line is the largest document that holds it. Their
+number follows from the number of line hashes, so a batch does not grow with the input.
 """
 
 from __future__ import annotations
@@ -137,13 +138,27 @@ def _cut(least: int, text_at: int, gone_at: int, names: list[str], batch: pa.Rec
     return pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(dropped, pa.int64())], names)
 
 
+def _batches(lines: DataFrame, number: int) -> list[DataFrame]:
+    """Stored lines in ranges of ids, largest ids first; files that hold no id of a range are passed over."""
+    doc = F.col("doc")
+    parts = [i / number for i in range(1, number)]
+    cuts = lines.select(F.percentile_approx("doc", parts, 100 * number).alias("cuts")).first().cuts if parts else None
+    cuts = sorted(set(cuts or []))
+    if not cuts:
+        return [lines]
+    middle = [lines.where((doc > low) & (doc <= high)) for low, high in zip(cuts, cuts[1:])]
+    # a null id is smaller than every other id
+    return [lines.where(doc > cuts[-1]), *reversed(middle), lines.where(doc.isNull() | (doc <= cuts[0]))]
+
+
 def drop_repeated_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     min_docs: int = 3,
     min_chars: int = 20,
-    batches: int = 4,
+    batches: int = 8,
+    batch_lines: int = 1 << 28,
     fanout: int = 3,
     n_lines: str = "n_lines",
     n_dropped: str = "n_dropped",
@@ -155,26 +170,23 @@ def drop_repeated_lines(
     empty line and stays null. Each row counts as one document. Rows with one id are parts of one document when lines
     are dropped: all of them keep a line that their id owns. A null id is smaller than every other id, and lines that
     only rows without id have stay everywhere. An empty table gives an empty result. ``n_lines`` and ``n_dropped``
-    replace columns of those names.
+    replace columns of those names. The work is cut into ``batches`` batches, or more where they would have over
+    ``batch_lines`` line hashes; this changes no result.
 
     Shuffled are 16-byte hashes of lines, summed up before the shuffle, and once the texts. A line that a third of all
     documents has is one row for each map task.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {n_lines.lower(), n_dropped.lower()}])
-    stray, part, gone = fresh(docs.columns, "stray"), fresh(docs.columns, "part"), fresh(docs.columns, "gone")
+    stray, gone = fresh(docs.columns, "stray"), fresh(docs.columns, "gone")
     # rows without id are told apart by their text
     docs = docs.withColumn(stray, F.when(F.col(f"`{id_col}`").isNull(), F.xxhash64(F.col(f"`{text_col}`"))))
     rows = pack(docs, doc=id_col, stray=stray, text=text_col)
     kind = rows.schema["doc"].dataType.simpleString()
     lines = arrow_map(rows, partial(_line_rows, min_chars), f"doc {kind}, stray long, line binary")
-    steps = sorted(rows.select(F.percentile_approx("doc", [i / batches for i in range(1, batches)]).alias("cuts")).first().cuts or [])
-    batch_of = F.lit(0)  # a null id is in the last batch, with the smallest ids
-    for cut in steps:
-        batch_of = batch_of + F.when(F.col("doc") > F.lit(cut), 1).otherwise(0)
-    lines = materialize(lines.withColumn(part, batch_of), "lines")
+    lines = materialize(lines, "lines")
     runs = LineRuns(docs.sparkSession, fanout)
-    for number in range(len(steps), -1, -1):
-        runs.add(lines.where(F.col(part) == number))
+    for batch in _batches(lines, max(batches, -(-lines.count() // batch_lines))):
+        runs.add(batch)
     # stored, so that both sides of the join are dealt out anew and a line that very many documents have can be split
     repeated = materialize(runs.totals().where(F.col("docs") >= min_docs).select("line", "owner"), "repeated-lines")
     lost = (

@@ -40,9 +40,30 @@ def test_odd_rows(spark):
     out = drop_repeated_lines(frame, fanout=2)
     assert out.columns == ["doc_id", "text", "gone", "stray", "n_lines", "n_dropped"]
     assert sorted([tuple(r) for r in out.drop("gone", "stray").collect()], key=str) == expected(rows)
+    many = drop_repeated_lines(frame, batch_lines=20, fanout=2)
+    assert sorted([tuple(r) for r in many.drop("gone", "stray").collect()], key=str) == expected(rows)
     assert drop_repeated_lines(frame.limit(0)).count() == 0
 
 
+def test_batches_follow_the_number_of_lines(spark, monkeypatch):
+    seen = []
+    put = LineRuns._put
+
+    def watched(self, level, run):
+        seen.append(level)
+        put(self, level, run)
+
+    monkeypatch.setattr(LineRuns, "_put", watched)
+    rows = [(i, f"a line that is in all documents\nthe line of document number {i}") for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for options, batches in (({}, 8), ({"batch_lines": 20}, 12)):
+        seen.clear()
+        kept = drop_repeated_lines(frame, **options).where("n_dropped = 0").collect()
+        assert [r.doc_id for r in kept] == [119]
+        assert seen.count(0) == batches and seen.count(1) == batches // 3  # a compaction for each three runs
+    assert seen.count(2) == 1
+
+
 def test_runs_are_compacted_and_know_old_lines(spark):
     runs = LineRuns(spark, fanout=2)
     batches = [[(9, "a"), (8, "a"), (9, "b")], [(5, "a"), (5, "c")], [(2, "c")], [(1, "d"), (1, "a")]]
