@@ -52,11 +52,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
 
+def _needs(work: Callable) -> bool:
+    return any(isinstance(x, shipped_file) for x in getattr(work, "args", ()))
+
+
+def forget_built() -> None:
+    """Frees what tasks of other operators built in this Python worker, which Spark goes on using."""
+    _BUILT.clear()
+
+
 def arrow_map(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """One output batch for each input batch, columns by position; a task holds one batch at a time."""
     names = schema.names if isinstance(schema, StructType) else None
+    builds = _needs(work)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not builds:
+            forget_built()
         for batch in source:
             if batch.num_rows:
                 out = work(batch)

@@ -2,14 +2,17 @@ from __future__ import annotations
 
 import hashlib
 import random
+from functools import partial
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from ridgeline.llm.bpe import TextCodec, TokenAutomaton, codec_digest, decode_ids, encode_texts, with_tokens
+from ridgeline.llm.common import arrow_map, shipped_file
 from ridgeline.llm.token_count import WordCounter, token_counts
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -90,3 +93,21 @@ def test_tables_with_odd_rows(spark, libraries):
     assert decode_ids(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), BYTES).collect()[0].text is None
     for empty in (token_counts(frame.limit(0), WORDS), codec_digest(frame.limit(0), BYTES)):
         assert empty.count() == 0
+
+
+def test_workers_forget_what_other_operators_built(spark):
+    frame = spark.createDataFrame([(i, f"text number {i}") for i in range(8)], "doc_id long, text string").coalesce(1)
+
+    def held(batch):
+        from ridgeline.llm import common
+
+        return pa.RecordBatch.from_arrays([pa.array([len(common._BUILT)] * batch.num_rows, pa.int64())], ["held"])
+
+    def building(file, batch):
+        file.build(TextCodec)
+        return held(batch)
+
+    for _ in range(2):
+        built = arrow_map(frame, partial(building, shipped_file(spark, BYTES)), "held long")
+        assert min(r.held for r in built.collect()) >= 1
+        assert {r.held for r in arrow_map(frame, held, "held long").collect()} == {0}
