@@ -1,10 +1,13 @@
 """Near-deduplication by the Jaccard similarity of word shingles.
 
-Candidates are sets of shingles with the same smallest hashes in one of 40 bands of four hash functions. Two sets of
-similarity 0.8 share none of them in one of 10**9 cases, more similar ones still more rarely. A candidate counts only
-if the similarity of the whole texts reaches the limit. In each band the smallest set is compared with all others
-first. Most groups are connected by that; sets of a band that are still in different components are compared inside
-tasks, block against block, and only a forest of links leaves them, so a large group never becomes all its pairs.
+Candidates are sets of shingles whose SimHash fingerprints the tries of ``simhash`` connect within 6 bits. Sets of
+similarity 0.8 may differ in more bits, and wider budgets cost too much, so there is an exact way for the rest: sets that
+the tries leave apart are candidates too if they have the same smallest hashes in one of 40 bands of four hash functions.
+Two sets of similarity 0.8 share no band in one of 10**9 cases, more similar ones still more rarely. A candidate counts
+only if the similarity of the whole texts reaches the limit. In each group of candidates the smallest set is compared
+with all others first. Most groups are connected by that; sets of a group that are still in different components are
+compared inside tasks, block against block, and only a forest of links leaves them, so a large group never becomes all
+its pairs.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import arrow_map, fresh, materialize, pack
 from ridgeline.llm.components import components, forest
+from ridgeline.llm.simhash import near_fingerprints, set_fingerprint
 
 SEED = 42
+BITS = 6  # budget of the tries
 BANDS, ROWS = 40, 4
 AT_ONCE = 2048
 _RANDOM = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64)
@@ -50,13 +55,15 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def _marks(words: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-    digests, keys = [], []
+    digests, prints, keys = [], [], []
     for value in batch.column(1):
         found = shingles(value.as_py(), words)
         digests.append(xxhash.xxh64_intdigest(found.tobytes()))
+        prints.append(set_fingerprint(found))
         keys.append(band_keys(found) if len(found) else np.empty(0, np.int64))
-    digest = pa.array(np.array(digests, np.uint64).view(np.int64))
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digest, pa.array(keys, pa.list_(pa.int64()))], ["doc", "text", "digest", "bands"])
+    digest, mark = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (digests, prints))
+    arrays = [batch.column(0), batch.column(1), digest, mark, pa.array(keys, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(arrays, ["doc", "text", "digest", "print", "bands"])
 
 
 FILTER_BITS = 1 << 25  # 4 MB, whatever the number of keys: beyond some ten million it lets more rows pass
@@ -182,14 +189,30 @@ def _open_links(members: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     return materialize(dealt.groupBy("band", "i", "j").applyInArrow(work, "u long, v long"), "open-links")
 
 
+def trie_groups(marked: DataFrame, bits: int = BITS) -> DataFrame:
+    """``digest, band, low`` of sets whose fingerprints a chain within ``bits`` connects; ``band`` names the group, ``low`` is its smallest set.
+
+    All sets of a group are candidates of each other. Sets alone in theirs are left out.
+    """
+    prints = materialize(marked.select("digest", "print").distinct(), "set-prints")
+    linked = materialize(components(near_fingerprints(prints.select("print").distinct(), bits)), "linked-prints")
+    named = prints.join(linked, F.col("print") == F.col("node"), "left")
+    named = materialize(named.select("digest", F.xxhash64(F.lit("print"), F.coalesce("root", "print")).alias("band")), "print-groups")
+    shared = named.groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high")
+    return materialize(named.join(materialize(shared.select("band", "low"), "shared-groups"), "band").select("digest", "band", "low"), "group-members")
+
+
 def near_sets(marked: DataFrame, words: int, limit: float) -> DataFrame:
-    """Links ``u, v`` that connect all digests of ``marked`` (``digest, bands, text``) at ``limit`` or more."""
+    """Links ``u, v`` that connect all digests of ``marked`` (``digest, print, bands, text``) at ``limit`` or more."""
+    grouped = trie_groups(marked)
     distinct = marked.groupBy("digest").agg(F.first("bands").alias("bands"))
-    keys = materialize(distinct.select("digest", F.explode("bands").alias("band")), "bands")
+    distinct = distinct.join(grouped.select("digest", F.col("band").alias("own")), "digest", "left")
+    keys = materialize(distinct.select("digest", F.coalesce("own", "digest").alias("own"), F.explode("bands").alias("band")), "bands")
+    # only bands with sets that the tries leave apart
     # stored, so that both sides of the join are dealt out anew and a band that very many sets share can be split
-    shared = keys.groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high")
+    shared = keys.groupBy("band").agg(F.min("digest").alias("low"), F.min("own").alias("one"), F.max("own").alias("other")).where("one <> other")
     shared = materialize(shared.select("band", "low"), "shared-bands")
-    member = materialize(keys.join(shared, "band"), "band-members")
+    member = materialize(keys.drop("own").join(shared, "band").select("digest", "band", "low").unionByName(grouped), "band-members")
     pairs = materialize(member.where("digest <> low").select(F.col("low").alias("u"), F.col("digest").alias("v")).distinct(), "candidates")
     sets = shingle_sets(marked, pairs.select(F.explode(F.array("u", "v")).alias("digest")), words)
     links = _alike(sets, pairs, limit)
@@ -233,7 +256,7 @@ def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("limit must be between 0.8 and 1")
     rows = pack(docs, doc=id_col, text=text_col)
     kind = rows.schema["doc"].dataType.simpleString()
-    marked = materialize(arrow_map(rows, partial(_marks, words), f"doc {kind}, text string, digest long, bands array<long>"), "shingled")
+    marked = materialize(arrow_map(rows, partial(_marks, words), f"doc {kind}, text string, digest long, print long, bands array<long>"), "shingled")
     roots = materialize(components(near_sets(marked, words, limit)), "near-roots")
     first = marked.groupBy("digest").agg(F.min("doc").alias("first"))
     kept = first.join(roots, F.col("digest") == F.col("node"), "left").groupBy(F.coalesce("root", "digest")).agg(F.min("first").alias("doc"))

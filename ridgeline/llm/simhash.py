@@ -43,14 +43,27 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     starts, ends = starts[: len(parts) - width + 1], ends[width - 1 :]
     hashed = xxhash.xxh64_intdigest
     tally = np.zeros(8 * 256, np.int64)
-    place = np.arange(8, dtype=np.int64) * 256
     for at in range(0, len(starts), SHINGLES_AT_ONCE):
         some = slice(at, at + SHINGLES_AT_ONCE)
-        values = np.array([hashed(joined[s:e], SEED) for s, e in zip(starts[some].tolist(), ends[some].tolist())], "<u8")
-        tally += np.bincount((values.view(np.uint8).reshape(-1, 8) + place).ravel(), minlength=8 * 256)
+        tally += _tally(np.array([hashed(joined[s:e], SEED) for s, e in zip(starts[some].tolist(), ends[some].tolist())], "<u8"))
+    return _majority(tally, len(starts))
+
+
+def _tally(hashes: np.ndarray) -> np.ndarray:
+    """How often each value of each of the eight bytes is there."""
+    return np.bincount((hashes.view(np.uint8).reshape(-1, 8) + np.arange(8, dtype=np.int64) * 256).ravel(), minlength=8 * 256)
+
+
+def _majority(tally: np.ndarray, count: int) -> int:
     bits_of = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
     ones = (tally.reshape(8, 256) @ bits_of).ravel()
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of 64-bit hashes; 0 for none."""
+    parts = (hashes[at : at + SHINGLES_AT_ONCE] for at in range(0, len(hashes), SHINGLES_AT_ONCE))
+    return _majority(sum((_tally(part) for part in parts), np.zeros(8 * 256, np.int64)), len(hashes))
 
 
 def _fingerprints(words: int, batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -3,8 +3,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import xxhash
 
-from ridgeline.llm.shingles import _common, keep_one_of_near, without_ids
+from ridgeline.llm.components import components
+from ridgeline.llm.shingles import _common, keep_one_of_near, near_sets, shingles, trie_groups, without_ids
+from ridgeline.llm.simhash import set_fingerprint
 
 import corpus_pipeline
 
@@ -92,3 +95,37 @@ def test_without_ids(spark):
     assert got.columns == frame.columns and got.schema == frame.schema
     assert sorted(got.collect(), key=str) == sorted((r for r in frame.collect() if r.doc_id is None or r.doc_id % 3), key=str)
     assert without_ids(frame, "doc_id", gone.limit(0)).count() == 200 and without_ids(frame.limit(0), "doc_id", gone).count() == 0
+
+
+def signed(number):
+    return number - (1 << 64) if number >> 63 else number
+
+
+def test_tries_find_candidates(spark):
+    """Sets within the budget of the tries are candidates: without any band all their links come from there."""
+    texts = [text for _, text in some_rows()] + list(family(random.Random(3), 40, 1))
+    sets = {signed(xxhash.xxh64_intdigest(s.tobytes())): (s, text) for s, text in ((shingles(t), t) for t in texts)}
+    names = list(sets)
+    prints = [sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in s.tolist()) > len(s)) for s, _ in sets.values()]
+    assert prints == [set_fingerprint(s) for s, _ in sets.values()]
+    rows = [(d, signed(p), [], sets[d][1]) for d, p in zip(names, prints)]
+    marked = spark.createDataFrame(rows, "digest long, print long, bands array<long>, text string").repartition(3)
+    at = list(groups(len(names), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 6))
+    together = {}
+    for r in trie_groups(marked).collect():
+        together.setdefault(r.band, set()).add(r.digest)
+    own = {}
+    for d, group in zip(names, at):
+        own.setdefault(group, set()).add(d)
+    assert sorted(map(sorted, together.values())) == sorted(sorted(g) for g in own.values() if len(g) > 1)
+
+    def near(a, b):
+        one, other = plain_set(sets[names[a]][1]), plain_set(sets[names[b]][1])
+        return at[a] == at[b] and len(one & other) >= 0.8 * len(one | other)
+
+    label = list(groups(len(names), near))
+    expected = {frozenset(d for d, x in zip(names, label) if x == group) for group in label if label.count(group) > 1}
+    got = {}
+    for r in components(near_sets(marked, 5, 0.8)).collect():
+        got.setdefault(r.root, set()).add(r.node)
+    assert set(map(frozenset, got.values())) == expected and len(expected) > 1
