@@ -49,6 +49,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that a chain of Jaccard similarities of 0.8 or more connects.
 
+    Candidates come from SimHash tries, and from min-hash bands where the tries leave texts apart; similarities are exact.
     The smallest id stays, with all rows that have it; null, empty and blank texts are copies of each other; rows without
     id stay. Texts of any length are compared as a whole. An empty table gives an empty one.
     """
