@@ -33,6 +33,8 @@ BLOCK_DOCS = 64
 BLOCK_TERMS = 1 << 19  # query terms in a block of queries
 GROUP_BLOCKS = 4  # blocks that visit the shards together
 POSTINGS = 1 << 18  # postings weighed at once
+CELLS = 1 << 22  # cells of a matrix of scores or contributions (32 MB)
+SPARSE = 64  # a term is added by products if its share of queries times its share of documents reaches one in so many
 UNIT = 1e6
 NO_ID = np.iinfo(np.int64).max
 
@@ -190,10 +192,29 @@ class Shard:
 
     def search(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """The k best documents for terms at some places of the index: documents, scores, and blocks scored."""
+        return self.search_all([at], k)[0]
+
+    def search_all(self, ats: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """``search`` for several queries; those whose bounds leave out too few blocks are scored together."""
+        found = [self._bounded(at, k) for at in ats]
+        late = [i for i, one in enumerate(found) if one is None]
+        for i, scores in zip(late, self._whole([ats[i] for i in late])):
+            found[i] = self._best(scores, k, self.blocks)
+        return found
+
+    def _best(self, scores: np.ndarray, k: int, done: int) -> tuple[np.ndarray, np.ndarray, int]:
+        least = np.partition(scores, self.size - k)[self.size - k] if self.size >= k else 0.0
+        place = np.flatnonzero(scores >= max(least, 1.0))
+        place = place[np.lexsort((place, -scores[place]))][:k]  # places are in the order of ids
+        return place, scores[place], done
+
+    def _bounded(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int] | None:
+        """The best documents by blocks in the order of their bounds; None if half of the blocks or more are left in."""
         if not len(at):
             return np.empty(0, np.int64), np.empty(0), 0
         first, last = self.block_starts[at], self.block_starts[at + 1]
-        entry = np.concatenate([np.arange(f, e) for f, e in zip(first.tolist(), last.tolist())])
+        counts = last - first
+        entry = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
         bound = np.bincount(self.block[entry], weights=self.block_most[entry], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
@@ -204,24 +225,53 @@ class Shard:
             now = now[bound[now] >= least]  # an equal bound may still win by the smaller id
             if not len(now):
                 break
+            # nearly all of the lists, by the score that the k-th best document has so far
+            if done and 2 * np.count_nonzero(bound >= least) >= self.blocks or len(now) * 2 >= self.blocks:
+                return None
             done += len(now)
-            if len(now) * 2 >= self.blocks:  # nearly all of the lists
-                docs, impacts = self._cut([self.docs, self.impacts], self.starts[at], self.starts[at + 1])
-                scores = np.bincount(docs, weights=impacts, minlength=self.size)
-                done = len(order)
-            else:
-                chosen = np.zeros(self.blocks, bool)
-                chosen[now] = True
-                own = entry[chosen[self.block[entry]]]
-                counts = self.block_begin[own + 1] - self.block_begin[own]
-                posting = np.repeat(self.block_begin[own] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-                scores += np.bincount(self.docs[posting], weights=self.impacts[posting], minlength=self.size)
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now] = True
+            own = entry[chosen[self.block[entry]]]
+            counts = self.block_begin[own + 1] - self.block_begin[own]
+            posting = np.repeat(self.block_begin[own] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+            scores += np.bincount(self.docs[posting], weights=self.impacts[posting], minlength=self.size)
             if self.size >= k:
                 least = np.partition(scores, self.size - k)[self.size - k]
             take *= 4
-        place = np.flatnonzero(scores >= max(least, 1.0))
-        place = place[np.lexsort((place, -scores[place]))][:k]  # places are in the order of ids
-        return place, scores[place], done
+        return self._best(scores, k, done)
+
+    def _whole(self, ats: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """Scores of all documents for each query: products of matrices for terms that are frequent on both sides, lists for others.
+
+        Sums of whole numbers below 2**53 are exact in either way.
+        """
+        step = max(1, CELLS // max(1, self.size))
+        for begin in range(0, len(ats), step):
+            some = ats[begin : begin + step]
+            places = np.concatenate(some)
+            query = np.repeat(np.arange(len(some)), [len(at) for at in some])
+            terms, place, asked = np.unique(places, return_inverse=True, return_counts=True)
+            often = asked * (self.starts[terms + 1] - self.starts[terms]) * SPARSE >= len(some) * self.size
+            number = np.cumsum(often) - 1  # of a frequent term
+            dense, by_list = terms[often], ~often[place]
+            scores = np.zeros((len(some), self.size))
+            width = max(16, step)
+            for low in range(0, len(dense), width):
+                own = dense[low : low + width]
+                impacts = np.zeros((len(own), self.size))
+                counts = self.starts[own + 1] - self.starts[own]
+                docs, values = self._cut([self.docs, self.impacts], self.starts[own], self.starts[own + 1])
+                impacts[np.repeat(np.arange(len(own)), counts), docs] = values
+                here = ~by_list & (number[place] >= low) & (number[place] < low + width)
+                member = np.zeros((len(some), len(own)))
+                member[query[here], number[place[here]] - low] = 1
+                scores += member @ impacts
+            rest = np.split(places[by_list], np.searchsorted(query[by_list], np.arange(1, len(some))))
+            for row, at in zip(scores, rest):
+                if len(at):
+                    docs, values = self._cut([self.docs, self.impacts], self.starts[at], self.starts[at + 1])
+                    row += np.bincount(docs, weights=values, minlength=self.size)
+                yield row
 
 
 def _search(k: int, mean: float, k1: float, b: float, row: dict, more: list[dict]) -> pa.Table:
@@ -233,8 +283,8 @@ def _search(k: int, mean: float, k1: float, b: float, row: dict, more: list[dict
         if block["numbers"] is None:
             continue
         numbers, terms, starts, asking = (np.frombuffer(block[n], kind) for n, kind in (("numbers", "<i8"), ("terms", "<u8"), ("starts", "<i8"), ("asking", "<i4")))
-        for number, at in zip(numbers.tolist(), shard.lists(terms, starts, asking, len(numbers))):
-            place, score, _ = shard.search(at, k)
+        found = shard.search_all(shard.lists(terms, starts, asking, len(numbers)), k)
+        for number, (place, score, _) in zip(numbers.tolist(), found):
             for column, values in zip(out, (np.full(len(place), number), shard.ids[place], score.astype(np.int64))):
                 column.append(values)
     columns = [pa.array(np.concatenate([np.empty(0, np.int64), *x]), pa.int64()) for x in out]

@@ -54,3 +54,26 @@ def test_blocks_are_left_out_where_no_bound_reaches():
     shard = search.Shard(row, weights, 2.0, 1.2, 0.75)
     place, score, scored = shard.search(search.np.searchsorted(terms, search.term_counts("common rare")[0]), 2)
     assert sorted(place.tolist()) == [5, 700] and scored < shard.blocks and len(terms) == 9
+
+
+def test_queries_scored_together(monkeypatch):
+    """Whole lists by products of matrices and by lists give plain sums, whatever number of queries meets at once."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    docs = [search.term_counts(" ".join(rng.choices(words, [1 / (j + 1) for j in range(300)], k=rng.randint(1, 80)))) for _ in range(700)]
+    row = search._shard(0, list(range(700)), docs).to_pylist()[0]
+    terms = search.np.frombuffer(row["terms"], "<u8")
+    shard = search.Shard(row, search.np.linspace(0.1, 7, len(terms)), 40.0, 1.2, 0.75)
+    asked = [search.np.sort(search.np.searchsorted(terms, d[0])) for d in docs[:90]] + [search.np.empty(0, search.np.int64)]
+    for cells, sparse in ((1 << 22, 64), (700 * 20, 64), (1 << 22, 1), (700, 10**9)):
+        monkeypatch.setattr(search, "CELLS", cells)
+        monkeypatch.setattr(search, "SPARSE", sparse)
+        whole = list(shard._whole(asked))
+        for at, got, (place, score, _) in zip(asked, whole, shard.search_all(asked, 10), strict=True):
+            plain = [0] * 700
+            for t in at.tolist():
+                for p in range(shard.starts[t], shard.starts[t + 1]):
+                    plain[shard.docs[p]] += int(shard.impacts[p])
+            assert got.tolist() == plain
+            best = sorted((-x, i) for i, x in enumerate(plain) if x)[:10]
+            assert list(zip((-score).astype(int).tolist(), place.tolist())) == best
