@@ -6,6 +6,11 @@ different shards can be merged. A query sums up the block maxima of its terms. B
 bound, and the search in a shard stops when no bound reaches the score of the k-th best document so far: what is left
 out cannot be among the k best, so the result is exact.
 
+Shards are searched in waves, each with three times the shards before it. From the second wave on a query brings the score
+of its k-th best document so far, which its k-th best of all documents has at least, and a shard returns only documents
+that reach it, so the rows between the waves and the merge follow the queries. There all documents of a shard are scored
+at first in single precision, the most frequent terms for many queries at once, and exactly where that can be enough.
+
 A contribution, ``idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length))``, is rounded to a whole number
 of millionths. Sums of whole numbers do not depend on their order, so ties are exact; they go to the smaller id.
 """
@@ -15,26 +20,32 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import arrow_map, bucketed, materialize, pack
-from ridgeline.session import ship_package
+from ridgeline.session import scratch_path, ship_package
 
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")  # after A-Z are in lower case
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 32 << 20
 SHARD_DOCS = 60_000
 BLOCK_DOCS = 64
 BLOCK_TERMS = 1 << 19  # query terms in a block of queries
-GROUP_BLOCKS = 4  # blocks that visit the shards together
+WAVE = 4  # a wave ends at so many times the shards searched before
 POSTINGS = 1 << 18  # postings weighed at once
 CELLS = 1 << 22  # cells of a matrix of scores or contributions (32 MB)
 SPARSE = 64  # a term is added by products if its share of queries times its share of documents reaches one in so many
+TABLE = 1 << 24  # cells of the table of a shard's most frequent terms (64 MB)
+DENSE = 24  # those are in one of so many documents
+PAIRS = 2048  # documents scored exactly at once
+BATCH_BYTES = 16 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 UNIT = 1e6
 NO_ID = np.iinfo(np.int64).max
 
@@ -94,6 +105,7 @@ SHARD_SCHEMA = (
     "shard long, ids binary, lengths binary, terms binary, starts binary, docs binary, times binary, often binary, "
     "n_docs long, n_words long"
 )
+READY = {"ids": "<i8", "terms": "<u8", "starts": "<i8", "docs": "<u2", "impacts": "<i4"}  # a shard with contributions
 MANY = 255  # a term that is in a document so often has its place and number in ``often``
 
 
@@ -139,14 +151,14 @@ def _query_block(table: pa.Table) -> pa.Table:
     order = np.lexsort((query, every))
     every, query = every[order], query[order]
     starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    columns = {
-        "block": table.column("block").slice(0, 1),
-        "numbers": pa.array([numbers.tobytes()], pa.binary()),
-        "terms": pa.array([every[starts].astype("<u8").tobytes()], pa.binary()),
-        "starts": pa.array([np.append(starts, len(every)).astype("<i8").tobytes()], pa.binary()),
-        "asking": pa.array([query.astype("<i4").tobytes()], pa.binary()),
-    }
-    return pa.table(columns)
+    least = table.column("least").to_numpy()
+    columns = (numbers, every[starts], np.append(starts, len(every)), query, least)
+    return pa.table({n: pa.array([x.astype(kind).tobytes()], pa.binary()) for (n, kind), x in zip(BLOCK_KINDS.items(), columns)})
+
+
+# numbers of queries, their distinct terms, where the queries that ask for each term begin, those, and the scores to reach
+BLOCK_KINDS = {"numbers": "<i8", "wanted": "<u8", "wanted_starts": "<i8", "asking": "<i4", "least": "<f8"}
+BLOCK_SCHEMA = ", ".join(f"{n} binary" for n in BLOCK_KINDS)
 
 
 class Shard:
@@ -154,7 +166,7 @@ class Shard:
 
     def __init__(self, row: dict, weights: np.ndarray, mean: float, k1: float, b: float):
         read = lambda name, kind: np.frombuffer(row[name], kind)
-        self.ids, self.terms, self.starts, self.docs = read("ids", "<i8"), read("terms", "<u8"), read("starts", "<i8"), read("docs", "<u2")
+        self._read(row)
         times = read("times", "u1")
         often = read("often", "<i8").reshape(-1, 2)
         norm = k1 * (1 - b + b * read("lengths", "<i8") / (mean or 1.0))
@@ -166,14 +178,87 @@ class Shard:
             here = often[(often[:, 0] >= at) & (often[:, 0] < at + POSTINGS)]
             tf[here[:, 0] - at] = here[:, 1]
             self.impacts[some] = np.rint(weights[term[some]] * (tf * (k1 + 1) / (tf + norm[self.docs[some]])) * UNIT)
+
+    @classmethod
+    def stored(cls, row: dict) -> Shard:
+        """From a row that has the contributions."""
+        shard = cls.__new__(cls)
+        shard._read(row)
+        shard.impacts = np.frombuffer(row["impacts"], "<i4")
+        return shard
+
+    def _read(self, row: dict) -> None:
+        read = lambda name, kind: np.frombuffer(row[name], kind)
+        self.ids, self.terms, self.starts, self.docs = read("ids", "<i8"), read("terms", "<u8"), read("starts", "<i8"), read("docs", "<u2")
         self.size = len(self.ids)
         self.blocks = -(-self.size // BLOCK_DOCS)
+
+    @cached_property
+    def bounds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For terms in blocks: where their postings begin, the block, the largest contribution; and where each term's begin."""
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))
         block = self.docs // np.uint16(BLOCK_DOCS)
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.empty(0, np.int64)
-        self.block_begin = np.append(new, len(term))  # postings of a term in a block
-        self.block = block[new].astype(np.int64)
-        self.block_most = np.maximum.reduceat(self.impacts, new) if len(new) else np.empty(0, np.int32)
-        self.block_starts = np.searchsorted(new, self.starts)  # blocks of a term
+        most = np.maximum.reduceat(self.impacts, new) if len(new) else np.empty(0, np.int32)
+        return np.append(new, len(term)), block[new].astype(np.int64), most, np.searchsorted(new, self.starts)
+
+    @cached_property
+    def most(self) -> np.ndarray:
+        """The largest contribution of each term."""
+        return np.maximum.reduceat(self.impacts, self.starts[:-1]).astype(np.float64) if len(self.terms) else np.empty(0)
+
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each term its row in a table, or -1; and the table: contributions of the most frequent terms by document."""
+        counts = np.diff(self.starts)
+        often = np.flatnonzero((counts * DENSE >= self.size) & (self.most < 2**24))  # whole numbers in single precision
+        often = np.sort(often[np.argsort(-counts[often], kind="stable")][: TABLE // max(1, self.size)])
+        row = np.full(len(self.terms), -1)
+        row[often] = np.arange(len(often))
+        cells = np.zeros((len(often), self.size), np.float32)
+        for own, begin, end in zip(cells, self.starts[often].tolist(), self.starts[often + 1].tolist()):
+            own[self.docs[begin:end]] = self.impacts[begin:end]
+        return row, cells
+
+    def reaching(self, ats: list[np.ndarray], k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For queries the k best of the documents whose score is at least the query's ``least``, which is above zero.
+
+        Gives the query's number, documents and scores. The most frequent terms are added up in single precision by a
+        product of matrices, with room for all that rounding can lose; what is left then is added up exactly.
+        """
+        row, cells = self.table
+        query = np.repeat(np.arange(len(ats)), [len(at) for at in ats])
+        able = np.bincount(query, weights=self.most[np.concatenate([np.empty(0, np.int64), *ats])], minlength=len(ats)) >= least
+        step = max(1, CELLS // 2 // max(1, self.size))
+        numbers = np.flatnonzero(able)
+        # a sum of n numbers that are not negative loses less than n parts in 2**24
+        room = 1 - (len(cells) + 16) * 2.0**-23
+        for begin in range(0, len(numbers), step):
+            own = numbers[begin : begin + step]
+            member = np.zeros((len(own), len(cells)), np.float32)
+            for there, i in zip(member, own):
+                rows = row[ats[i]]
+                there[rows[rows >= 0]] = 1
+            for i, scores in zip(own.tolist(), member @ cells):
+                rows = row[ats[i]]
+                rest, rows = ats[i][rows < 0], rows[rows >= 0]
+                lists = np.zeros(self.size)
+                if len(rest):
+                    counts = self.starts[rest + 1] - self.starts[rest]
+                    posting = np.repeat(self.starts[rest] - (np.cumsum(counts) - counts), counts)
+                    posting += np.arange(len(posting))
+                    lists = np.bincount(self.docs[posting], weights=self.impacts[posting], minlength=self.size)
+                place = np.flatnonzero(scores + lists >= least[i] * room)
+                if not len(place):
+                    continue
+                exact = lists[place]
+                for low in range(0, len(place), PAIRS):
+                    some = slice(low, low + PAIRS)
+                    exact[some] += cells[rows[:, None], place[some]].sum(0, dtype=np.float64)
+                kept = exact >= least[i]
+                place, exact = place[kept], exact[kept]
+                best = np.lexsort((place, -exact))[:k]  # places are in the order of ids
+                yield i, place[best], exact[best]
 
     def lists(self, terms: np.ndarray, starts: np.ndarray, asking: np.ndarray, queries: int) -> list[np.ndarray]:
         """For each query of a block the places of its terms in the index."""
@@ -212,10 +297,11 @@ class Shard:
         """The best documents by blocks in the order of their bounds; None if half of the blocks or more are left in."""
         if not len(at):
             return np.empty(0, np.int64), np.empty(0), 0
-        first, last = self.block_starts[at], self.block_starts[at + 1]
+        block_begin, block_of, block_most, block_starts = self.bounds
+        first, last = block_starts[at], block_starts[at + 1]
         counts = last - first
         entry = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        bound = np.bincount(self.block[entry], weights=self.block_most[entry], minlength=self.blocks)
+        bound = np.bincount(block_of[entry], weights=block_most[entry], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         scores = np.zeros(self.size)
@@ -231,9 +317,9 @@ class Shard:
             done += len(now)
             chosen = np.zeros(self.blocks, bool)
             chosen[now] = True
-            own = entry[chosen[self.block[entry]]]
-            counts = self.block_begin[own + 1] - self.block_begin[own]
-            posting = np.repeat(self.block_begin[own] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+            own = entry[chosen[block_of[entry]]]
+            counts = block_begin[own + 1] - block_begin[own]
+            posting = np.repeat(block_begin[own] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
             scores += np.bincount(self.docs[posting], weights=self.impacts[posting], minlength=self.size)
             if self.size >= k:
                 least = np.partition(scores, self.size - k)[self.size - k]
@@ -274,30 +360,62 @@ class Shard:
                 yield row
 
 
-def _search(k: int, mean: float, k1: float, b: float, row: dict, more: list[dict]) -> pa.Table:
-    """One shard for some blocks of queries; among those rows is the one with the weights of the shard's terms."""
-    weights = next(np.frombuffer(x["weights"], "<f8") for x in more if x["weights"] is not None)
-    shard = Shard(row, weights, mean, k1, b)
-    out: list[list[np.ndarray]] = [[], [], []]
-    for block in more:
-        if block["numbers"] is None:
-            continue
-        numbers, terms, starts, asking = (np.frombuffer(block[n], kind) for n, kind in (("numbers", "<i8"), ("terms", "<u8"), ("starts", "<i8"), ("asking", "<i4")))
-        found = shard.search_all(shard.lists(terms, starts, asking, len(numbers)), k)
-        for number, (place, score, _) in zip(numbers.tolist(), found):
-            for column, values in zip(out, (np.full(len(place), number), shard.ids[place], score.astype(np.int64))):
-                column.append(values)
-    columns = [pa.array(np.concatenate([np.empty(0, np.int64), *x]), pa.int64()) for x in out]
-    return pa.table(columns, names=["query", "doc", "score"])
-
-
-def _for_each_shard(blocks: DataFrame, index: DataFrame) -> DataFrame:
-    """Each block of queries once for each shard."""
-    numbers = [r["shard"] for r in index.select("shard").collect()]  # one number for 32 MB of text
-    return blocks.withColumn("shard", F.explode(F.array(*[F.lit(n).cast("long") for n in numbers]) if numbers else F.array().cast("array<bigint>")))
-
-
-def _views(table: pa.Table) -> list[dict]:
+def _search(shard: Shard, block: dict, k: int) -> pa.RecordBatch:
+    """One shard for a block of queries."""
+    numbers, terms, starts, asking, least = (np.frombuffer(block[n], kind) for n, kind in BLOCK_KINDS.items())
+    lists = shard.lists(terms, starts, asking, len(numbers))
+    late = np.flatnonzero(least == 0)
+    found = [(i, place, score) for i, (place, score, _) in zip(late.tolist(), shard.search_all([lists[i] for i in late], k))]
+    early = np.flatnonzero(least > 0)
+    found += [(early[i], place, score) for i, place, score in shard.reaching([lists[i] for i in early], k, least[early])]
+    out = [(np.full(len(place), numbers[i]), shard.ids[place], score.astype(np.int64)) for i, place, score in found]
+    columns = [pa.array(np.concatenate([np.empty(0, np.int64), *x]), pa.int64()) for x in zip(*out)] or [pa.array([], pa.int64())] * 3
+    return pa.RecordBatch.from_arrays(columns, ["query", "doc", "score"])
+
+
+def _pairs(k: int, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a shard and a block of queries; those of a shard follow each other."""
+    _HASH.clear()  # of the index, in a worker that Spark goes on using
+    pa.default_memory_pool().release_unused()
+    number, shard = None, None
+    for batch in source:
+        numbers, rows = batch.column("shard").to_pylist(), _views(batch)
+        while rows:
+            last, number, row = number, numbers.pop(0), rows.pop(0)
+            if number != last:
+                shard = Shard.stored(row)
+            yield _search(shard, row, k)
+        batch = row = None  # not held while the next one comes
+
+
+def _waves(shards: list[int]) -> list[int]:
+    """The wave of each shard, in an order that follows neither tasks nor ids."""
+    order = sorted(range(len(shards)), key=lambda i: xxhash.xxh64_intdigest(str(shards[i])))
+    waves, first, wave = [0] * len(shards), 0, 0
+    while first < len(shards):
+        end = max(1, first * WAVE)
+        end = end if end * 2 < len(shards) else len(shards)
+        for i in order[first:end]:
+            waves[i] = wave
+        first, wave = end, wave + 1
+    return waves
+
+
+def _stored(rows: DataFrame, name: str, *by: str) -> DataFrame:
+    """``materialize`` for large binary values: by zstd, as the buffers of snappy lie outside the heap and stay there."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _few_bytes(spark: SparkSession) -> None:
+    """Lowers the bytes that Spark hands to Python at once to about one pair; the setting is never raised."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_SETTING))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def _views(table: pa.Table | pa.RecordBatch) -> list[dict]:
     """Rows of binary columns without copies."""
     names = [f.name for f in table.schema if pa.types.is_binary(f.type)]
     return [{n: table.column(n)[i].as_buffer() for n in names} for i in range(table.num_rows)]
@@ -325,6 +443,7 @@ def top_k(
     """
     spark = docs.sparkSession
     ship_package(spark)
+    _few_bytes(spark)
     rows = pack(docs, id=F.col(f"`{id_col}`").cast("long"), text=text_col)
     index = bucketed(rows.mapInArrow(_index, SHARD_SCHEMA), "shard")
     total, words = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
@@ -334,38 +453,43 @@ def top_k(
     everywhere = local.groupBy("term").agg(F.sum("docs").alias("n"))
     idf = F.log(1 + (F.lit(float(total)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = local.join(everywhere, "term").select("shard", "term", idf.alias("idf"))
+    mean = words / total if total else 0.0
+    numbers = [r["shard"] for r in index.select("shard").collect()]  # one number for 32 MB of text
+    waves = dict(zip(numbers, _waves(numbers)))
 
-    def in_order(table: pa.Table) -> pa.Table:
-        """Weights of a shard's terms, in the order of its index; a shard has a bounded number of terms."""
-        order = np.argsort(table.column("term").to_numpy().view(np.uint64), kind="stable")
-        packed = table.column("idf").to_numpy()[order].astype("<f8").tobytes()
-        return pa.table({"shard": table.column("shard").slice(0, 1), "weights": pa.array([packed], pa.binary())})
+    def ready(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A shard with the contributions of its postings; it has a bounded number of terms."""
+        order = np.argsort(right.column("term").to_numpy().view(np.uint64), kind="stable")
+        shard = Shard(_views(left)[0], right.column("idf").to_numpy()[order], mean, k1, b)
+        columns = {n: pa.array([getattr(shard, n).astype(kind).tobytes()], pa.binary()) for n, kind in READY.items()}
+        return pa.table({"shard": left.column("shard"), **columns, "wave": pa.array([waves[left.column("shard")[0].as_py()]], pa.int32())})
 
-    weights = materialize(weights.groupBy("shard").applyInArrow(in_order, "shard long, weights binary"), "weights")
+    kind = "shard long, " + ", ".join(f"{n} binary" for n in READY) + ", wave int"
+    shards = _stored(index.groupBy("shard").cogroup(weights.groupBy("shard")).applyInArrow(ready, kind), "shards", "wave")
     asked = pack(queries, query=F.col(f"`{query_id_col}`").cast("long"), text=query_text_col).where("query is not null")
-    asked = materialize(arrow_map(asked, _query_terms, "query long, terms binary, size long").where("size > 0"), "queries")
+    asked = _stored(arrow_map(asked, _query_terms, "query long, terms binary, size long").where("size > 0"), "queries")
     blocks = (asked.agg(F.sum("size")).first()[0] or 0) // BLOCK_TERMS + 1
-    dealt = asked.select("query", "terms", F.pmod(F.xxhash64("query", "terms"), F.lit(blocks)).cast("long").alias("block"))
-
+    asked = asked.select("query", "terms", F.pmod(F.xxhash64("query", "terms"), F.lit(blocks)).cast("long").alias("block"))
     def query_block(table: pa.Table) -> pa.Table:
         return _query_block(table)
 
-    kind = "block long, numbers binary, terms binary, starts binary, asking binary"
-    dealt = materialize(dealt.groupBy("block").applyInArrow(query_block, kind), "query-blocks")
-    # every block asks every shard: blocks go to the shards, which stay where they are stored
-    mean = words / total if total else 0.0
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [_search(k, mean, k1, b, row, _views(right)) for row in _views(left)]
-        return pa.concat_tables(found) if found else pa.table({n: pa.array([], pa.int64()) for n in ("query", "doc", "score")})
-
-    best = None
-    for first in range(0, blocks, GROUP_BLOCKS):
-        own = dealt.where(F.col("block").between(first, first + GROUP_BLOCKS - 1)).drop("block")
-        own = _for_each_shard(own, index).unionByName(weights, allowMissingColumns=True)
-        part = index.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(search, "query long, doc long, score long")
-        best = part if best is None else best.unionByName(part)
-    best = best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
-    best = best.where(F.col("place") <= k)
+    def pairs(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pairs(k, source)
+
+    best = spark.createDataFrame([], "query long, doc long, score long, place int")
+    last = max(waves.values(), default=-1)
+    for wave in range(last + 1):
+        # the k-th best score so far; queries that share an id share their results
+        least = best.where(F.col("place") == k).select("query", F.col("score").cast("double").alias("least"))
+        dealt = asked.join(least, "query", "left").na.fill(0.0, "least")
+        dealt = _stored(dealt.groupBy("block").applyInArrow(query_block, BLOCK_SCHEMA), "query-blocks")
+        # every block asks every shard, without a shuffle: tasks read their blocks and shards where they are stored
+        some = shards.where(F.col("wave") == wave).drop("wave")
+        part = some.hint("shuffle_replicate_nl").crossJoin(dealt).mapInArrow(pairs, "query long, doc long, score long")
+        best = best.drop("place").unionByName(part)
+        best = best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
+        best = best.where(F.col("place") <= k)
+        if wave < last:
+            best = materialize(best, "best")
     doc: Column = F.when(F.col("doc") != F.lit(int(NO_ID)), F.col("doc"))
     return best.select(F.col("query").alias("query_id"), F.col("place").cast("int").alias("rank"), doc.alias("doc_id"), "score")

@@ -77,3 +77,41 @@ def test_queries_scored_together(monkeypatch):
             assert got.tolist() == plain
             best = sorted((-x, i) for i, x in enumerate(plain) if x)[:10]
             assert list(zip((-score).astype(int).tolist(), place.tolist())) == best
+
+
+def test_later_shards_return_only_what_reaches_the_best_so_far(monkeypatch):
+    """Queries that bring a score get from a shard the documents that reach it, equal ones too, and no others."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choices(words, [1 / (j + 1) for j in range(200)], k=rng.randint(1, 60))) for _ in range(500)]
+    texts += texts[:40]
+    row = search._shard(0, list(range(540)), [search.term_counts(t) for t in texts]).to_pylist()[0]
+    terms = search.np.frombuffer(row["terms"], "<u8")
+    shard = search.Shard(row, search.np.linspace(7, 0.1, len(terms)), 30.0, 1.2, 0.75)
+    every = [search.np.sort(search.np.searchsorted(terms, search.term_counts(t)[0])) for t in texts[:80]]
+    for cells, dense in ((1 << 22, 24), (540 * 6, 2), (1 << 22, 10**9)):
+        monkeypatch.setattr(search, "CELLS", cells)
+        monkeypatch.setattr(search, "DENSE", dense)
+        shard.__dict__.pop("table", None)
+        whole = [(place.tolist(), score.tolist()) for place, score, _ in shard.search_all(every, 10)]
+        for rank in (0, 4, 9):
+            least = search.np.array([score[min(rank, len(score) - 1)] for _, score in whole])
+            got = {i: (place.tolist(), score.tolist()) for i, place, score in shard.reaching(every, 10, least)}
+            for i, (place, score) in enumerate(whole):
+                assert got[i] == ([p for p, x in zip(place, score) if x >= least[i]], [x for x in score if x >= least[i]])
+        beyond = search.np.array([score[0] + 1 for _, score in whole])
+        assert not sum(len(place) for _, place, _ in shard.reaching(every, 10, beyond))
+
+
+def test_waves_of_shards(spark):
+    """Each shard is in one wave, and the best of all waves are the best of all documents."""
+    for n in (0, 1, 2, 3, 30, 65):
+        waves = search._waves(list(range(0, 7 * n, 7)))
+        assert len(waves) == n and sorted(set(waves)) == list(range(max(waves, default=-1) + 1)) and waves.count(0) <= 3
+    rng = random.Random(10)
+    docs = [(i, " ".join(rng.choices([f"w{j}" for j in range(40)], k=rng.randint(0, 12)))) for i in range(240)]
+    docs += [(i + 240, t) for i, t in docs[::3]]
+    queries = [d for d in docs if d[0] % 20 == 0]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(30)
+    got = sorted([tuple(r) for r in top_k(frame, spark.createDataFrame(queries, "query_id long, text string"), k=4).collect()], key=str)
+    assert got == expected(docs, queries, 4)
