@@ -115,3 +115,79 @@ def test_waves_of_shards(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(30)
     got = sorted([tuple(r) for r in top_k(frame, spark.createDataFrame(queries, "query_id long, text string"), k=4).collect()], key=str)
     assert got == expected(docs, queries, 4)
+
+
+def two_kinds(rng, n):
+    """Documents of two vocabularies, some of both and some empty."""
+    kinds = [[f"{c}{i}" for i in range(120)] for c in "xy"]
+    docs = []
+    for i in range(n):
+        words = kinds[i % 2] if i % 11 else kinds[0] + kinds[1]
+        docs.append((i, " ".join(rng.choices(words, [1 / (j % 120 + 1) for j in range(len(words))], k=rng.randint(0, 90)))))
+    return docs
+
+
+def test_topics_are_searched_apart(spark, monkeypatch):
+    """Texts of two vocabularies are in shards and blocks of their own, and every query still meets every document."""
+    docs = two_kinds(random.Random(12), 480)
+    docs += [(i + 480, t) for i, t in docs[::4]]
+    queries = [d for d in docs if d[0] % 5 == 0]
+    hashes = [search.term_counts(t)[0] for _, t in queries]
+    topics = search.Topics(hashes)
+    assert len(topics.weights) == 2
+    assert len({topics.of(h) for (i, _), h in zip(queries, hashes) if i < 480 and i % 2 and i % 11 and len(h) > 8}) == 1
+    assert search.Topics([]).of(hashes[0]) == 0 == search.Topics(hashes[:1]).of(hashes[0])
+    monkeypatch.setattr(search, "SHARD_POSTINGS", 1000)
+    monkeypatch.setattr(search, "BLOCK_TERMS", 600)
+    monkeypatch.setattr(search, "TASK_TERMS", 900)
+    seen = []
+    every = search._every_pair
+    monkeypatch.setattr(search, "_every_pair", lambda some, blocks, *rest: seen.append((some.collect(), blocks.collect())) or every(some, blocks, *rest))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(12)
+    got = sorted([tuple(r) for r in top_k(frame, spark.createDataFrame(queries, "query_id long, text string"), k=5).collect()], key=str)
+    assert got == expected(docs, queries, 5)
+    met = Counter()
+    for some, blocks in seen:
+        assert len({r["topic"] for r in some}) <= 1 and len({(r["topic"] == s["topic"]) for r in some for s in blocks}) <= 1
+        for shard in some:
+            for block in blocks:
+                met.update((d, q) for d in search.np.frombuffer(shard["ids"], "<i8").tolist() for q in search.np.frombuffer(block["numbers"], "<i8").tolist())
+    assert met == Counter((d, q) for d, _ in docs for q, t in queries if t) and len(seen) > 6
+
+
+def test_pieces_of_parts_hold_every_posting():
+    """Parts of a shard together and then by size have each document once, with its contributions, in the order of ids."""
+    docs = two_kinds(random.Random(13), 300)
+    order = random.Random(14).sample(range(300), 300)
+    parts, held = [], {}
+    for own in (order[:120], order[120:121], order[121:]):
+        row = search._shard(0, [docs[i][0] for i in own], [search.term_counts(docs[i][1]) for i in own]).to_pylist()[0]
+        parts.append(search.Shard(row, search.np.linspace(1, 5, len(row["terms"]) // 8), 40.0, 1.2, 0.75))
+    contributions = lambda s: {(int(s.ids[d]), int(t), int(x)) for t, b, e in zip(s.terms, s.starts, s.starts[1:]) for d, x in zip(s.docs[b:e], s.impacts[b:e])}
+    held = set().union(*map(contributions, parts))
+    search_pieces = search.PIECE_DOCS
+    try:
+        search.PIECE_DOCS = 100
+        whole, *pieces = (search.Shard.stored({n: getattr(p, n).astype(kind).tobytes() for n, kind in search.READY.items()}) for p in search.Shard.pieces(parts))
+    finally:
+        search.PIECE_DOCS = search_pieces
+    assert len(pieces) == 3 and contributions(whole) == held == set().union(*map(contributions, pieces))
+    assert whole.ids.tolist() == sorted(whole.ids.tolist()) == sorted(i for p in pieces for i in p.ids.tolist())
+    assert all((p.docs[b:e][1:] > p.docs[b:e][:-1]).all() for p in (whole, *pieces) for b, e in zip(p.starts, p.starts[1:]))
+
+
+def test_lists_of_any_length_are_added(monkeypatch):
+    """Lists filled up to the length of their class add what they hold, however many are taken at once."""
+    docs = [search.term_counts(t) for _, t in two_kinds(random.Random(15), 400)]
+    row = search._shard(0, list(range(400)), docs).to_pylist()[0]
+    shard = search.Shard(row, search.np.linspace(1, 5, len(row["terms"]) // 8), 40.0, 1.2, 0.75)
+    places = search.np.arange(len(shard.terms))
+    for listed in (1, 50, 1 << 15):
+        monkeypatch.setattr(search, "LISTED", listed)
+        scores = search.np.zeros(800, search.np.float32)
+        shard._add_lists(scores, places % 2 * 400, places)
+        plain = search.np.zeros(800)
+        for t in places.tolist():
+            for p in range(shard.starts[t], shard.starts[t + 1]):
+                plain[t % 2 * 400 + shard.docs[p]] += shard.impacts[p]
+        assert search.np.allclose(scores, plain, rtol=1e-5)
